@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.reshape import first_cells, tidy
+
 YEARS = (1996, 1998)
 KEYS = ["model", "scenario", "region", "temp_bucket"]
-TIE_BREAK = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value"]
+TIE_BREAK = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 RULE_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "l_extendedprice"]
 
 
@@ -58,15 +60,16 @@ def scenario_long(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Dat
             F.year("l_shipdate").alias("year"),
             F.col("l_extendedprice").alias("value"),
             "category",
-            "l_shipdate",
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
+            F.struct(*TIE_BREAK).alias("input_order"),
         )
     )
 
 
+def cells(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+    """The canonical long table without duplicates."""
+    return first_cells(tidy(scenario_long(spark, sf_dir, sparse)))
+
+
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variable, sector, ordinal) of the brands in the part table, five a sector."""
     number = F.substring_index("variable", "#", -1).cast("int")
@@ -78,7 +81,7 @@ def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def semi_wide(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+def semi_wide(cells: DataFrame) -> DataFrame:
     """One row per scenario and variable, a column per year."""
     years = [str(y) for y in range(1995, 2002)]
     return cells.groupBy("model", "scenario", "region", "variable").pivot("year", years).agg(F.first("value"))

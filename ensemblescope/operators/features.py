@@ -25,7 +25,7 @@ class Scaling:
 
 
 def column_statistics(df: DataFrame, columns: list[str]) -> dict:
-    """count, mean, population variance, min and max of all columns in one pass."""
+    """Count, mean and population variance of all columns in one pass."""
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         x = quoted(c)
@@ -33,14 +33,12 @@ def column_statistics(df: DataFrame, columns: list[str]) -> dict:
             F.count(x).alias(f"n{i}"),
             F.avg(x).alias(f"mean{i}"),
             F.var_pop(x).alias(f"var{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
         ]
     row = df.agg(*aggregates).first()
     return {
         "rows": row["rows"],
         **{
-            c: {k: row[f"{k}{i}"] for k in ("n", "mean", "var", "min", "max")}
+            c: {k: row[f"{k}{i}"] for k in ("n", "mean", "var")}
             for i, c in enumerate(columns)
         },
     }

@@ -7,9 +7,11 @@ for each (keys, variable, year). Most operators take cells.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.labels import temp_bucket
 from ..functions.names import parse_flat_name
@@ -27,7 +29,6 @@ from ..sources.schema import (
 
 NOT_FEATURES = ("model", "scenario", "region", "category", "temp_bucket", "cluster")
 _ID_COLUMNS = ("model", "scenario", "region", "unit", "category", "temp_bucket", INPUT_ORDER)
-LITERAL_ROWS = 2000
 
 
 def quoted(name: str) -> Column:
@@ -38,18 +39,13 @@ def quoted(name: str) -> Column:
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Driver-side rows as a DataFrame.
 
-    Up to ``LITERAL_ROWS`` rows become constants of the plan, so that their
-    small size is known when joins are planned; more become an ordinary table
-    whose size adaptive execution looks at.
+    Built from an Arrow table, so that a small one becomes a local relation
+    whose true size is known when joins are planned; nothing is forced, and a
+    large one is joined like any other table.
     """
-    if not rows or len(rows) > LITERAL_ROWS:
-        return spark.createDataFrame(rows, schema)
-    fields = T.StructType.fromDDL(schema).fields
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
 
 
 # -- to the long layout ---------------------------------------------------------
