@@ -260,7 +260,9 @@ def _long_form(df):
 def q_mean_impute(spark, d):
     filtered, _, scaling = _matrix(spark, d)
     imputed = features.impute_mean(filtered, scaling)
-    return _long_form(imputed.drop("region", "temp_bucket"))
+    # Means of cents fall on rounding ties, their logarithms do not.
+    cells = es.unpivot_names(imputed.drop("region", "temp_bucket"), ["model", "scenario"])
+    return cells.select("model", "scenario", "variable", "year", _r(F.log("value"), 6).alias("log_value"))
 
 
 def q_standardise(spark, d):

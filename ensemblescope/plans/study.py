@@ -7,15 +7,17 @@ sets, ``analyse_combination`` explains one of them, ``run_study`` does it all.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import binary_target
 from ..operators import boxes, correlation, features, models, projection
 from ..operators.coverage import complete_scenarios
-from ..operators.labelling import attach_category_map, attach_label, sector_variables
+from ..operators.labelling import attach_category_map, sector_variables
 from ..operators.reshape import first_cells, keys_of, pivot_cells, present_columns, restrict, small_table, tidy
 from ..operators.selection import number_combinations, rank_sets, select_variable_combinations
 from ..session import materialise
@@ -51,6 +53,9 @@ class StudyOptions:
     boosted_trees: dict = field(default_factory=dict)
     forest: dict = field(default_factory=dict)
     seed: int = 42
+    # How many combinations the driver works on at once: their jobs are small
+    # and mostly wait, so overlapping them keeps the cluster busy.
+    parallel: int = 4
 
 
 @dataclass
@@ -123,8 +128,7 @@ def feature_matrix(cells: DataFrame, variables: list[str], options: StudyOptions
         complete_scenarios(cells, variables, list(options.years), options.completeness), "filtered"
     )
     labelled = filtered.withColumn(LABEL, binary_target(filtered))
-    names = [c for c in features.feature_columns(filtered)]
-    matrix, scaling = features.scale_and_impute(labelled, names)
+    matrix, scaling = features.scale_and_impute(labelled, features.feature_columns(filtered))
     return filtered, materialise(matrix, "matrix"), scaling
 
 
@@ -253,7 +257,10 @@ def run_study(
     years = sorted({*options.years, options.corr_year or options.years[0]})
     cells = prepare(long, names, years, order_by)
     chosen = materialise(choose_combinations(cells, sectors, options), "chosen")
-    analyses = [analyse_combination(cells, row.asDict(), options) for row in chosen.orderBy("combination").collect()]
+    rows = [r.asDict() for r in chosen.orderBy("combination").collect()]
+    with ThreadPoolExecutor(options.parallel) as pool:
+        work = inheritable_thread_target(spark)(lambda row: analyse_combination(cells, row, options))
+        analyses = list(pool.map(work, rows))
     if output is not None:
         write_study(spark, analyses, chosen, output)
     return analyses

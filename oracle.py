@@ -290,7 +290,7 @@ def statements() -> dict[str, str]:
         "selection_summary": f"""{RANKED} SELECT CAST(row_number() OVER (ORDER BY n_scenarios DESC, sample_id) AS INTEGER) AS combination,
             CAST(len(names) AS INTEGER) AS n_variables, n_scenarios, round(max_corr, 4) + 0.0 AS max_correlation,
             array_to_string(names, ', ') AS variables FROM (SELECT * FROM ranked ORDER BY n_scenarios DESC, sample_id LIMIT 10)""",
-        "mean_impute": f"{SPARSE}, {FILLED} {long_form} {_r('value')} FROM imputed",
+        "mean_impute": f"{SPARSE}, {FILLED} {long_form} round(ln(value), 6) + 0.0 AS log_value FROM imputed",
         "standardise": f"""{SPARSE}, {FILLED}, scaled AS (SELECT *, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s
             FROM imputed WINDOW p AS (PARTITION BY variable, year))
             {long_form} round(CASE WHEN s = 0 THEN 0 ELSE (value - m) / s END, 4) + 0.0 AS value FROM scaled""",
