@@ -39,15 +39,15 @@ def _r(column, digits: int = 4):
 
 
 def q_tidy_long(spark, d):
-    return es.tidy(fx.scenario_long(spark, d)).drop("input_order")
+    return fx.long(spark, d).drop("input_order")
 
 
 def q_coverage_table(spark, d):
-    return es.coverage_by_variable(fx.cells(spark, d, sparse=True), YEARS)
+    return es.coverage_by_variable(fx.long(spark, d, sparse=True), YEARS)
 
 
 def q_coverage_one(spark, d):
-    return es.coverage_of(fx.cells(spark, d, sparse=True), "Brand#7", YEARS)
+    return es.coverage_of(fx.long(spark, d, sparse=True), "Brand#7", YEARS)
 
 
 def q_pivot_first(spark, d):
@@ -79,7 +79,7 @@ def q_roundtrip_wide(spark, d):
 
 
 def q_shape_report(spark, d):
-    return es.shape_report(fx.cells(spark, d, sparse=True))
+    return es.shape_report(fx.long(spark, d, sparse=True))
 
 
 def _categories(spark, d):
@@ -131,11 +131,11 @@ def _wide_sector_map(spark, d):
 
 
 def q_sector_present(spark, d):
-    return es.present_sector_variables(_wide_sector_map(spark, d), fx.cells(spark, d))
+    return es.present_sector_variables(_wide_sector_map(spark, d), fx.long(spark, d))
 
 
 def q_sector_absent(spark, d):
-    return es.absent_sector_variables(_wide_sector_map(spark, d), fx.cells(spark, d))
+    return es.absent_sector_variables(_wide_sector_map(spark, d), fx.long(spark, d))
 
 
 def q_category_join(spark, d):
@@ -149,19 +149,24 @@ def q_bucket_join(spark, d):
     return es.attach_label(per_scenario, long, "temp_bucket")
 
 
+def _written_cells(spark, d, sparse=False):
+    """Cells of the two years, written once for queries that read them several times."""
+    return study.prepare(fx.long(spark, d, sparse), years=YEARS)
+
+
 # -- completeness and correlation ---------------------------------------------------------
 
 
 def q_completeness_filter(spark, d):
-    return es.complete_scenarios(fx.cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    return es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
 
 
 def q_count_valid(spark, d):
-    return es.count_complete(fx.cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    return es.count_complete(fx.long(spark, d, sparse=True), BRANDS, YEARS, 0.7)
 
 
 def q_corr_pairs(spark, d):
-    pairs = es.correlation_pairs(fx.cells(spark, d), YEARS[0])
+    pairs = es.correlation_pairs(_written_cells(spark, d), YEARS[0])
     return pairs.select("var_a", "var_b", "n", _r("r").alias("r"), _r("abs_r").alias("abs_r"))
 
 
@@ -171,7 +176,7 @@ def q_corr_matrix(spark, d):
 
 
 def q_corr_top_pairs(spark, d):
-    top = es.top_pairs(es.correlation_matrix(fx.cells(spark, d), YEARS[0]), 10, mirrored=True)
+    top = es.top_pairs(es.correlation_matrix(_written_cells(spark, d), YEARS[0]), 10, mirrored=True)
     return top.select("var_a", "var_b", _r("abs_r").alias("abs_r"))
 
 
@@ -187,23 +192,23 @@ def _starts(spark, d, cells):
 
 
 def q_sample_start_sets(spark, d):
-    sets = _starts(spark, d, fx.cells(spark, d))
+    sets = _starts(spark, d, fx.long(spark, d))
     return sets.select("sample_id", F.posexplode("variables").alias("position", "variable"))
 
 
 def q_sample_sectors(spark, d):
-    sets = _starts(spark, d, fx.cells(spark, d))
+    sets = _starts(spark, d, fx.long(spark, d))
     return es.combination_sectors(sets, fx.sector_map(spark, d))
 
 
 def q_set_max_corr(spark, d):
-    cells = fx.cells(spark, d)
+    cells = _written_cells(spark, d)
     top = es.set_max_correlation(_starts(spark, d, cells), es.correlation_matrix(cells, YEARS[0], BRANDS))
     return top.select("sample_id", _r("max_corr").alias("max_corr"))
 
 
 def q_expanded_sets(spark, d):
-    cells = materialise(fx.cells(spark, d))
+    cells = _written_cells(spark, d)
     sectors = _sectors(spark, d, cells)
     matrix = es.correlation_matrix(cells, YEARS[0], BRANDS)
     grown = es.expand_sets(es.sample_start_sets(spark, sectors, SAMPLES), sectors, matrix, 4, 0.2)
@@ -213,12 +218,12 @@ def q_expanded_sets(spark, d):
 
 
 def q_valid_counts_all_sets(spark, d):
-    cells = materialise(fx.cells(spark, d, sparse=True))
+    cells = _written_cells(spark, d, sparse=True)
     return es.supporting_scenarios(cells, _starts(spark, d, cells), YEARS, 0.8)
 
 
 def _selected(spark, d):
-    cells = materialise(fx.cells(spark, d, sparse=True))
+    cells = _written_cells(spark, d, sparse=True)
     return es.select_variable_combinations(
         cells, _sectors(spark, d, cells), YEARS, min_vars=2, max_vars=2, corr_threshold=0.4, num_samples=SAMPLES
     )
@@ -245,7 +250,7 @@ def q_selection_summary(spark, d):
 
 def _matrix(spark, d):
     """Scaled matrix of the fuller scenarios, with keys and label."""
-    filtered = materialise(es.complete_scenarios(fx.cells(spark, d, sparse=True), BRANDS, YEARS, 0.6))
+    filtered = materialise(es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.6))
     labelled = filtered.withColumn("label", es.binary_target(filtered))
     matrix, scaling = es.scale_and_impute(labelled, es.feature_columns(filtered))
     return filtered, materialise(matrix), scaling
@@ -464,7 +469,7 @@ def q_combination_report(spark, d):
         years=fx.YEARS, corr_threshold=0.5, num_samples=200, num_combinations=2, completeness=0.7,
         boosted_trees=TREES, forest=FOREST,
     )
-    analyses = study.run_study(es.tidy(fx.scenario_long(spark, d, sparse=True)), fx.sector_map(spark, d), options)
+    analyses = study.run_study(fx.long(spark, d, sparse=True), fx.sector_map(spark, d), options)
     return study.combination_report(study.records_frame(spark, analyses))
 
 
@@ -513,7 +518,7 @@ def q_rewrite_with_bucket(spark, d):
 
 
 def q_filtered_file(spark, d):
-    filtered = es.complete_scenarios(fx.cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    filtered = es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
     path = writers.write_table(filtered, scratch_path(spark, "filtered") + ".csv")
     return readers.read_scenarios(spark, path)
 

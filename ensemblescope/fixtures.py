@@ -6,7 +6,7 @@ years; the value of a cell is the price of its first line item.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.reshape import first_cells, tidy
@@ -21,53 +21,66 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, scenario, region, category, s_suppkey): one row per scenario."""
+def _category() -> Column:
     last = F.col("s_suppkey") % 10
-    category = (
+    return (
         F.when(last == 9, "failed-vetting")
         .when(last == 0, "no-climate-assessment")
         .otherwise(F.concat(F.lit("C"), last.cast("string")))
     )
-    return (
-        read(spark, sf_dir, "supplier")
-        .join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("n_name").alias("model"),
-            F.col("s_name").alias("scenario"),
-            F.col("r_name").alias("region"),
-            category.alias("category"),
-            "s_suppkey",
-        )
+
+
+def _scenario_columns() -> list[Column]:
+    return [
+        F.col("n_name").alias("model"),
+        F.col("s_name").alias("scenario"),
+        F.col("r_name").alias("region"),
+        _category().alias("category"),
+    ]
+
+
+def _with_places(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Nation and region of rows that have a supplier."""
+    return df.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+        read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, scenario, region, category, s_suppkey): one row per scenario."""
+    return _with_places(spark, sf_dir, read(spark, sf_dir, "supplier")).select(*_scenario_columns(), "s_suppkey")
+
+
 def scenario_long(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Long table with duplicates; the sparse form keeps returned items only."""
+    """Long table with duplicates; the sparse form keeps returned items only.
+
+    The fact table meets one dimension after the other, so each join is planned
+    by that dimension's own size.
+    """
     items = read(spark, sf_dir, "lineitem")
     if sparse:
         items = items.where("l_returnflag = 'R'")
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("variable"))
-    return (
-        items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "model",
-            "scenario",
-            "region",
-            "variable",
-            F.year("l_shipdate").alias("year"),
-            F.col("l_extendedprice").alias("value"),
-            "category",
-            F.struct(*TIE_BREAK).alias("input_order"),
-        )
+    supplied = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+        read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
     )
+    return _with_places(spark, sf_dir, supplied).select(
+        *_scenario_columns(),
+        "variable",
+        F.year("l_shipdate").alias("year"),
+        F.col("l_extendedprice").alias("value"),
+        F.struct(*TIE_BREAK).alias("input_order"),
+    )
+
+
+def long(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+    """The canonical long table, duplicates included."""
+    return tidy(scenario_long(spark, sf_dir, sparse))
 
 
 def cells(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     """The canonical long table without duplicates."""
-    return first_cells(tidy(scenario_long(spark, sf_dir, sparse)))
+    return first_cells(long(spark, sf_dir, sparse))
 
 
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:

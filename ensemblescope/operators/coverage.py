@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .reshape import keys_of, pivot_cells, present_columns, quoted, restrict
+from .reshape import filled_rows, keys_of, pivot_cells, present_columns, quoted, restrict, small_table
 
 WORD_BITS = 62
 
@@ -34,11 +34,8 @@ def coverage_by_variable(cells: DataFrame, years: list[int], keys: list[str] | N
     """
     keys = keys or keys_of(cells)
     years = sorted(set(years))
-    present = F.col("value").isNotNull() & F.col("variable").isNotNull()
-    for k in keys:
-        present = present & F.col(k).isNotNull()
     words = [w.alias(f"w{i}") for i, w in enumerate(year_words(years))]
-    seen = restrict(cells, years=years).where(present).groupBy(*keys, "variable").agg(*words)
+    seen = filled_rows(restrict(cells, years=years), keys).groupBy(*keys, "variable").agg(*words)
     full = reduce(
         lambda a, b: a & b,
         [
@@ -72,6 +69,42 @@ def filled(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [quoted(c).isNotNull().cast("int") for c in columns])
 
 
+def all_scenarios(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (n_scenarios): scenarios with any value at all."""
+    return filled_rows(cells, keys).agg(F.count_distinct(*keys).alias("n_scenarios"))
+
+
+def presence_patterns(
+    cells: DataFrame, columns: list[tuple[str, int]], keys: list[str] | None = None
+) -> DataFrame:
+    """Distinct presence patterns over ``columns`` and how many scenarios show them.
+
+    A pattern is a row of bigint words with 62 columns each. Scenarios with no
+    value in any of the columns are not in the result. Both aggregations combine
+    before their shuffle; duplicates do not matter.
+    """
+    keys = keys or keys_of(cells)
+    index = small_table(
+        cells.sparkSession,
+        [(v, y, i // WORD_BITS, 1 << (i % WORD_BITS)) for i, (v, y) in enumerate(columns)],
+        "variable string, year int, word int, bit bigint",
+    )
+    n_words = -(-len(columns) // WORD_BITS)
+    words = [
+        F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}")
+        for w in range(n_words)
+    ]
+    years = sorted({y for _, y in columns})
+    return (
+        filled_rows(restrict(cells, [v for v, _ in columns], years), keys)
+        .join(index, ["variable", "year"])
+        .groupBy(*keys)
+        .agg(*words)
+        .groupBy(*[f"w{w}" for w in range(n_words)])
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def complete_scenarios(
     cells: DataFrame,
     variables: list[str],
@@ -80,13 +113,18 @@ def complete_scenarios(
     keys: list[str] | None = None,
 ) -> DataFrame:
     """Wide table of the scenarios that fill enough of the existing columns."""
-    found = set(present_columns(cells, variables, years))
+    found = set(present_columns(cells, variables, years, keys))
     columns = [(v, y) for v in variables for y in years if (v, y) in found]
     if not columns:
         raise ValueError("none of the requested variable and year pairs is in the data")
     wide = pivot_cells(cells, columns, keys)
     names = [f"{v} ({y})" for v, y in columns]
-    return wide.where(filled(names) >= needed_cells(len(names), threshold))
+    need = needed_cells(len(names), threshold)
+    if need <= 0:
+        # Nothing is required, so scenarios without any of the columns stay too.
+        keys = keys or keys_of(cells)
+        return filled_rows(cells, keys).select(*keys).distinct().join(wide, keys, "left")
+    return wide.where(filled(names) >= need)
 
 
 def count_complete(
@@ -98,23 +136,16 @@ def count_complete(
 ) -> DataFrame:
     """One row (n_scenarios): complete scenarios, 0 if any column is missing.
 
-    Works on the long form: no wide table is built.
+    Works on presence bits: no wide table is built and duplicates do not matter.
     """
     keys = keys or keys_of(cells)
-    expected = len(dict.fromkeys(variables)) * len(dict.fromkeys(years))
-    chosen = restrict(cells, variables, years).where(F.col("value").isNotNull())
-    need = needed_cells(expected, threshold)
-    # One pass for the columns that exist, one for the scenarios; a single row each.
-    existing = len(present_columns(cells, variables, years))
-    if need <= 0 and existing == expected:
-        # Nothing is required, so every scenario of the table counts.
-        return cells.agg(F.count_distinct(*keys).alias("n_scenarios"))
-    return (
-        chosen.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("filled"))
-        .agg(
-            (
-                F.count_if(F.col("filled") >= need) * F.lit(int(existing == expected))
-            ).cast("bigint").alias("n_scenarios")
-        )
-    )
+    variables, years = list(dict.fromkeys(variables)), list(dict.fromkeys(years))
+    columns = [(v, y) for v in variables for y in years]
+    need = needed_cells(len(columns), threshold)
+    if len(present_columns(cells, variables, years, keys)) < len(columns):
+        return cells.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_scenarios"))
+    if need <= 0:
+        return all_scenarios(cells, keys)
+    patterns = presence_patterns(cells, columns, keys)
+    bits = reduce(lambda a, b: a + b, [F.bit_count(w) for w in patterns.columns if w != "n"])
+    return patterns.where(bits >= need).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_scenarios"))

@@ -2,7 +2,8 @@
 
 A *long* table has key columns, ``variable``, ``year`` and ``value``. *Cells*
 are the long table after duplicates are resolved: at most one non-null value
-for each (keys, variable, year). Most operators take cells.
+for each (keys, variable, year). Operators that only ask whether a cell is
+filled also take a long table, which saves resolving the duplicates.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.labels import temp_bucket
 from ..functions.names import parse_flat_name
-from ..sources.readers import INPUT_ORDER, nan_to_null
+from ..sources.readers import INPUT_ORDER
 from ..sources.schema import (
     LONG,
     SEMI_WIDE,
@@ -88,7 +89,7 @@ def tidy(df: DataFrame, unmapped: str = "trimmed") -> DataFrame:
     replaced by its bucket), variable, year, value, and ``input_order`` if the
     reader added it.
     """
-    df = nan_to_null(normalise_headers(df))
+    df = normalise_headers(df)
     layout = detect_format(df)
     long = {LONG: lambda d: d, SEMI_WIDE: unpivot_years, WIDE: unpivot_names}[layout](df)
     require_columns(long, ["model", "scenario", "variable", "year", "value"])
@@ -125,14 +126,19 @@ def first_cells(long: DataFrame, keys: list[str] | None = None, order_by: list |
     if order_by is None and INPUT_ORDER in long.columns:
         order_by = [INPUT_ORDER]
     group = [*keys, "variable", "year"]
-    present = F.col("value").isNotNull()
-    for c in group:
-        present = present & F.col(c).isNotNull()
     if not order_by:
         pick = F.min("value")
     else:
         pick = F.min_by("value", F.struct(*order_by) if len(order_by) > 1 else order_by[0])
-    return long.where(present).groupBy(*group).agg(pick.alias("value"))
+    return filled_rows(long, keys).groupBy(*group).agg(pick.alias("value"))
+
+
+def filled_rows(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that count as a filled cell: value, keys, variable and year not null."""
+    present = F.col("value").isNotNull()
+    for c in [*keys, "variable", "year"]:
+        present = present & F.col(c).isNotNull()
+    return long.where(present)
 
 
 def pivot_cells(cells: DataFrame, columns: list[tuple[str, int]], keys: list[str] | None = None) -> DataFrame:
@@ -167,21 +173,19 @@ def restrict(cells: DataFrame, variables=None, years=None) -> DataFrame:
     return cells
 
 
-def present_columns(cells: DataFrame, variables=None, years=None) -> list[tuple[str, int]]:
-    """The (variable, year) pairs that hold a value, sorted.
+def present_columns(cells: DataFrame, variables=None, years=None, keys: list[str] | None = None) -> list[tuple[str, int]]:
+    """The (variable, year) pairs that hold a value, sorted; takes long tables too.
 
     One row per column of the wide table comes to the driver, never data rows.
     """
-    found = restrict(cells, variables, years).where(
-        F.col("value").isNotNull() & F.col("variable").isNotNull() & F.col("year").isNotNull()
-    )
+    found = filled_rows(restrict(cells, variables, years), keys_of(cells) if keys is None else keys)
     return sorted((r.variable, r.year) for r in found.select("variable", "year").distinct().collect())
 
 
 def shape_report(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Number of scenarios and of (variable, year) columns of the wide table."""
     keys = keys or keys_of(cells)
-    return cells.agg(
+    return filled_rows(cells, keys).agg(
         F.count_distinct(*keys).alias("n_scenarios"),
         F.count_distinct("variable", "year").alias("n_columns"),
     )

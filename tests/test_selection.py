@@ -6,7 +6,8 @@ from conftest import rows
 
 import ensemblescope as es
 from ensemblescope.operators.correlation import correlation_matrix
-from ensemblescope.operators.selection import dense_matrix, presence_patterns
+from ensemblescope.operators.coverage import presence_patterns
+from ensemblescope.operators.selection import dense_matrix
 
 SCHEMA = "model string, scenario string, variable string, year int, value double"
 SECTORS = {"x": [f"x{i}" for i in range(6)], "y": [f"y{i}" for i in range(4)], "z": ["z0", "z1", "x0"]}
@@ -109,11 +110,20 @@ def test_support(spark, cells, per_pass):
     rng = np.random.default_rng(5)
     sets = [(i, [str(v) for v in rng.choice(NAMES, size=1 + i % 6, replace=False)]) for i in range(10)]
     sets.append((10, ["x1", "nope"]))
+    sets.append((11, ["x1"]))
     frame = spark.createDataFrame(sets, "sample_id long, variables array<string>")
     out = dict(rows(es.supporting_scenarios(cells, frame, YEARS, 0.8, sets_per_pass=per_pass)))
     assert out == {i: brute_support(cells, v, 0.8) for i, v in sets}
 
 
+def test_a_set_that_requires_nothing_counts_all_scenarios(spark, cells):
+    sets = spark.createDataFrame([(0, ["x1"]), (1, ["x1", "x2"])], "sample_id long, variables array<string>")
+    out = dict(rows(es.supporting_scenarios(cells, sets, [2030], 0.8)))
+    assert out[0] == 80 and out[1] < 80
+    assert es.complete_scenarios(cells, ["x1"], [2030], 0.8).count() == 80
+    assert rows(es.count_complete(cells, ["x1"], [2030], 0.8)) == [(80,)]
+
+
 def test_support_of_no_sets(spark, cells):
     empty = spark.createDataFrame([], "sample_id long, variables array<string>")
     assert es.supporting_scenarios(cells, empty, YEARS).count() == 0
