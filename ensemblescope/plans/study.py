@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -290,13 +291,25 @@ def write_study(spark: SparkSession, analyses: list[Analysis], chosen: DataFrame
     """Summary CSV, one folder per table kind and combination, JSON records."""
     base = output.rstrip("/")
     writers.write_table(writers.selection_summary(chosen).coalesce(1), f"{base}/selection_summary")
+    for name in dict.fromkeys(name for a in analyses for name in a.tables):
+        _write_tables(name, [(a.record["combination"], a.tables[name]) for a in analyses if name in a.tables], base)
     for analysis in analyses:
         number = analysis.record["combination"]
-        for name, table in analysis.tables.items():
-            # Filtered scenarios have other columns in each combination.
-            writers.write_table(table, f"{base}/{name}/combination={number}")
-        one = records_frame(spark, [analysis])
-        writers.write_records(one, f"{base}/run_summary/combination={number}")
+        writers.write_records(records_frame(spark, [analysis]), f"{base}/run_summary/combination={number}")
     records = records_frame(spark, analyses)
     writers.write_records(records.coalesce(1), f"{base}/study_summary")
     writers.write_table(combination_report(records).coalesce(1), f"{base}/report")
+
+
+def _write_tables(name: str, tables: list[tuple[int, DataFrame]], base: str) -> None:
+    """One kind of table of all combinations, a folder per combination.
+
+    Tables with the same columns go out in one write; filtered scenarios have
+    other columns in every combination.
+    """
+    if len({tuple(t.columns) for _, t in tables}) == 1:
+        numbered = [t.withColumn("combination", F.lit(number)) for number, t in tables]
+        writers.write_per_combination(reduce(DataFrame.unionByName, numbered), f"{base}/{name}")
+        return
+    for number, table in tables:
+        writers.write_table(table, f"{base}/{name}/combination={number}")

@@ -4,6 +4,7 @@ from conftest import rows
 
 import ensemblescope as es
 from ensemblescope import fixtures as fx
+from ensemblescope.operators.boxes import fit_binning
 from ensemblescope.session import materialise
 
 
@@ -155,3 +156,16 @@ def test_restricted_and_ranked_variables(spark):
 def test_box_points(spark):
     df, _ = frame(spark, np.array([[1, 1], [2, 1]], dtype=float), [0, 1])
     assert rows(es.box_points(df, {"f0": (2, 3)}, ["f0"])) == [(1.0, 0, False), (2.0, 1, True)]
+
+
+def test_bins_of_skewed_values_stay_small(spark):
+    rng = np.random.default_rng(9)
+    x = np.column_stack([np.exp(rng.normal(size=3000) * 6), np.where(rng.random(3000) < 0.4, 0.0, rng.normal(size=3000))])
+    df, names = frame(spark, x, np.zeros(3000))
+    binning = fit_binning(df, names, max_bins=100)
+    for j in range(2):
+        lows, highs = binning.lows[j], binning.highs[j]
+        assert (lows <= highs).all() and (highs[:-1] < lows[1:]).all() and len(lows) <= 600
+        counts = np.array([((x[:, j] >= a) & (x[:, j] <= b)).sum() for a, b in zip(lows, highs)])
+        assert counts.sum() == 3000
+        assert all(n <= 60 or a == b for n, a, b in zip(counts, lows, highs))
