@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .reshape import feature_columns, quoted, small_table
+from .reshape import feature_columns, quoted
 
 
 @dataclass(frozen=True)

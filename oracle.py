@@ -4,7 +4,6 @@ from __future__ import annotations
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 YEARS = (1996, 1998)
-ALL_YEARS = range(1995, 2002)
 SAMPLES = 1000
 KEYS = "model, scenario, region, temp_bucket"
 RULE_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "l_extendedprice"]
@@ -39,7 +38,7 @@ cells AS (
 DENSE, SPARSE = "WITH " + _base(), "WITH " + _base(True)
 
 
-def _wide(years=YEARS, rounded=False) -> str:
+def _wide(years=YEARS) -> str:
     return ", ".join(
         f"max(CASE WHEN variable = '{v}' AND year = {y} THEN value END) AS \"{v} ({y})\"" for v in BRANDS for y in years
     )
@@ -237,7 +236,6 @@ def statements() -> dict[str, str]:
     long_form = "SELECT model, scenario, variable, year,"
     strict = "CASE WHEN category IN ('C1', 'C2') THEN 1 ELSE 0 END"
     trimmed = f"coalesce({BUCKET.format(c='trim(category)')}, trim(category))"
-    summary = "SELECT model, scenario, region, temp_bucket"
     return {
         "tidy_long": f"{DENSE} SELECT {KEYS}, variable, year, value FROM long",
         "coverage_table": f"{SPARSE}, {coverage} SELECT variable, count(*) FILTER (WHERE k = 2) AS coverage FROM seen GROUP BY 1",
