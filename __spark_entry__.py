@@ -21,6 +21,12 @@ from ensemblescope.plans import study
 from ensemblescope.session import materialise, scratch_path
 from ensemblescope.sources import readers, writers
 
+try:  # these two may be absent
+    import corpus_pipeline
+    from ensemblescope.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 YEARS = list(fx.YEARS)
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 SAMPLES = 1000
@@ -533,11 +539,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
     for unmapped in ("trimmed", "raw", "null"):
         found[f"bucket_map_{unmapped}"] = _bucket_query(unmapped)
-    return found
+    return found | (llm_queries.queries() if llm_queries else {}) | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL, for every query that SQL can express."""
     from oracle import statements
 
-    return statements()
+    found = statements() | (llm_queries.oracle_sql() if llm_queries else {})
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
