@@ -26,7 +26,7 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
         ("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
         ("spark.sql.execution.arrow.maxBytesPerBatch", size),
     ):
-        now = str(spark.conf.get(key, "-1"))
+        now = spark.conf.get(key).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 

@@ -8,7 +8,7 @@ longest, without overlaps within a rule.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -378,7 +378,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     text stays null. A null or empty text has no spans. Rows are handled one by
     one; a column called like a result is replaced by it.
     """
-    held = docs.sparkSession.sparkContext.broadcast({"rules": rules})
+    held = docs.sparkSession.sparkContext.broadcast({"rules": [astuple(r) for r in rules]})
     made = {spans: SPANS} | ({masked: "string"} if masked else {})
     kept = docs.select("*", whole_text(text).alias("_whole_text"), F.col(text).isNull().alias("_no_text")).drop(*made)
     fields = [f for f in kept.schema.fields if f.name not in ("_whole_text", "_no_text")]
@@ -388,7 +388,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "scanner" not in held.value:
-            held.value["scanner"] = Scanner(held.value["rules"])
+            held.value["scanner"] = Scanner(tuple(Rule(*r) for r in held.value["rules"]))
         column = batch.column("_whole_text")
         found = held.value["scanner"].spans(*utf8_view(column))
         columns = [batch.column(f.name) for f in fields]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, mix64, powers, whole_text
 
-GRAM = 24
-WINDOW = 64
+GRAM = 16
+WINDOW = 40
 _PLACE_BITS = 20
 _PLACES = 1 << _PLACE_BITS
 #: k-grams handled at once; the minimum of a window compares places modulo ``_PLACES``.

@@ -32,7 +32,7 @@ def plain(text: str) -> bytes:
 class Languages:
     """One raw-content dictionary for each language."""
 
-    def __init__(self, samples: dict[str, list[str]], level: int = 3):
+    def __init__(self, samples: dict[str, list[str]], level: int = 6):
         self.names = sorted(samples)
         texts = {n: [plain(s) for s in samples[n]] for n in self.names}
         # Labels can be wrong: pieces that another language's half of the pieces encodes better leave the dictionaries.
