@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -21,11 +22,20 @@ from ensemblescope.plans import study
 from ensemblescope.session import materialise, scratch_path
 from ensemblescope.sources import readers, writers
 
-try:  # these two may be absent
-    import corpus_pipeline
-    from ensemblescope.llm import queries as llm_queries
-except ImportError:
-    corpus_pipeline = llm_queries = None
+
+
+def _optional(name: str):
+    """A module that may have been deleted; any other import error is raised."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "ensemblescope.llm"):
+            raise
+        return None
+
+
+llm_queries = _optional("ensemblescope.llm.queries")
+corpus_pipeline = _optional("corpus_pipeline")
 
 YEARS = list(fx.YEARS)
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
