@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
@@ -116,3 +116,23 @@ def grid_floor(column: Column) -> Column:
     """The smallest value of a bin of ``grid``."""
     shift = F.greatest(F.floor(column / 32) - F.lit(1), F.lit(0))
     return ((column - shift * 32) * F.pow(F.lit(2.0), shift)).cast("bigint")
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], salt_by: list[str], salts: int = 16, how: str = "left") -> DataFrame:
+    """Attach the one row of ``small`` that has the same, perhaps null, values of ``on``.
+
+    Rows of one key are dealt over ``salts`` tasks, so a key with a third of all
+    rows is no hot spot and nothing has to be broadcast.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = copies.withColumnsRenamed({c: f"_small_{c}" for c in on})
+    same = F.col("_salt") == F.col("_salt_of")
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_small_{c}"))
+    return salted.join(copies, same, how).drop("_salt", "_salt_of", *[f"_small_{c}" for c in on])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once for each row."""
+    return F.transform(F.array(value), body)[0]

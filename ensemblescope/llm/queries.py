@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_queue, secret_dfa, winnowing, zstd_langid
+from . import adaptive_rules, attention_lm, bpe_queue, importance_resampling, mixing, prob_minhash, reply_trees, secret_dfa, winnowing, zstd_langid
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,31 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    formatted = reply_trees.format_trees(reply_trees.conversation_nodes(rows))
+    found = formatted.select("*", reply_trees.read_back().alias("turns"), reply_trees.loss_text().alias("loss_text"))
+    listing = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(listing, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(remainder(5) == 1, F.lit(False)))
+    training = docs.where(~F.col("held_out"))
+    fitted = attention_lm.fit_counts(training, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    fitted = attention_lm.fit_model(training, fitted)
+    return attention_lm.score_texts(docs, fitted)
+
+
 def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
     samples = zstd_langid.learn_languages(docs.where(~F.coalesce("held_out", F.lit(True))))
@@ -35,6 +61,16 @@ def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = adaptive_rules.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_dfa.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = tuple(r.kind for r in secret_dfa.BASE_RULES)
@@ -46,16 +82,27 @@ def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, least = importance_resampling.resample(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "log_ratio", "sample_key", (F.col("sample_key") >= F.lit(least)).alias("kept"))
+
+
 def op9_bpe_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe_queue.encode_documents(docs, public_tokenizers.path(TOKENIZER))
     return encoded.select("doc_id", *bpe_queue.token_digests(encoded))
 
 
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prob_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text_id", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [(n, f) for n, f in globals().items() if n.startswith("op") and n[2].isdigit()]
     return dict(sorted(found, key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_weighted_mix": mixing.MIX_SQL, "op6_adaptive_rules": adaptive_rules.RULES_SQL}
