@@ -169,3 +169,21 @@ def test_bins_of_skewed_values_stay_small(spark):
         counts = np.array([((x[:, j] >= a) & (x[:, j] <= b)).sum() for a, b in zip(lows, highs)])
         assert counts.sum() == 3000
         assert all(n <= 60 or a == b for n, a, b in zip(counts, lows, highs))
+
+
+def test_limits_do_not_depend_on_the_number_of_bins(spark):
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(size=4000), rng.exponential(size=4000), rng.integers(0, 9, 4000)])
+    y = ((x[:, 0] > 0.35) & (x[:, 1] < 1.2)) | (rng.random(4000) < 0.1)
+    df, names = frame(spark, x, y)
+    lows, highs, trajectory = brute_box(x, y.astype(float))
+    for max_bins in (8, 64, 40_000):
+        box = es.find_box(df, max_bins=max_bins)
+        assert [(s.n, s.positives) for s in box.steps] == trajectory
+        assert box.limits() == {n: (lo, hi) for n, lo, hi in zip(names, lows, highs)}
+
+
+def test_missing_values_are_refused(spark):
+    df = spark.createDataFrame([(1.0, None, 1), (2.0, 3.0, 0)], "a double, b double, label int")
+    with pytest.raises(ValueError, match="b"):
+        es.find_box(df)
