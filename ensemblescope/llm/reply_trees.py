@@ -70,7 +70,7 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     Branches run from root to leaf and rank by mean score, then length, then leaf.
     """
     reach, jumps = branches(nodes)
-    parents = nodes.select(F.col("tree").alias("_t"), F.col("parent").alias("_p")).where("_p is not null").distinct()
+    parents = nodes.select(F.col("tree").alias("_t"), F.col("parent").alias("_p"), "node").where("_p is not null and _p != node").drop("node").distinct()
     leaves = reach.join(parents, _same_tree("_t") & (F.col("node") == F.col("_p")), "left_anti")
     mean = F.col("score") / F.col("depth")
     best = Window.partitionBy("tree").orderBy(mean.desc(), F.col("depth").desc(), "node")
