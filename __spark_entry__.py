@@ -38,11 +38,9 @@ llm_queries = _optional("ensemblescope.llm.queries")
 corpus_pipeline = _optional("corpus_pipeline")
 
 YEARS = list(fx.YEARS)
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 SAMPLES = 1000
 BOX = {"l_quantity": (30.0, 50.0), "l_discount": (0.0, 0.06)}
 BOXES = [BOX, {"l_quantity": (36.0, 50.0), "l_discount": (0.0, 0.04)}, {"p_size": (10.0, 20.0)}]
-EXACT_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 TREES = {"n_trees": 20}
 FOREST = {"n_trees": 50}
 
@@ -68,7 +66,7 @@ def q_coverage_one(spark, d):
 
 def q_pivot_first(spark, d):
     cells = fx.cells(spark, d)
-    return es.pivot_cells(cells, [(v, y) for v in BRANDS for y in YEARS])
+    return es.pivot_cells(cells, [(v, y) for v in fx.brands(spark, d) for y in YEARS])
 
 
 def q_unpivot_years(spark, d):
@@ -90,8 +88,8 @@ def q_parse_year_names(spark, d):
 
 
 def q_roundtrip_wide(spark, d):
-    wide = es.pivot_cells(fx.cells(spark, d, sparse=True), [(v, y) for v in BRANDS for y in YEARS])
-    return es.first_cells(es.tidy(wide))
+    wide = es.pivot_cells(fx.cells(spark, d, sparse=True), [(v, y) for v in fx.brands(spark, d) for y in YEARS])
+    return es.first_cells(es.tidy(wide), rule="smallest")
 
 
 def q_shape_report(spark, d):
@@ -174,11 +172,11 @@ def _written_cells(spark, d, sparse=False):
 
 
 def q_completeness_filter(spark, d):
-    return es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    return es.complete_scenarios(_written_cells(spark, d, sparse=True), fx.brands(spark, d), YEARS, 0.7)
 
 
 def q_count_valid(spark, d):
-    return es.count_complete(fx.long(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    return es.count_complete(fx.long(spark, d, sparse=True), fx.brands(spark, d), YEARS, 0.7)
 
 
 def q_corr_pairs(spark, d):
@@ -187,7 +185,7 @@ def q_corr_pairs(spark, d):
 
 
 def q_corr_matrix(spark, d):
-    square = es.square_matrix(es.correlation_matrix(fx.cells(spark, d, sparse=True), YEARS[1], BRANDS))
+    square = es.square_matrix(es.correlation_matrix(fx.cells(spark, d, sparse=True), YEARS[1], fx.brands(spark, d)))
     return square.select("var_a", "var_b", _r("r").alias("r"))
 
 
@@ -219,14 +217,14 @@ def q_sample_sectors(spark, d):
 
 def q_set_max_corr(spark, d):
     cells = _written_cells(spark, d)
-    top = es.set_max_correlation(_starts(spark, d, cells), es.correlation_matrix(cells, YEARS[0], BRANDS))
+    top = es.set_max_correlation(_starts(spark, d, cells), es.correlation_matrix(cells, YEARS[0], fx.brands(spark, d)))
     return top.select("sample_id", _r("max_corr").alias("max_corr"))
 
 
 def q_expanded_sets(spark, d):
     cells = _written_cells(spark, d)
     sectors = _sectors(spark, d, cells)
-    matrix = es.correlation_matrix(cells, YEARS[0], BRANDS)
+    matrix = es.correlation_matrix(cells, YEARS[0], fx.brands(spark, d))
     grown = es.expand_sets(es.sample_start_sets(spark, sectors, SAMPLES), sectors, matrix, 4, 0.2)
     return es.weakly_correlated(grown, 0.2).select(
         "sample_id", F.concat_ws(",", "variables").alias("variables"), _r("max_corr").alias("max_corr")
@@ -266,7 +264,7 @@ def q_selection_summary(spark, d):
 
 def _matrix(spark, d):
     """Scaled matrix of the fuller scenarios, with keys and label."""
-    filtered = materialise(es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.6))
+    filtered = materialise(es.complete_scenarios(_written_cells(spark, d, sparse=True), fx.brands(spark, d), YEARS, 0.6))
     labelled = filtered.withColumn("label", es.binary_target(filtered))
     matrix, scaling = es.scale_and_impute(labelled, es.feature_columns(filtered))
     return filtered, materialise(matrix), scaling
@@ -337,7 +335,7 @@ def q_box_rank(spark, d):
 
 
 def q_peel_candidates(spark, d):
-    peels = es.peel_candidates(fx.rule_rows(spark, d), {"l_quantity": (30.0, 50.0)}, features=EXACT_FEATURES)
+    peels = es.peel_candidates(fx.rule_rows(spark, d), {"l_quantity": (30.0, 50.0)})
     return peels.select("variable", "side", "bound", "removed", _r("mass", 6).alias("mass"), _r("mean", 6).alias("mean"))
 
 
@@ -503,14 +501,11 @@ def q_parquet_round_trip(spark, d):
 
 
 def q_pivot_file(spark, d):
-    source = writers.write_table(
-        fx.scenario_long(spark, d).drop("input_order").select("model", "scenario", "variable", "year", "value"),
-        scratch_path(spark, "source") + ".parquet",
-        "parquet",
-    )
-    # Input order is not fixed in the tables, so only the filled cells are compared.
+    rows = fx.scenario_long(spark, d).orderBy("input_order").select("model", "scenario", "variable", "year", "value")
+    # In file order, so that the first of several values is the one the tables' order says.
+    source = writers.write_table(rows, scratch_path(spark, "source") + ".parquet", "parquet")
     wide = spark.read.parquet(study.pivot_file(spark, source, fmt="parquet"))
-    return es.unpivot_names(wide).where("value is not null").groupBy("variable", "year").agg(F.count(F.lit(1)).alias("n"))
+    return es.unpivot_names(wide).where("value is not null").select("model", "scenario", "variable", "year", "value")
 
 
 def q_sector_map_file(spark, d):
@@ -534,7 +529,7 @@ def q_rewrite_with_bucket(spark, d):
 
 
 def q_filtered_file(spark, d):
-    filtered = es.complete_scenarios(_written_cells(spark, d, sparse=True), BRANDS, YEARS, 0.7)
+    filtered = es.complete_scenarios(_written_cells(spark, d, sparse=True), fx.brands(spark, d), YEARS, 0.7)
     path = writers.write_table(filtered, scratch_path(spark, "filtered") + ".csv")
     return readers.read_scenarios(spark, path)
 

@@ -13,7 +13,6 @@ from .operators.reshape import first_cells, tidy
 
 YEARS = (1996, 1998)
 KEYS = ["model", "scenario", "region", "temp_bucket"]
-TIE_BREAK = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 RULE_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "l_extendedprice"]
 
 
@@ -39,6 +38,13 @@ def _scenario_columns() -> list[Column]:
     ]
 
 
+def _order() -> Column:
+    """Items by ship date, order, line and part, as one number: it keeps aggregates by hash."""
+    day = F.unix_date(F.to_date("l_shipdate")).cast("bigint")
+    line = (day * F.lit(1 << 36) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
+    return line * 256 + F.pmod("l_partkey", F.lit(256))
+
+
 def _with_places(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Nation and region of rows that have a supplier."""
     return df.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
@@ -52,14 +58,13 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_long(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Long table with duplicates; the sparse form keeps returned items only.
+    """Long table with duplicates; in the sparse form only returned items have a value.
 
     The fact table meets one dimension after the other, so each join is planned
     by that dimension's own size.
     """
     items = read(spark, sf_dir, "lineitem")
-    if sparse:
-        items = items.where("l_returnflag = 'R'")
+    value = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")) if sparse else F.col("l_extendedprice")
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("variable"))
     supplied = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
         read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
@@ -68,8 +73,8 @@ def scenario_long(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Dat
         *_scenario_columns(),
         "variable",
         F.year("l_shipdate").alias("year"),
-        F.col("l_extendedprice").alias("value"),
-        F.struct(*TIE_BREAK).alias("input_order"),
+        value.alias("value"),
+        _order().alias("input_order"),
     )
 
 
@@ -83,6 +88,12 @@ def cells(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     return first_cells(long(spark, sf_dir, sparse))
 
 
+def brands(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All brands of the part table, a reference list, by their number."""
+    found = [r.p_brand for r in read(spark, sf_dir, "part").select("p_brand").distinct().collect()]
+    return sorted(found, key=lambda b: (len(b), b))
+
+
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variable, sector, ordinal) of the brands in the part table, five a sector."""
     number = F.substring_index("variable", "#", -1).cast("int")
@@ -95,8 +106,8 @@ def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semi_wide(cells: DataFrame) -> DataFrame:
-    """One row per scenario and variable, a column per year."""
-    years = [str(y) for y in range(1995, 2002)]
+    """One row per scenario and variable, a column per year of the data."""
+    years = [str(r.year) for r in cells.select("year").distinct().orderBy("year").collect()]
     return cells.groupBy("model", "scenario", "region", "variable").pivot("year", years).agg(F.first("value"))
 
 

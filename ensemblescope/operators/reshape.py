@@ -112,12 +112,14 @@ def keys_of(long: DataFrame) -> list[str]:
 # -- duplicates and the wide layout ---------------------------------------------
 
 
-def first_cells(long: DataFrame, keys: list[str] | None = None, order_by: list | None = None) -> DataFrame:
-    """The first non-null value of every (keys, variable, year).
+def first_cells(
+    long: DataFrame, keys: list[str] | None = None, order_by: list | None = None, rule: str = "first"
+) -> DataFrame:
+    """One value of every (keys, variable, year): by ``rule`` the first or the smallest non-null one.
 
     Rows with a null key, variable, year or value do not count. ``order_by``
     says what "first" means and must leave no ties between different values; it
-    defaults to ``input_order`` if there, else the smallest value is taken. The
+    defaults to ``input_order``. Without an order, "first" raises ValueError. The
     aggregation combines before the shuffle, so a scenario with a third of all
     rows is no hot spot. A single numeric order column is fastest: it keeps the
     hash aggregate, several need a sort.
@@ -126,8 +128,12 @@ def first_cells(long: DataFrame, keys: list[str] | None = None, order_by: list |
     if order_by is None and INPUT_ORDER in long.columns:
         order_by = [INPUT_ORDER]
     group = [*keys, "variable", "year"]
-    if not order_by:
+    if rule not in ("first", "smallest"):
+        raise ValueError(f"unknown rule {rule!r}")
+    if rule == "smallest":
         pick = F.min("value")
+    elif not order_by:
+        raise ValueError("no input_order column: give order_by, or take the smallest value by rule")
     else:
         pick = F.min_by("value", F.struct(*order_by) if len(order_by) > 1 else order_by[0])
     return filled_rows(long, keys).groupBy(*group).agg(pick.alias("value"))

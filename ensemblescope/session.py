@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,30 +28,48 @@ def get_session(app_name: str = "ensemblescope", master: str | None = None) -> S
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, or None on a cluster that names none.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session,
-    where driver and executors are one process, may fall back to a temporary
-    folder.
+    The cluster names it in ``spark.checkpoint.dir``, or the caller has set a
+    checkpoint folder. Only a local session, where driver and executors are one
+    process, may fall back to a temporary folder; anything else raises, early.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ensemblescope-"))
+    if folder or context.getCheckpointDir() is not None:
+        return folder or context.getCheckpointDir()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ensemblescope-"))
     return context.getCheckpointDir()
 
 
+#: Paths made inside ``scratch``, innermost block last.
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; raises when there is none."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the scratch tables made inside; nothing that reads them may be used after it."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -57,13 +77,8 @@ def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | No
 
     The rows are written as Parquet to the shared folder and read back: that
     cuts the lineage, survives the loss of executors, keeps column pruning and
-    filter pushdown for the readers, and tells the planner the true size. On a
-    cluster without a shared folder the rows are persisted instead, which Spark
-    recomputes if an executor is lost.
+    filter pushdown for the readers, and tells the planner the true size.
     """
-    spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df.persist()
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ YEARS = (1996, 1998)
 SAMPLES = 1000
 KEYS = "model, scenario, region, temp_bucket"
 RULE_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "l_extendedprice"]
-EXACT_FEATURES = RULE_FEATURES[:5]
 IN_YEARS = "year IN (1996, 1998)"
 
 BUCKET = """CASE {c} WHEN 'C1' THEN '1.5' WHEN 'C2' THEN '1.5' WHEN 'C3' THEN '2' WHEN 'C4' THEN '2'
@@ -23,16 +22,16 @@ labelled AS (SELECT *, {BUCKET.format(c='category')} AS temp_bucket FROM scenari
 
 
 def _base(sparse: bool = False) -> str:
-    where = "WHERE l_returnflag = 'R'" if sparse else ""
+    value = "CASE WHEN l_returnflag = 'R' THEN l_extendedprice END" if sparse else "l_extendedprice"
     return f"""{SCENARIOS},
 long AS (
   SELECT model, scenario, region, temp_bucket, category, p_brand AS variable,
-         CAST(year(l_shipdate) AS INTEGER) AS year, l_extendedprice AS value,
+         CAST(year(l_shipdate) AS INTEGER) AS year, {value} AS value,
          row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS input_order
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN labelled ON l_suppkey = s_suppkey {where}),
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN labelled ON l_suppkey = s_suppkey),
 cells AS (
   SELECT {KEYS}, variable, year, arg_min(value, input_order) AS value
-  FROM long GROUP BY {KEYS}, variable, year)"""
+  FROM long WHERE value IS NOT NULL GROUP BY {KEYS}, variable, year)"""
 
 
 DENSE, SPARSE = "WITH " + _base(), "WITH " + _base(True)
@@ -183,7 +182,7 @@ def _found_box() -> str:
 def _peels() -> str:
     inside = "l_quantity BETWEEN 30 AND 50"
     unioned = " UNION ALL ".join(
-        f"SELECT '{f}' AS variable, CAST({f} AS DOUBLE) AS value, label FROM rule_rows WHERE {inside}" for f in EXACT_FEATURES
+        f"SELECT '{f}' AS variable, CAST({f} AS DOUBLE) AS value, label FROM rule_rows WHERE {inside}" for f in RULE_FEATURES
     )
     return f"""WITH {RULE}, boxed AS ({unioned}),
 levels AS (SELECT variable, value, count(*) AS n, sum(label) AS p FROM boxed GROUP BY 1, 2),
@@ -331,7 +330,7 @@ def statements() -> dict[str, str]:
             SELECT cluster, variable, {_r('importance')} FROM placed WHERE place <= 10""",
         "csv_round_trip": f"{DENSE} SELECT {KEYS}, variable, year, value FROM cells",
         "parquet_round_trip": f"{DENSE} SELECT {KEYS}, variable, year, value FROM cells WHERE {IN_YEARS}",
-        "pivot_file": f"{DENSE} SELECT variable, year, count(*) AS n FROM cells GROUP BY 1, 2",
+        "pivot_file": f"{DENSE} SELECT model, scenario, variable, year, value FROM cells",
         "sector_map_file": f"WITH {SECTORS} SELECT variable, sector FROM sectors",
         "category_map_file": f"WITH {SCENARIOS} SELECT model, scenario, category FROM scenarios",
         "rewrite_with_bucket": f"WITH {CATEGORIES} SELECT s_suppkey, category, {BUCKET.format(c='category')} AS temp_bucket FROM categories",

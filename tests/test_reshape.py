@@ -31,7 +31,7 @@ def test_pivot_of_the_unit_fixture(spark):
 
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([("M", "S", "A", 2030, math.nan), ("M", "S", "A", 2030, 3.0)], "model string, scenario string, variable string, year int, value double")
-    assert rows(es.first_cells(es.tidy(df)), "value") == [(3.0,)]
+    assert rows(es.first_cells(es.tidy(df), rule="smallest"), "value") == [(3.0,)]
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -70,7 +70,9 @@ def test_wide_layout_keeps_its_keys(spark):
     assert rows(long, "temp_bucket", "variable", "year", "value") == [
         ("1.5", "A", 2030, 1.0), ("1.5", "A", 2050, 2.0), ("1.5", "Price (USD)", None, 7.0)
     ]
-    assert es.first_cells(long).count() == 2
+    assert es.first_cells(long, rule="smallest").count() == 2
+    with pytest.raises(ValueError, match="input_order"):
+        es.first_cells(long)
 
 
 def test_missing_columns_are_named(spark):
@@ -97,4 +99,4 @@ def test_pivot_and_unpivot_are_inverse(spark, cells):
     data = [("m", s, v, y, x) for (s, v, y), x in cells.items()]
     long = spark.createDataFrame(data, "model string, scenario string, variable string, year int, value double")
     wide = es.pivot_cells(long, es.present_columns(long))
-    assert rows(es.first_cells(es.tidy(wide))) == rows(long)
+    assert rows(es.first_cells(es.tidy(wide), rule="smallest")) == rows(long)

@@ -112,3 +112,26 @@ def test_long_table_is_partitioned_by_year(spark):
     path = es.write_long(df, scratch_path(spark, "t"))
     plan = spark.read.parquet(path).where("year = 2030")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_malformed_numbers_are_not_lost(spark, tmp_path):
+    path = str(tmp_path / "odd.csv")
+    lines = ["model,scenario,variable,year,value", "m,s,v,2030.0,1.5", "m,s,v,2031,NA", 'm,s,v,2032,"1,5"', "m,s,v,2033.5,2"]
+    (tmp_path / "odd.csv").write_text("\n".join(lines[:3]))
+    assert rows(readers.read_scenarios(spark, path), "year", "value") == [(2030, 1.5), (2031, None)]
+    for bad in lines[3:]:
+        (tmp_path / "odd.csv").write_text("\n".join([*lines[:2], bad]))
+        with pytest.raises(Exception, match="not a number"):
+            readers.read_scenarios(spark, path).collect()
+        assert readers.read_scenarios(spark, path, malformed="null").where("value is null or year is null").count() == 1
+
+
+def test_input_order_is_one_number_and_keeps_hash_aggregates(spark, tmp_path):
+    for kind in ("csv", "parquet"):
+        path = str(tmp_path / f"rows x.{kind}")
+        frame = spark.range(1000).selectExpr("'m' model", "'s' scenario", "'v' variable", "2030 year", "cast(id as double) value")
+        frame.repartition(5).write.option("header", True).format(kind).save(path)
+        df = readers.read_scenarios(spark, path, input_order=True)
+        assert df.where("input_order is null").count() == 0 and df.select("input_order").distinct().count() == 1000
+        plan = es.first_cells(es.tidy(df))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Sort [" not in plan
