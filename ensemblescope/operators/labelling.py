@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,18 @@ def sector_variables(sector_map: DataFrame, cells: DataFrame) -> dict[str, list[
 
     The map is user-made reference data, one line per variable; it comes to the
     driver because the selection is parametrised by it. Sectors left without a
-    variable are dropped; an empty result is an error.
+    variable are dropped with a warning; an empty result is an error.
     """
     sectors: dict[str, list[str]] = {}
+    mapped = {r.sector for r in sector_map.select("sector").distinct().collect()}
     for row in present_sector_variables(sector_map, cells).orderBy("ordinal").collect():
         names = sectors.setdefault(row.sector, [])
         if row.variable not in names:
             names.append(row.variable)
     if not sectors:
         raise ValueError("no variable of the sector map occurs in the data")
+    if absent := sorted(mapped - sectors.keys(), key=str):
+        warnings.warn(f"sectors without a variable in the data: {absent}", stacklevel=2)
     return sectors
 
 

@@ -29,10 +29,11 @@ SUMMARY_TOP = 10
 PLOT_TOP = 15
 
 RECORD = """
-combination int, variables array<string>, n_scenarios bigint, max_correlation double,
+combination int, variables array<string>, sectors array<string>, n_scenarios bigint, max_correlation double,
+class_counts map<string,bigint>,
 prim struct<n_restricted_vars int, restricted_vars array<string>, best_f1 double, error string>,
-shap struct<top_10_vars array<string>, top_10_importance array<double>, error string>,
-rf struct<top_10_vars array<string>, top_10_importance array<double>, error string>,
+shap struct<top_10_vars array<string>, top_10_importance array<double>, n_vars_for_80_percent bigint, error string>,
+rf struct<top_10_vars array<string>, top_10_importance array<double>, n_vars_for_80_percent bigint, error string>,
 pca struct<explained_variance array<double>, cumulative_variance array<double>, error string>,
 error string
 """
@@ -133,11 +134,18 @@ def feature_matrix(cells: DataFrame, variables: list[str], options: StudyOptions
     return filtered, materialise(matrix, "matrix"), scaling
 
 
-def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptions) -> Analysis:
-    """All explanations of one combination; a failing block leaves its error."""
+def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptions, sectors: dict[str, list[str]] | None = None) -> Analysis:
+    """All explanations of one combination.
+
+    A ValueError, which says that the data doesn't allow an explanation, is
+    recorded and the other blocks go on. Everything else, such as lost executors
+    or a missing configuration, is raised.
+    """
+    sector_of = {v: sector for sector, names in (sectors or {}).items() for v in names}
     record = {
         "combination": combination["combination"],
         "variables": list(combination["variables"]),
+        "sectors": [sector_of.get(v, "Unknown") for v in combination["variables"]],
         "n_scenarios": combination["n_scenarios"],
         "max_correlation": combination["max_corr"],
     }
@@ -146,10 +154,11 @@ def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptio
         filtered, matrix, scaling = feature_matrix(cells, record["variables"], options)
         if matrix.isEmpty():
             raise ValueError("no scenario is complete enough")
-    except Exception as error:  # noqa: BLE001 - recorded, the other combinations go on
+    except ValueError as error:
         record["error"] = str(error)
         return result
     result.tables["filtered"] = filtered
+    record["class_counts"] = {str(r[LABEL]): r.n for r in matrix.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
     keys = keys_of(matrix)
     names = list(scaling.mean)
     for block, run in (
@@ -166,7 +175,7 @@ def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptio
 def _guarded(record: dict, block: str, run: Callable[[], dict | None]) -> None:
     try:
         outcome = run()
-    except Exception as error:  # noqa: BLE001 - recorded, the other blocks go on
+    except ValueError as error:
         outcome = {"error": str(error)}
     if outcome is not None:
         record[block] = outcome
@@ -217,7 +226,8 @@ def _forest_block(result: Analysis, matrix: DataFrame, names, options: StudyOpti
 
 def _top_record(importance: DataFrame) -> dict:
     rows = models.top_variables(importance, SUMMARY_TOP).collect()
-    return {"top_10_vars": [r.variable for r in rows], "top_10_importance": [r.importance for r in rows]}
+    reach = models.variables_to_reach(importance, 0.8).first().n_variables
+    return {"top_10_vars": [r.variable for r in rows], "top_10_importance": [r.importance for r in rows], "n_vars_for_80_percent": reach}
 
 
 def _projection_block(result: Analysis, matrix: DataFrame, keys, names, options: StudyOptions) -> dict:
@@ -250,7 +260,11 @@ def run_study(
     output: str | None = None,
     order_by=None,
 ) -> list[Analysis]:
-    """Select combinations, analyse each, and write all tables below ``output``."""
+    """Select combinations, analyse each, and write all tables below ``output``.
+
+    The tables of the result read scratch tables; to have these deleted, run the
+    study inside ``session.scratch`` and use what lies below ``output`` afterwards.
+    """
     options = options or StudyOptions()
     spark = long.sparkSession
     sectors = sector_variables(sector_map, long.where(F.col("value").isNotNull()))
@@ -260,7 +274,7 @@ def run_study(
     chosen = materialise(choose_combinations(cells, sectors, options), "chosen")
     rows = [r.asDict() for r in chosen.orderBy("combination").collect()]
     with ThreadPoolExecutor(options.parallel) as pool:
-        work = inheritable_thread_target(spark)(lambda row: analyse_combination(cells, row, options))
+        work = inheritable_thread_target(spark)(lambda row: analyse_combination(cells, row, options, sectors))
         analyses = list(pool.map(work, rows))
     if output is not None:
         write_study(spark, analyses, chosen, output)
@@ -273,8 +287,9 @@ def records_frame(spark: SparkSession, analyses: list[Analysis]) -> DataFrame:
 
 
 def combination_report(records: DataFrame) -> DataFrame:
-    """One flat line per combination that could be analysed."""
-    return records.where("error is null").select(
+    """One flat line per combination; those that could not be analysed show their error."""
+    failed = F.concat_ws("; ", F.col("error"), *[F.col(f"{b}.error") for b in ("prim", "shap", "rf", "pca")])
+    return records.select(
         "combination",
         F.size("variables").alias("n_variables"),
         "n_scenarios",
@@ -284,6 +299,7 @@ def combination_report(records: DataFrame) -> DataFrame:
         F.get("shap.top_10_vars", F.lit(0)).alias("top_shap"),
         F.get("rf.top_10_vars", F.lit(0)).alias("top_rf"),
         F.get("pca.cumulative_variance", F.size("pca.cumulative_variance") - 1).alias("variance_explained"),
+        F.when(failed != "", failed).alias("error"),
     )
 
 

@@ -3,11 +3,12 @@ import hashlib
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import ensemblescope as es
 from ensemblescope.operators.correlation import correlation_matrix
 from ensemblescope.operators.coverage import presence_patterns
-from ensemblescope.operators.selection import dense_matrix
+from ensemblescope.operators.selection import conflict_bits
 
 SCHEMA = "model string, scenario string, variable string, year int, value double"
 SECTORS = {"x": [f"x{i}" for i in range(6)], "y": [f"y{i}" for i in range(4)], "z": ["z0", "z1", "x0"]}
@@ -49,50 +50,67 @@ def test_start_sets(spark):
 
 
 def test_a_small_sector_voids_all_samples(spark):
-    assert es.sample_start_sets(spark, {**SECTORS, "w": ["w0"]}, 20, 2).count() == 0
-
-
-def brute_expand(r, at, start, pools, max_vars, threshold):
-    """The definition: test the whole set again for every candidate."""
-
-    def strongest(chosen):
-        block = r[np.ix_([at[v] for v in chosen], [at[v] for v in chosen])].copy()
-        np.fill_diagonal(block, 0)
-        return block.max()
-
-    chosen = list(start)
-    for sector, rest in pools:
-        size = sum(v in SECTORS[sector] for v in chosen)
-        for v in rest:
-            if size >= max_vars:
-                break
-            if strongest([*chosen, v]) <= threshold:
-                chosen.append(v)
-                size += 1
-    return chosen, strongest(chosen)
-
-
-@pytest.mark.parametrize("dense", [2048, 0])
-@pytest.mark.parametrize("threshold", [0.25, 0.4, 0.9])
-def test_expansion(spark, matrix, dense, threshold):
-    r = dense_matrix(NAMES, matrix)
-    at = {v: i for i, v in enumerate(NAMES)}
+    with pytest.warns(UserWarning, match="w"):
+        assert es.sample_start_sets(spark, {**SECTORS, "w": ["w0"]}, 20, 2).count() == 0
+
+
+def strengths(matrix):
+    """|r| of every ordered pair; 1 where undefined or absent."""
+    r = {(a, b): 1.0 for a in NAMES for b in NAMES}
+    for m in matrix.where("var_a < var_b and abs_r is not null").collect():
+        r[m.var_a, m.var_b] = r[m.var_b, m.var_a] = m.abs_r
+    return r
+
+
+@pytest.fixture(scope="module")
+def gappy(matrix):
+    """The matrix with one undefined and one absent pair."""
+    undefined = F.when((F.col("var_a") == "x1") & (F.col("var_b") == "y1"), F.lit(None)).otherwise(F.col("abs_r"))
+    return matrix.where("not (var_a = 'x2' and var_b = 'z1')").withColumn("abs_r", undefined).persist()
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.4, 0.9, 1.0])
+def test_expansion(spark, gappy, threshold):
+    r = strengths(gappy)
     starts = es.sample_start_sets(spark, SECTORS, 60, 1).persist()
-    out = {s.sample_id: s for s in es.expand_sets(starts, SECTORS, matrix, 3, threshold, dense).collect()}
+    out = {s.sample_id: s for s in es.expand_sets(starts, SECTORS, gappy, 3, threshold).collect()}
     assert len(out) == 60
     for s in starts.collect():
-        chosen, strongest = brute_expand(r, at, s.variables, [(p.sector, p.variables) for p in s.pools], 3, threshold)
-        assert out[s.sample_id].variables == chosen
-        assert out[s.sample_id].max_corr == pytest.approx(strongest)
+        chosen = out[s.sample_id].variables
+        pairs = [r[a, b] for i, a in enumerate(chosen) for b in chosen[:i]]
+        assert out[s.sample_id].max_corr == pytest.approx(max(pairs, default=0.0))
+        assert chosen[: len(s.variables)] == s.variables
+        grown = chosen[len(s.variables) :]
+        if max((r[a, b] for i, a in enumerate(s.variables) for b in s.variables[:i]), default=0.0) > threshold:
+            assert not grown
+            continue
+        # What was accepted fits everything before it; what was not was full or in conflict at its turn.
+        assert max(pairs, default=0.0) <= threshold
+        have = list(s.variables)
+        for pool in s.pools:
+            for v in pool.variables:
+                full = sum(u in SECTORS[pool.sector] for u in have) >= 3
+                fits = all(u != v and r[u, v] <= threshold or u == v and threshold >= 1 for u in have)
+                if grown and grown[0] == v and not full and fits:
+                    have.append(grown.pop(0))
+                else:
+                    assert full or not fits
+        assert not grown
+
+
+def test_conflicts_are_packed(spark, gappy):
+    r = strengths(gappy)
+    for threshold in (0.3, 1.0):
+        bits = np.unpackbits(conflict_bits(NAMES, gappy, threshold), axis=1)[:, : len(NAMES)]
+        assert bits.tolist() == [[int((1.0 if a == b else r[a, b]) > threshold) for b in NAMES] for a in NAMES]
 
 
 def test_a_variable_of_two_sectors_fails_the_set_when_drawn_twice(spark, matrix):
     starts = spark.createDataFrame(
         [(0, ["x0", "x0"], [("x", ["x1"])])], "sample_id long, variables array<string>, pools array<struct<sector string, variables array<string>>>"
     )
-    for dense in (2048, 0):
-        out = es.expand_sets(starts, SECTORS, matrix, 3, 0.9, dense).first()
-        assert out.variables == ["x0", "x0"] and out.max_corr == 1.0
+    out = es.expand_sets(starts, SECTORS, matrix, 3, 0.9).first()
+    assert out.variables == ["x0", "x0"] and out.max_corr == 1.0
 
 
 def brute_support(cells, variables, threshold):
@@ -105,14 +123,14 @@ def brute_support(cells, variables, threshold):
     return sum(sum(c in h for c in wanted) >= int(len(wanted) * threshold) for h in have.values())
 
 
-@pytest.mark.parametrize("per_pass", [20_000, 3])
-def test_support(spark, cells, per_pass):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 50])
+def test_support(spark, cells, block_bytes):
     rng = np.random.default_rng(5)
     sets = [(i, [str(v) for v in rng.choice(NAMES, size=1 + i % 6, replace=False)]) for i in range(10)]
     sets.append((10, ["x1", "nope"]))
     sets.append((11, ["x1"]))
     frame = spark.createDataFrame(sets, "sample_id long, variables array<string>")
-    out = dict(rows(es.supporting_scenarios(cells, frame, YEARS, 0.8, sets_per_pass=per_pass)))
+    out = dict(rows(es.supporting_scenarios(cells, frame, YEARS, 0.8, block_bytes=block_bytes)))
     assert out == {i: brute_support(cells, v, 0.8) for i, v in sets}
 
 
