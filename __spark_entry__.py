@@ -239,7 +239,7 @@ def q_valid_counts_all_sets(spark, d):
 def _selected(spark, d):
     cells = _written_cells(spark, d, sparse=True)
     return es.select_variable_combinations(
-        cells, _sectors(spark, d, cells), YEARS, min_vars=2, max_vars=2, corr_threshold=0.4, num_samples=SAMPLES
+        cells, _sectors(spark, d, cells), YEARS, min_vars=2, max_vars=3, corr_threshold=0.4, num_samples=SAMPLES
     )
 
 

@@ -85,19 +85,14 @@ counts AS (
   FROM (SELECT DISTINCT sample_id FROM members) s LEFT JOIN hits h USING (sample_id) LEFT JOIN whole w USING (sample_id)
   GROUP BY 1)"""
 
-RANKED = f"""{SPARSE}, {DRAWS}, {_corr(1996)}, {MATRIX2}, {SET_MAX}, {COUNTS},
-names AS (SELECT sample_id, list(variable ORDER BY position) AS names FROM members GROUP BY 1),
-ranked AS (
-  SELECT sample_id, names, n_scenarios, max_corr FROM names JOIN counts USING (sample_id) JOIN set_max USING (sample_id)
-  WHERE max_corr <= 0.4 AND n_scenarios > 0)"""
-
-EXPANDED = f"""WITH RECURSIVE {_base()}, {DRAWS}, {_corr(1996)}, {MATRIX2}, {SET_MAX},
+def _expanded(sparse: bool, threshold: float, max_vars: int) -> str:
+    return f"""WITH RECURSIVE {_base(sparse)}, {DRAWS}, {_corr(1996)}, {MATRIX2}, {SET_MAX},
 names AS (
   SELECT sample_id, list(variable ORDER BY position) AS names FROM members JOIN set_max USING (sample_id)
-  WHERE max_corr <= 0.2 GROUP BY 1),
+  WHERE max_corr <= {threshold} GROUP BY 1),
 conflicts AS (
   SELECT s.variable, list(o.variable) AS bad FROM sectors s JOIN sectors o ON s.variable <> o.variable
-  LEFT JOIN both_ways b ON b.var_a = s.variable AND b.var_b = o.variable WHERE coalesce(abs_r, 1) > 0.2 GROUP BY 1),
+  LEFT JOIN both_ways b ON b.var_a = s.variable AND b.var_b = o.variable WHERE coalesce(abs_r, 1) > {threshold} GROUP BY 1),
 groups AS (SELECT sector, list(variable) AS members FROM sectors GROUP BY 1),
 pool AS (
   SELECT sample_id, variable, coalesce(bad, []) AS bad, groups.members AS mates,
@@ -107,7 +102,7 @@ grown AS (
   SELECT sample_id, CAST(0 AS BIGINT) AS step, names FROM names
   UNION ALL
   SELECT g.sample_id, p.step,
-         CASE WHEN len(list_intersect(g.names, p.mates)) < 4 AND NOT list_has_any(g.names, p.bad)
+         CASE WHEN len(list_intersect(g.names, p.mates)) < {max_vars} AND NOT list_has_any(g.names, p.bad)
               THEN list_append(g.names, p.variable) ELSE g.names END
   FROM grown g JOIN pool p ON p.sample_id = g.sample_id AND p.step = g.step + 1),
 final AS (SELECT sample_id, arg_max(names, step) AS names FROM grown GROUP BY 1),
@@ -117,6 +112,26 @@ strongest AS (
   ON a.sample_id = b.sample_id AND a.variable < b.variable
   LEFT JOIN matrix2 m ON m.var_a = a.variable AND m.var_b = b.variable GROUP BY 1)"""
 
+
+EXPANDED = _expanded(False, 0.2, 4)
+
+SUPPORT = f"""sizes AS (SELECT sample_id, count(*) * 2 AS n FROM flat GROUP BY 1),
+hits AS (
+  SELECT sample_id, {KEYS}, count(*) AS filled FROM flat JOIN cells USING (variable)
+  WHERE {IN_YEARS} GROUP BY sample_id, {KEYS}),
+present AS (SELECT DISTINCT variable, year FROM cells WHERE {IN_YEARS}),
+whole AS (
+  SELECT sample_id FROM flat JOIN present USING (variable) JOIN sizes USING (sample_id) GROUP BY sample_id, n HAVING count(*) = n),
+supported AS (
+  SELECT sample_id, count(*) FILTER (WHERE filled >= floor(n * 0.8::DOUBLE)) AS n_scenarios
+  FROM hits JOIN whole USING (sample_id) JOIN sizes USING (sample_id) GROUP BY 1)"""
+
+RANKED = f"""{_expanded(True, 0.4, 3)}, {SUPPORT},
+ranked AS (
+  SELECT sample_id, names, n_scenarios, max_corr FROM final JOIN strongest USING (sample_id) JOIN supported USING (sample_id)
+  WHERE n_scenarios > 0)"""
+
+
 CATEGORIES = """categories AS (
   SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN
     CASE WHEN s_suppkey % 3 = 0 THEN ' ' || name || '  ' ELSE name END END AS category
