@@ -62,7 +62,7 @@ def test_raw_limits_undo_the_scaling(finished):
 
 def test_a_failing_block_is_recorded(spark, sf_dir, monkeypatch):
     def fail(*args, **kwargs):
-        raise RuntimeError("no box today")
+        raise ValueError("no box today")
 
     monkeypatch.setattr(boxes, "find_box", fail)
     cells = study.prepare(es.tidy(fx.scenario_long(spark, sf_dir)), None, list(fx.YEARS))
@@ -73,4 +73,35 @@ def test_a_failing_block_is_recorded(spark, sf_dir, monkeypatch):
     assert "error" in nothing.record
     records = study.records_frame(spark, [done, nothing])
     report = es.combination_report(records).collect()
-    assert len(report) == 1 and report[0].best_f1 is None and report[0].top_rf is not None
+    assert len(report) == 2 and report[0].best_f1 is None and report[0].top_rf is not None
+    assert report[0].error == "no box today" and report[1].error and report[1].top_rf is None
+
+
+def test_other_errors_are_raised(spark, sf_dir, monkeypatch):
+    def fail(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(boxes, "find_box", fail)
+    cells = study.prepare(es.tidy(fx.scenario_long(spark, sf_dir)), None, list(fx.YEARS))
+    with pytest.raises(RuntimeError, match="executor lost"):
+        es.analyse_combination(cells, {"combination": 1, "variables": ["Brand#1", "Brand#2"], "n_scenarios": 10, "max_corr": 0.5}, OPTIONS)
+
+
+def test_records_name_sectors_classes_and_reach(finished):
+    for analysis in finished[0]:
+        record = analysis.record
+        assert len(record["sectors"]) == len(record["variables"]) and "Unknown" not in record["sectors"]
+        assert sum(record["class_counts"].values()) == analysis.tables["filtered"].count()
+        assert 1 <= record["shap"]["n_vars_for_80_percent"] <= 2 * len(record["variables"])
+
+
+def test_scratch_is_deleted_and_a_set_folder_is_used(spark):
+    from ensemblescope.session import materialise, scratch, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    assert spark.sparkContext.getCheckpointDir().removeprefix("file:") == str(folder)
+    before = set(folder.iterdir())
+    with scratch(spark):
+        assert materialise(spark.range(5)).count() == 5
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
