@@ -39,8 +39,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: not at all up to three times."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    plan = materialise(mixing.mix_documents(docs.select("doc_id", "source", "text"), labels).select(F.col("doc_id").alias("_id"), "source", "size", "copies").distinct(), "copies")
-    plan = plan.withColumnsRenamed({"source": "_source", "size": "_size", "copies": "_copies"})
+    plan = mixing.mix_documents(docs.select("doc_id", "source", "text"), labels)
+    # Rows that repeat an id, a source and a size are taken equally often.
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    plan = materialise(plan, "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.word_count() == F.col("_size"))
     taken = docs.join(plan.where("_copies > 0"), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

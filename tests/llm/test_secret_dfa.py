@@ -1,0 +1,82 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from llm_helpers import no_docs, odd_docs, plain  # noqa: F401
+
+from ensemblescope.llm import queries
+from ensemblescope.llm.common import utf8_view
+from ensemblescope.llm.secret_dfa import BASE_RULES, RULES, Automaton, Rule, Scanner, find_secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+BITS = [
+    "password", "PassWD", "secret", "Token", "api_key", "APIKEY", " ", "  ", "=", ":", "'", '"', "abc", "é", "AKIA", "ABCDEFGH1234", "0123456789abcdef",
+    "deadbeef", "\n", ",", "x-/", "Z", "AKIAAKIA", "tokentoken", "12345", "ghp_", "ß", "😀", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "xoxb-", "AIza",
+]
+
+
+def brute(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    for k, rule in enumerate(RULES[3:], 3):
+        found += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern, text) if len(m[0]) >= rule.least]
+    return sorted(found)
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return Scanner()
+
+
+def test_matches_equal_regexes(scanner):
+    random.seed(6)
+    texts = ["", "password: token: abcdef", "token==abcdef", "AKIA" * 9, "f" * 23, "f" * 24, "api_key='" + "A" * 5, "-----BEGIN RSA PRIVATE KEY-----"]
+    texts += ["".join(random.choice(BITS) for _ in range(random.randint(0, 25))) for _ in range(3000)]
+    texts.append("".join(random.choice(BITS) for _ in range(20_000)).replace("\n", " ").replace(",", " "))
+    got = scanner.spans(*utf8_view(pa.array(texts)))
+    for text, found in zip(texts, got, strict=True):
+        assert found == brute(text), text[:200]
+
+
+def test_automaton_is_minimal_and_total():
+    small = Automaton((Rule("x", "(ab|cb)+?".replace("+?", "")),), screen=False)
+    assert small.table.shape == (4, 256)  # begin, a or c read, accepted, dead
+    assert Automaton((Rule("x", "a"), Rule("y", "a")), screen=True).table.shape == (2, 256)
+    with pytest.raises(ValueError):
+        Automaton((Rule("x", "(a)*"),), screen=False)
+
+
+def test_stretches_hold_all_matches(scanner):
+    data = ("x" * 50_000 + " password = abcdefgh " + "y" * 50_000).encode()
+    begins, ends = scanner.stretches(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(begins) == 1 and begins[0] <= 50_001 and ends[0] >= 50_020
+
+
+def test_odd_documents(odd_docs, no_docs):
+    found = find_secrets(odd_docs, masked="text")
+    assert found.count() == 9 and all(r.spans == [] for r in found.collect())
+    assert {r.doc_id: r.text for r in found.collect()}[2] is None
+    assert find_secrets(no_docs).count() == 0
+
+
+def test_masked_text(spark):
+    docs = spark.createDataFrame([(1, "é token=abcdef0123456789abcdef0123 end"), (2, "plain")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in find_secrets(docs, masked="clean").collect()}
+    assert got[1].clean == "é [assign] end" and got[2].clean == "plain"
+    assert [(s.start, s.kind, s.end) for s in got[1].spans] == [(2, "assign", 34), (8, "hex", 34)]
+
+
+def test_query(spark, sf_dir):
+    kinds = [r.kind for r in BASE_RULES]
+    want = []
+    for r in queries.read(spark, sf_dir, "documents").collect():
+        found = [s for s in brute(r.text or "") if s[1] < 3]
+        listing = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found)
+        want.append((r.doc_id, *(sum(s[1] == k for s in found) for k in range(3)), hashlib.sha256(listing.encode()).hexdigest()))
+    got = queries.op7_secret_automaton(spark, sf_dir)
+    assert plain(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
