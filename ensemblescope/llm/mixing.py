@@ -17,7 +17,7 @@ from ..session import materialise
 from .common import WORD, join_small, whole_text
 
 #: Slices of the key range in each source; only one slice of a source is sorted.
-SLICES = 1 << 14
+SLICES = 1 << 12
 _UNIT = 2.0**-52
 
 
