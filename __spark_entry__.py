@@ -41,8 +41,6 @@ YEARS = list(fx.YEARS)
 SAMPLES = 1000
 BOX = {"l_quantity": (30.0, 50.0), "l_discount": (0.0, 0.06)}
 BOXES = [BOX, {"l_quantity": (36.0, 50.0), "l_discount": (0.0, 0.04)}, {"p_size": (10.0, 20.0)}]
-TREES = {"n_trees": 20}
-FOREST = {"n_trees": 50}
 
 
 def _r(column, digits: int = 4):
@@ -444,17 +442,17 @@ def q_rf_importance(spark, d):
 
 def q_cluster_rf(spark, d):
     table = _embedding_scaled(spark, d)
-    return es.cluster_importance(table, CLUSTER_LABELS, features=_dimensions(table), **FOREST)
+    return es.cluster_importance(table, CLUSTER_LABELS, features=_dimensions(table))
 
 
 def q_shap_importance(spark, d):
     _, matrix, scaling = _matrix(spark, d)
-    return es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean), **TREES)[0]
+    return es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean))[0]
 
 
 def q_shap_summary(spark, d):
     _, matrix, scaling = _matrix(spark, d)
-    importance, _, trees = es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean), **TREES)
+    importance, _, trees = es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean))
     top = [r.variable for r in es.top_variables(importance, 15).collect()]
     return es.shap_summary(matrix, trees, fx.KEYS, top)
 
@@ -479,10 +477,7 @@ def q_pair_points(spark, d):
 
 
 def q_combination_report(spark, d):
-    options = study.StudyOptions(
-        years=fx.YEARS, corr_threshold=0.5, num_samples=200, num_combinations=2, completeness=0.7,
-        boosted_trees=TREES, forest=FOREST,
-    )
+    options = study.StudyOptions(years=fx.YEARS, corr_threshold=0.5, completeness=0.7)
     analyses = study.run_study(fx.long(spark, d, sparse=True), fx.sector_map(spark, d), options)
     return study.combination_report(study.records_frame(spark, analyses))
 

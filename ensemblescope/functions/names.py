@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import BLANKS
 
-# The patterns of a flat name and of a stringified two-level name.
+# A flat name, and a two-level name written as text.
 FLAT_NAME = r"(?s)^(.*)\(\s*([+-]?\d+)\s*\)*$"
 TUPLE_NAME = r"(?s)^\('(.*)', '?(\d+)'?\)$"
 
