@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     alike only if equal. Rows without id are left out; repeated rows give one.
 
     Copies count once. In each bucket of a band all texts are first compared with
-    the bucket's smallest id, beginning with one such pair for each text. Then
+    the bucket's smallest and largest id, beginning with one such pair for each text. Then
     only texts of one bucket that still are in different classes are compared
     with each other, unless their signatures rule it out; so a large group of
     near copies isn't expanded into pairs, and no pair is skipped for its number.
@@ -191,9 +191,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         signed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("m"), F.first("bands").alias("bands")).select("digest", F.col("m.doc_id").alias("text_id"), "bands"), "texts"
     )
     keyed = texts.where("bands is not null").select("text_id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("text_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("band", "_band")
-    shared = materialise(keyed.join(heads, F.col("band") == F.col("_band")).select("band", "head", "text_id"), "shared")
-    stars = shared.where("head != text_id").groupBy(F.col("head").alias("a"), F.col("text_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    heads = keyed.groupBy("band").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").withColumnRenamed("band", "_band")
+    shared = materialise(keyed.join(heads, F.col("band") == F.col("_band")).select("band", "low", "high", "text_id"), "shared")
+    stars = shared.select(F.explode(F.array("low", "high")).alias("head"), "text_id").where("head != text_id")
+    stars = stars.groupBy(F.least("head", "text_id").alias("a"), F.greatest("head", "text_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     stars = materialise(stars, "stars")
     involved = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     wanted = signed.join(texts.withColumnRenamed("digest", "_digest"), F.col("doc_id") == F.col("text_id")).where(F.col("digest") == F.col("_digest"))
@@ -211,19 +212,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     rest = _labelled(_labelled(rest, labels, "a"), labels, "b").where("a_label != b_label")
     links = links.unionByName(materialise(verified(rest.select("a", "b"), sets, similarity), "links"))
     labels = classes(links)
-    # What remains: texts of one bucket in different classes, neither its head.
+    # What remains: texts of one bucket in different classes, neither of them its head.
     split = _labelled(shared, labels, "text_id").withColumnRenamed("text_id_label", "label")
     mixed = split.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select(F.col("band").alias("_band"))
     parts = signed.select(F.col("doc_id").alias("_doc"), "parts", "bands", F.col("digest").alias("_d"))
     first_text = texts.select(F.col("digest").alias("_e"), F.col("text_id").alias("_f"))
     parts = parts.join(first_text, (F.col("_d") == F.col("_e")) & (F.col("_doc") == F.col("_f"))).select("_doc", "parts", "bands")
-    open_rows = split.join(mixed, F.col("band") == F.col("_band")).where("text_id != head").select("band", "text_id", "label")
+    open_rows = split.join(mixed, F.col("band") == F.col("_band")).where("text_id != low and text_id != high").select("band", "text_id", "label")
     open_rows = materialise(open_rows.join(parts, F.col("text_id") == F.col("_doc")).drop("_doc"), "open")
     other = open_rows.withColumnsRenamed({c: f"_{c}" for c in open_rows.columns})
     m = bands * rows
     agreeing = _agreeing("parts", "_parts")
-    # Four standard deviations below what a likeness of 0.7 makes agree, as weights may differ a little from sets.
-    least = int(m * (similarity - 0.1) - 4 * (m * similarity * (1 - similarity)) ** 0.5)
+    # Nearly five standard deviations below what a likeness of 0.8 makes agree, so less than the bands miss.
+    least = int(m * similarity - 4.9 * (m * similarity * (1 - similarity)) ** 0.5)
     first_shared = F.array_position(F.zip_with("bands", "_bands", lambda x, y: x == y), True)
     own_place = F.array_position("bands", F.col("band"))
     pairs = open_rows.join(
