@@ -49,19 +49,24 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     links = nodes.join(known, _same_tree("_t") & (F.col("parent") == F.col("_n")) & (F.col("parent") != F.col("node")), "left")
-    state = materialise(links.select("tree", "node", F.col("_n").alias("up"), F.lit(1).cast("bigint").alias("depth"), "score"), "branches")
-    n_nodes, jumps = None, []
-    while state.where("up is not null").limit(1).count():
-        jumps.append(state.where("up is not null").select("tree", "node", "up"))
-        if n_nodes is None:
-            n_nodes = state.count()
+    active = links.select("tree", "node", F.col("_n").alias("up"), F.lit(1).cast("bigint").alias("depth"), "score")
+    finished, jumps = [], []
+    n_nodes = None
+    while True:
+        # Only links that have not reached a root are joined again.
+        active = materialise(active, "branches")
+        finished.append(active.where("up is null"))
+        going = active.where("up is not null")
+        if not going.limit(1).count():
+            return reduce(DataFrame.unionByName, finished).drop("up"), jumps
+        jumps.append(going.select("tree", "node", "up"))
+        n_nodes = n_nodes or active.count()
         if 1 << len(jumps) > 2 * n_nodes:
             raise ValueError("parents go round in a circle")
-        above = state.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("score").alias("_score"))
-        joined = state.join(above, _same_tree("_t") & (F.col("up") == F.col("_n")), "left")
-        more = [(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in ("depth", "score")]
-        state = materialise(joined.select("tree", "node", F.col("_up").alias("up"), *more), "branches")
-    return state.select("tree", "node", "depth", "score"), jumps
+        above = reduce(DataFrame.unionByName, [*finished, going])
+        above = above.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("score").alias("_score"))
+        more = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "score")]
+        active = going.join(above, _same_tree("_t") & (F.col("up") == F.col("_n"))).select("tree", "node", F.col("_up").alias("up"), *more)
 
 
 def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
@@ -76,13 +81,25 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     best = Window.partitionBy("tree").orderBy(mean.desc(), F.col("depth").desc(), "node")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), "depth", mean.alias("branch_score"), F.row_number().over(best).alias("rank"))
     turns = leaves.where(F.col("rank") <= paths).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("depth"))).alias("position"))
-    turns = turns.withColumn("node", F.col("leaf")).withColumn("_steps", F.col("depth") - F.col("position"))
+    turns = turns.withColumn("node", F.col("leaf")).withColumn("_steps", F.col("depth") - F.col("position")).drop("depth")
+    # A turn takes the jumps that the binary digits of its distance to the leaf name, and no others.
+    waiting: list[list[DataFrame]] = [[] for _ in jumps]
+    arrived = []
+
+    def send(rows: DataFrame) -> None:
+        lowest = F.length(F.bin(F.col("_steps").bitwiseAND(-F.col("_steps")))) - 1
+        rows = materialise(rows.withColumn("_next", F.when(F.col("_steps") > 0, lowest)), "turns")
+        arrived.append(rows.where("_next is null").drop("_next", "_steps"))
+        for k in range(len(jumps)):
+            waiting[k].append(rows.where(F.col("_next") == k).drop("_next"))
+
+    send(turns)
     for k, jump in enumerate(jumps):
         step = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
-        takes = F.when(F.shiftright("_steps", k).bitwiseAND(F.lit(1)) == 1, F.col("node"))
-        turns = turns.withColumn("_at", takes).join(step, _same_tree("_t") & (F.col("_at") == F.col("_n")), "left")
-        turns = turns.withColumn("node", F.coalesce("_up", "node")).drop("_t", "_n", "_up", "_at")
-    return turns.select("tree", "rank", "branch_score", "leaf", "position", "node")
+        rows = reduce(DataFrame.unionByName, waiting[k]).join(step, _same_tree("_t") & (F.col("node") == F.col("_n")))
+        rows = rows.withColumn("node", F.col("_up")).withColumn("_steps", F.col("_steps") - (1 << k))
+        send(rows.drop("_t", "_n", "_up"))
+    return reduce(DataFrame.unionByName, arrived).select("tree", "rank", "branch_score", "leaf", "position", "node")
 
 
 def format_trees(messages: DataFrame, paths: int = 1) -> DataFrame:
