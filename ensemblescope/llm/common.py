@@ -136,3 +136,29 @@ def join_small(rows: DataFrame, small: DataFrame, on: list[str], salt_by: list[s
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+def kth_largest(table: DataFrame, column: str, k: int, width: int = 1024) -> float:
+    """The k-th largest value of a column, by counting in ever finer ranges; no row is sorted.
+
+    Minus infinity if there are at most k rows, infinity for k below 1. Each pass
+    brings at most ``width`` counts to the driver.
+    """
+    low, high, n = table.agg(F.min(column), F.max(column), F.count(column)).head()
+    if n <= k:
+        return -np.inf
+    if k < 1:
+        return np.inf
+    wanted = k
+    while low < high:
+        step = (high - low) / width
+        if low + step == low:
+            break
+        place = F.least(F.floor((F.col(column) - low) / step), F.lit(width - 1))
+        inside = table.where((F.col(column) >= low) & (F.col(column) <= high)).groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("a"), F.max(column).alias("b"))
+        for row in sorted(inside.collect(), key=lambda r: -r.p):
+            if wanted <= row.n:
+                low, high = row.a, row.b
+                break
+            wanted -= row.n
+    return float(low)

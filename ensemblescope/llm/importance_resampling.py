@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bound_batches, map_batches, mix64, powers, span_hashes, utf8_view, whole_text, word_spans
+from .common import bound_batches, kth_largest, map_batches, mix64, powers, span_hashes, utf8_view, whole_text, word_spans
 from .mixing import uniform
 
 #: Buckets of each of the three families of n-grams: words, pairs of words, four bytes.
@@ -124,11 +124,14 @@ def score_documents(docs: DataFrame, ratio: Ratio, text: str = "text", name: str
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """Up to ``most`` labelled ids of each quality, those with the smallest hashes: _id, good. The worst of several labels counts."""
+    """Up to ``most`` labelled ids of each quality, chosen by their hashes: _id, good. The worst of several labels counts."""
     once = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    order = F.xxhash64("doc_id", F.lit(8))
-    parts = [once.where(kind).orderBy(order, "doc_id").limit(most) for kind in (F.col("good"), ~F.col("good"))]
-    return parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "good")
+    drawn = materialise(once.select(F.col("doc_id").alias("_id"), "good", uniform("doc_id").alias("draw")), "labels")
+    parts = []
+    for kind in (F.col("good"), ~F.col("good")):
+        own = drawn.where(kind)
+        parts.append(own.where(F.col("draw") >= F.lit(kth_largest(own, "draw", most))))
+    return parts[0].unionByName(parts[1]).select("_id", "good")
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -142,32 +145,6 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else np.inf
 
 
-def kth_largest(table: DataFrame, column: str, k: int, width: int = 1024) -> float:
-    """The k-th largest value of a column, by counting in ever finer ranges; no row is sorted.
-
-    Minus infinity if there are at most k rows, infinity for k below 1. Each pass
-    brings at most ``width`` counts to the driver.
-    """
-    low, high, n = table.agg(F.min(column), F.max(column), F.count(column)).head()
-    if n <= k:
-        return -np.inf
-    if k < 1:
-        return np.inf
-    wanted = k
-    while low < high:
-        step = (high - low) / width
-        if low + step == low:
-            break
-        place = F.least(F.floor((F.col(column) - low) / step), F.lit(width - 1))
-        inside = table.where((F.col(column) >= low) & (F.col(column) <= high)).groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("a"), F.max(column).alias("b"))
-        for row in sorted(inside.collect(), key=lambda r: -r.p):
-            if wanted <= row.n:
-                low, high = row.a, row.b
-                break
-            wanted -= row.n
-    return float(low)
-
-
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = LABELLED) -> tuple[Ratio, DataFrame]:
     """The two models, raw from all documents and target from the labelled good ones; and the labelled sample."""
     sample = materialise(labelled_sample(labels, most), "labelled")
