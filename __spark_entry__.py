@@ -477,7 +477,7 @@ def q_pair_points(spark, d):
 
 
 def q_combination_report(spark, d):
-    options = study.StudyOptions(years=fx.YEARS, corr_threshold=0.5, completeness=0.7)
+    options = study.StudyOptions(years=fx.YEARS, corr_threshold=0.5, completeness=0.7, num_combinations=4)
     analyses = study.run_study(fx.long(spark, d, sparse=True), fx.sector_map(spark, d), options)
     return study.combination_report(study.records_frame(spark, analyses))
 
