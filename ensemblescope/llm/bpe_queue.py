@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, whole_text
 
 #: White space as Unicode defines it.
-_WHITE = r"\t-\r \x85\xA0  -     　"
+_WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def byte_symbols() -> list[str]:
