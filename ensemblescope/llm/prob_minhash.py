@@ -1,10 +1,11 @@
-"""Near-duplicates by ProbMinHash signatures of weighted word shingles, banding and verification.
+"""Near-duplicates by ProbMinHash signatures of word shingles, banding and verification.
 
 Each shingle of a document sends out a Poisson process whose rate is its weight;
 each arrival hits one of the signature's components, and each component keeps the
 shingle that hit it first. Two components agree with the probability Jaccard
 likeness of the two documents. Arrivals later than the time by which all
-components are hit are never made.
+components are hit are never made. Texts are signed with one weight for all their
+distinct shingles: then that is the plain Jaccard likeness, which links ask for.
 """
 
 from __future__ import annotations
@@ -92,15 +93,16 @@ def signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, n:
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, digest, bands and short components of every row of (doc_id, text).
 
-    The weight of a shingle is 1 + ln(times). ``bands`` is null for a text without words.
+    All distinct shingles weigh the same, however often a text has them, so components
+    agree with the likeness that is verified. ``bands`` is null for a text without words.
     """
     m = bands * rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8_view(batch.column("text"))
-        owner, grams, times = shingles(data, offsets)
+        owner, grams, _ = shingles(data, offsets)
         n = batch.num_rows
-        held = signatures(owner, grams, 1.0 + np.log(times), n, m)
+        held = signatures(owner, grams, np.ones(len(grams)), n, m)
         some = np.bincount(owner, minlength=n) > 0
         keys = np.zeros((n, bands), np.uint64)
         for k in range(rows):

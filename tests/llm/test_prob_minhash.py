@@ -4,11 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from llm_helpers import no_docs, odd_docs  # noqa: F401
 
 from ensemblescope.llm import queries
-from ensemblescope.llm.prob_minhash import classes, keep_one, near_duplicates, shingles, signatures
+from ensemblescope.llm.prob_minhash import classes, keep_one, near_duplicates, shingles, sign, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,6 +108,21 @@ def test_large_groups_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [6, 20])
+def test_repeated_lines_do_not_hide_near_copies(spark, times):
+    random.seed(12)
+    ids = {}
+    for k in range(60):
+        words = [f"w{random.randint(0, 10**6)}" for _ in range(44)]
+        ids[2 * k], ids[2 * k + 1] = " ".join(words), " ".join(words + words[-10:] * times)
+    docs = spark.createDataFrame(list(ids.items()), "doc_id bigint, text string").repartition(4)
+    parts = {r.doc_id: np.array(r.parts) for r in sign(docs).collect()}
+    # 40 of 44 shingles are common, and that is the share that agrees.
+    shares = [(parts[2 * k] == parts[2 * k + 1]).mean() for k in range(60)]
+    assert min(shares) > 0.8 and abs(np.mean(shares) - 40 / 44) < 0.01
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == brute_classes(ids)
+
+
 def test_odd_documents(odd_docs, no_docs):
     found = near_duplicates(odd_docs).collect()
     assert sorted((r.doc_id, r.class_id) for r in found) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 1), (7, 7)]
