@@ -36,3 +36,14 @@ def test_bench_names_exist():
     import bench
 
     assert set(bench.HEADLINE) <= set(entry.queries())
+
+
+def test_combination_report_runs_the_default_number(monkeypatch):
+    seen = []
+    monkeypatch.setattr(entry.study, "run_study", lambda long, sectors, options, *_: seen.append(options) or [])
+    monkeypatch.setattr(entry.study, "records_frame", lambda *_: None)
+    monkeypatch.setattr(entry.study, "combination_report", lambda records: records)
+    monkeypatch.setattr(entry.fx, "long", lambda *_, **__: None)
+    monkeypatch.setattr(entry.fx, "sector_map", lambda *_: None)
+    entry.q_combination_report(None, None)
+    assert [o.num_combinations for o in seen] == [entry.study.StudyOptions(years=entry.fx.YEARS).num_combinations] == [10]
