@@ -70,7 +70,7 @@ class Languages:
 
 
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, list[str]]:
-    """Up to ``pieces`` pieces of ``piece_chars`` code points for each language that has a label.
+    """Up to ``pieces`` different pieces of ``piece_chars`` code points for each language that has a label.
 
     The pieces are those with the smallest hashes of their texts, and begin at a
     place that the hash gives, so the choice doesn't depend on the order of rows.
@@ -81,6 +81,8 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", pie
     rows = rows.withColumn("place", F.xxhash64("text", F.lit(1)))
     begin = F.pmod(F.shiftright("place", 8), F.greatest(F.char_length("text") - piece_chars, F.lit(0)) + 1) + 1
     rows = rows.select("lang", "place", F.substring("text", begin.cast("int"), F.lit(piece_chars)).alias("piece"))
+    # Copies of a text are one piece; they meet in every task before the shuffle.
+    rows = rows.groupBy("lang", "piece").agg(F.min("place").alias("place"))
     # The rank is limited before the shuffle, in every task.
     best = Window.partitionBy("lang").orderBy("place", "piece")
     chosen = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pieces)

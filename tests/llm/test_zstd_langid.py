@@ -31,6 +31,13 @@ def test_wrong_labels_leave_the_dictionaries():
     assert Languages({"en": [one]}).predict("hi")[:2] == ("en", 1.0)
 
 
+def test_copies_of_a_text_are_one_piece(spark):
+    docs = spark.createDataFrame([(f"text number {k % 30} of a few", "en") for k in range(900)], "text string, lang string").repartition(4)
+    found = learn_languages(docs, pieces=20)["en"]
+    assert len(found) == len(set(found)) == 20
+    assert sorted(learn_languages(docs)["en"]) == sorted(f"text number {k} of a few" for k in range(30))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     labels = {r.doc_id: r.lang for r in queries.read(spark, sf_dir, "documents").select("doc_id", "lang").collect()}
     got = queries.op4_zstd_language(spark, sf_dir).collect()
