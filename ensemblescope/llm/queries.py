@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, attention_lm, bpe_queue, importance_resampling, mixing, prob_minhash, reply_trees, secret_dfa, winnowing, zstd_langid
+from ..session import materialise
+from . import adaptive_rules, attention_lm, bpe_queue, importance_resampling, mixing, periodic_runs, prob_minhash, reply_trees, secret_dfa, toxic_cnn, turn_repair, winnowing, zstd_langid
+from .common import WORD, join_small
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -99,6 +101,58 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text_id", "class_id")
 
 
+def _periodic_text(words, h):
+    """The words from a on follow the original ones with a period, where h says so."""
+    n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+    a = F.try_mod(g, n)
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    place = F.sequence(F.lit(0).cast("bigint"), n - 1)
+    repeated = F.transform(place, lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.try_mod(i - a, period)).cast("int")))
+    return F.array_join(repeated, " ")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    changed = F.when((h % 10 == 0) & F.col("text").rlike(WORD), _periodic_text(words, h)).otherwise(F.col("text"))
+    found = periodic_runs.collapse_runs(docs.select("doc_id", changed.alias("text"))).withColumn("best", periodic_runs.most_repeated())
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.lit(" ")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, blank).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    kind = F.crc32(key) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    changed = F.struct(F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    damaged = rows.select("conv_id", "turn", F.explode_outer(F.array_repeat(changed, times)).alias("row")).select("conv_id", "turn", "row.*")
+    repaired = turn_repair.repair_conversations(damaged, present=F.col("role").isNotNull())
+    return repaired.select("conv_id", "gaps", *turn_repair.COUNTS, "audit", F.sha2(turn_repair.listed(), 256).alias("repaired_sha256"))
+
+
+def op13_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    model = toxic_cnn.fit(toxic_cnn.labelled_sample(docs, labels, ~held_out))
+    scored = materialise(toxic_cnn.score_documents(docs.select("doc_id", "lang", held_out.alias("held_out"), "text"), model).drop("text"), "scores")
+    # The limits by language come from the rows that the labels may be taken of.
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    limits = toxic_cnn.calibrate(scored.where(~F.col("held_out")).join(marks, "doc_id"))
+    judged = join_small(scored, limits, ["lang"], salt_by=["doc_id"])
+    limit = F.coalesce("threshold", F.lit(toxic_cnn.PLAIN_LIMIT))
+    return judged.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), (F.col("score") >= limit).cast("int").alias("predicted_by_lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [(n, f) for n, f in globals().items() if n.startswith("op") and n[2].isdigit()]
     return dict(sorted(found, key=lambda x: int(x[0][2:].split("_")[0])))
