@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import adaptive_rules, attention_lm, bpe_queue, importance_resampling, mixing, periodic_runs, prob_minhash, reply_trees, secret_dfa, toxic_cnn, turn_repair, winnowing, zstd_langid
-from .common import WORD, join_small
+from .common import WORD, join_small, let
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -115,7 +115,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    changed = F.when((h % 10 == 0) & F.col("text").rlike(WORD), _periodic_text(words, h)).otherwise(F.col("text"))
+    changed = F.when((h % 10 == 0) & F.col("text").rlike(WORD), let(words, lambda w: _periodic_text(w, h))).otherwise(F.col("text"))
     found = periodic_runs.collapse_runs(docs.select("doc_id", changed.alias("text"))).withColumn("best", periodic_runs.most_repeated())
     return found.select(
         "doc_id",
