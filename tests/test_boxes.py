@@ -187,3 +187,56 @@ def test_missing_values_are_refused(spark):
     df = spark.createDataFrame([(1.0, None, 1), (2.0, 3.0, 0)], "a double, b double, label int")
     with pytest.raises(ValueError, match="b"):
         es.find_box(df)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_in_one_task_or_all_give_the_same_trajectory(spark, monkeypatch, seed):
+    from ensemblescope.operators import boxes
+
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 9, 900), rng.exponential(size=900).round(2)])
+    y = ((x[:, 0] > 0.2) & (x[:, 1] > 3)) ^ (rng.random(900) < 0.1)
+    df, names = frame(spark, x, y)
+    here = es.find_box(df, features=names, max_bins=16)
+    monkeypatch.setattr(boxes, "TASK_CELLS", 0)
+    spread = es.find_box(df, features=names, max_bins=16)
+    assert here == spread and len(here.steps) > 3
+    assert [(s.n, s.positives) for s in here.steps] == brute_box(x, y.astype(float))[2]
+
+
+def test_ruled_out_sides_are_not_counted_again(spark, monkeypatch):
+    from ensemblescope.operators import boxes
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 5))
+    df, names = frame(spark, x, x[:, 0] > 0.5)
+    asked = []
+    plain = boxes._finish
+    monkeypatch.setattr(boxes, "_finish", lambda rows, searches: asked.append(len(searches)) or plain(rows, searches))
+    box = es.find_box(df, features=names, max_bins=64)
+    pruned = boxes._promising
+    tasks = boxes._TaskRows(list(np.ascontiguousarray(x.T)), x[:, 0] > 0.5)
+    monkeypatch.setattr(boxes, "_promising", lambda searches, bounds: pruned(searches, bounds) or searches)
+    found = boxes._search(tasks, tasks.binning(names, 64), 0.5, 0.05, 0.05, 0.05)
+    kept = list(asked)
+    monkeypatch.setattr(boxes, "_promising", lambda searches, bounds: searches)
+    asked.clear()
+    whole = boxes._search(tasks, tasks.binning(names, 64), 0.5, 0.05, 0.05, 0.05)
+    assert found.steps == whole.steps == box.steps
+    assert sum(kept) < sum(asked) / 2
+
+
+def test_boxes_of_many_models_in_one_job(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    rows = [(0, [float(a), float(b)], int(a > 0.3)) for a, b in x] + [(1, [float(a)], int(a < -0.5)) for a, _ in x] + [(2, [None], 1), (2, [1.0], 0)]
+    df = spark.createDataFrame(rows, "m int, x array<double>, y int").repartition(5)
+    from ensemblescope.operators.boxes import find_boxes
+
+    found = find_boxes(df, F.col("m"), F.col("x"), F.col("y"), {0: ["a", "b"], 1: ["a"], 2: ["z"], 3: ["none"]})
+    assert set(found) == {0, 1, 2} and isinstance(found[2], ValueError)
+    for m, d, y in ((0, 2, x[:, 0] > 0.3), (1, 1, x[:, 0] < -0.5)):
+        one, names = frame(spark, x[:, :d], y)
+        assert es.find_box(one, features=names).steps == found[m].steps
