@@ -53,9 +53,13 @@ def fit_scaling(df: DataFrame, columns: list[str] | None = None) -> Scaling:
     """
     columns = feature_columns(df) if columns is None else columns
     stats = column_statistics(df, columns)
-    rows, mean, sd = stats["rows"], {}, {}
-    for c in columns:
-        s = stats[c]
+    return scaling_of(stats["rows"], {c: stats[c] for c in columns})
+
+
+def scaling_of(rows: int, stats: dict[str, dict]) -> Scaling:
+    """Scaling from the count, mean and variance (``n``, ``mean``, ``var``) of each feature's present values."""
+    mean, sd = {}, {}
+    for c, s in stats.items():
         if not s["n"]:
             warnings.warn(f"feature {c!r} has no value and is dropped", stacklevel=2)
             continue

@@ -1,25 +1,27 @@
 """From a scenario table to explained variable combinations.
 
 ``prepare`` brings any layout into cells, ``choose_combinations`` ranks variable
-sets, ``analyse_combination`` explains one of them, ``run_study`` does it all.
+sets, ``analyse_combinations`` explains them, ``run_study`` does it all. Every step
+is one job, or a few, for all combinations together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import binary_target
-from ..operators import boxes, correlation, features, models, projection
-from ..operators.coverage import complete_scenarios
+from ..operators import attribution, boxes, correlation, features, models, projection
+from ..operators.coverage import complete_scenarios, needed_cells
+from ..operators.features import is_training_row
 from ..operators.labelling import attach_category_map, sector_variables
 from ..operators.reshape import first_cells, keys_of, pivot_cells, present_columns, restrict, small_table, tidy
+from ..operators.trees import feature_array
 from ..operators.selection import number_combinations, rank_sets, select_variable_combinations
 from ..session import materialise
 from ..sources import readers, writers
@@ -55,9 +57,6 @@ class StudyOptions:
     boosted_trees: dict = field(default_factory=dict)
     forest: dict = field(default_factory=dict)
     seed: int = 42
-    # How many combinations the driver works on at once: their jobs are small
-    # and mostly wait, so overlapping them keeps the cluster busy.
-    parallel: int = 4
 
 
 @dataclass
@@ -121,133 +120,262 @@ def choose_combinations(cells: DataFrame, sectors: dict[str, list[str]], options
     return number_combinations(rank_sets(ranked, options.num_combinations, options.distinct_sets))
 
 
-# -- one combination ------------------------------------------------------------------
+# -- combinations -----------------------------------------------------------------------
 
 
-def feature_matrix(cells: DataFrame, variables: list[str], options: StudyOptions) -> tuple[DataFrame, DataFrame, features.Scaling]:
-    """(filtered scenarios, scaled matrix with keys and label, scaling)."""
-    filtered = materialise(
-        complete_scenarios(cells, variables, list(options.years), options.completeness), "filtered"
-    )
-    labelled = filtered.withColumn(LABEL, binary_target(filtered))
-    matrix, scaling = features.scale_and_impute(labelled, features.feature_columns(filtered))
-    return filtered, materialise(matrix, "matrix"), scaling
+@dataclass(frozen=True)
+class Prepared:
+    """Rows of several combinations: ``filtered`` with raw, ``scaled`` with scaled features, both as arrays ``x``.
 
+    ``columns`` names the features of ``filtered``, ``scaling`` those of
+    ``scaled``; ``errors`` says why a combination has no rows.
+    """
 
-def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptions, sectors: dict[str, list[str]] | None = None) -> Analysis:
-    """All explanations of one combination.
+    keys: list[str]
+    filtered: DataFrame
+    scaled: DataFrame | None
+    columns: dict[int, list[str]]
+    scaling: dict[int, features.Scaling]
+    sizes: dict[int, int]
+    errors: dict[int, str]
+
+    def names(self, number: int) -> list[str]:
+        return list(self.scaling[number].mean)
+
+    def filtered_of(self, number: int) -> DataFrame:
+        """Wide table of a combination's scenarios, with nulls."""
+        return self._wide(self.filtered, number, self.keys, self.columns[number])
+
+    def matrix_of(self, number: int) -> DataFrame:
+        """The same imputed and scaled, with the label."""
+        return self._wide(self.scaled, number, [*self.keys, LABEL], self.names(number))
+
+    def _wide(self, table: DataFrame, number: int, keep: list[str], names: list[str]) -> DataFrame:
+        cells = [F.get("x", F.lit(i)).alias(n) for i, n in enumerate(names)]
+        return table.where(F.col("combination") == number).select(*keep, *cells)
+
+
+def _complete_rows(cells: DataFrame, combinations: list[dict], options: StudyOptions, keys: list[str], columns: dict[int, list]) -> DataFrame:
+    """(combination, keys, x): scenarios that fill enough of a combination's columns, for all combinations in one pass."""
+    need = {k: needed_cells(len(c), options.completeness) for k, c in columns.items()}
+    wanted = [(k, v, y, i, len(c), need[k]) for k, c in columns.items() if need[k] > 0 for i, (v, y) in enumerate(c)]
+    table = small_table(cells.sparkSession, wanted, "combination int, variable string, year int, at int, width int, need int")
+    used = restrict(cells, [w[1] for w in wanted], sorted({w[2] for w in wanted})).where("value is not null")
+    entries = F.map_from_entries(F.collect_list(F.struct("at", F.col("value").cast("double").alias("value"))))
+    grouped = used.join(table, ["variable", "year"]).groupBy("combination", "width", "need", *keys).agg(entries.alias("cells"))
+    x = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.try_element_at("cells", i))
+    rows = grouped.where(F.size("cells") >= F.col("need")).select("combination", *keys, x.alias("x"))
+    for combination in combinations:
+        # Nothing is required, so scenarios without any of the columns stay too.
+        number = combination["combination"]
+        if number in columns and need[number] <= 0:
+            wide = complete_scenarios(cells, list(combination["variables"]), list(options.years), options.completeness, keys)
+            names = [f"{v} ({y})" for v, y in columns[number]]
+            rows = rows.unionByName(wide.select(F.lit(number).alias("combination"), *keys, feature_array(names).alias("x")))
+    return rows
+
+
+def prepare_combinations(cells: DataFrame, combinations: list[dict], options: StudyOptions) -> Prepared:
+    """Filtered and scaled rows of all combinations: one write each, and one aggregate for all scales."""
+    spark, keys = cells.sparkSession, keys_of(cells)
+    years = list(dict.fromkeys(options.years))
+    found = set(present_columns(cells, [v for c in combinations for v in c["variables"]], years))
+    listed = {c["combination"]: [(v, y) for v in dict.fromkeys(c["variables"]) for y in years if (v, y) in found] for c in combinations}
+    errors = {k: "none of the requested variable and year pairs is in the data" for k, c in listed.items() if not c}
+    listed = {k: c for k, c in listed.items() if c}
+    columns = {k: [f"{v} ({y})" for v, y in c] for k, c in listed.items()}
+    filtered = materialise(_complete_rows(cells, combinations, options, keys, listed), "filtered")
+    stats: dict[int, dict] = {}
+    cells_of = filtered.select("combination", F.posexplode("x").alias("at", "value"))
+    moments = cells_of.groupBy("combination", "at").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    # One row for each column of each combination.
+    for r in moments.collect():
+        stats.setdefault(r.combination, {})[r["at"]] = r.asDict()
+    errors |= {k: "no scenario is complete enough" for k in columns if k not in stats}
+    scaling = {k: features.scaling_of(s[0]["rows"], {columns[k][i]: s[i] for i in sorted(s)}) for k, s in stats.items()}
+    sizes = {k: s[0]["rows"] for k, s in stats.items()}
+    scaled = None
+    try:
+        label = binary_target(filtered)
+    except ValueError as error:
+        errors |= {k: str(error) for k in columns if k not in errors}
+    else:
+        scales = [(k, [columns[k].index(c) for c in s.mean], list(s.mean.values()), list(s.sd.values())) for k, s in scaling.items()]
+        table = small_table(spark, scales, "of int, kept array<int>, mean array<double>, sd array<double>")
+
+        def standard(place, i):
+            mean = F.get("mean", i)
+            return (F.coalesce(F.get("x", place), mean) - mean) / F.get("sd", i)
+
+        joined = filtered.join(table, F.col("combination") == F.col("of"))
+        scaled = materialise(joined.select("combination", *keys, label.alias(LABEL), F.transform("kept", standard).alias("x")), "matrix")
+    return Prepared(keys, filtered, scaled, columns, scaling, sizes, errors)
+
+
+def analyse_combinations(cells: DataFrame, combinations: list[dict], options: StudyOptions, sectors: dict[str, list[str]] | None = None) -> list[Analysis]:
+    """All explanations of all combinations, each kind worked out for all of them together.
 
     A ValueError, which says that the data doesn't allow an explanation, is
     recorded and the other blocks go on. Everything else, such as lost executors
     or a missing configuration, is raised.
     """
+    if not combinations:
+        return []
     sector_of = {v: sector for sector, names in (sectors or {}).items() for v in names}
-    record = {
-        "combination": combination["combination"],
-        "variables": list(combination["variables"]),
-        "sectors": [sector_of.get(v, "Unknown") for v in combination["variables"]],
-        "n_scenarios": combination["n_scenarios"],
-        "max_correlation": combination["max_corr"],
-    }
-    result = Analysis(record)
-    try:
-        filtered, matrix, scaling = feature_matrix(cells, record["variables"], options)
-        if matrix.isEmpty():
-            raise ValueError("no scenario is complete enough")
-    except ValueError as error:
-        record["error"] = str(error)
-        return result
-    result.tables["filtered"] = filtered
-    record["class_counts"] = {str(r[LABEL]): r.n for r in matrix.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = keys_of(matrix)
-    names = list(scaling.mean)
-    for block, run in (
-        ("prim", lambda: _box_block(result, matrix, names, scaling, options)),
-        ("shap", lambda: _shap_block(result, matrix, keys, names, options)),
-        ("rf", lambda: _forest_block(result, matrix, names, options)),
-        ("pca", lambda: _projection_block(result, matrix, keys, names, options)),
-        ("correlation", lambda: _correlation_block(result, cells, options)),
-    ):
-        _guarded(record, block, run)
-    return result
-
-
-def _guarded(record: dict, block: str, run: Callable[[], dict | None]) -> None:
-    try:
-        outcome = run()
-    except ValueError as error:
-        outcome = {"error": str(error)}
-    if outcome is not None:
-        record[block] = outcome
-
-
-def _box_block(result: Analysis, matrix: DataFrame, names, scaling, options: StudyOptions) -> dict:
-    spark = matrix.sparkSession
-    box = boxes.find_box(matrix, LABEL, names, threshold=options.box_threshold)
-    assessed = boxes.assess_boxes(boxes.box_statistics(matrix, [box.limits()], LABEL))
-    restricted = boxes.restricted_variables(box.limits_frame(spark), features.feature_ranges(matrix, names))
-    raw = small_table(
-        spark,
-        [(v, scaling.to_raw(v, lo), scaling.to_raw(v, hi)) for v, (lo, hi) in box.limits().items()],
-        "variable string, raw_low double, raw_high double",
-    )
-    ranking = boxes.rank_box_variables(restricted)
-    result.tables["box_assessment"] = assessed
-    result.tables["box_ranking"] = ranking
-    result.tables["box_limits"] = restricted.join(raw, "variable")
-    result.tables["box_trajectory"] = box.trajectory(spark)
-    touched = {r.variable for r in restricted.where("restricted").select("variable").collect()}
-    in_order = [v for v in names if v in touched]
-    result.tables["box_points"] = boxes.box_points(matrix, box.limits(), in_order, LABEL)
-    return {
-        "n_restricted_vars": len(in_order),
-        "restricted_vars": in_order,
-        "best_f1": float(boxes.best_f1(assessed).first().best_f1),
+    results = {
+        c["combination"]: Analysis(
+            {
+                "combination": c["combination"],
+                "variables": list(c["variables"]),
+                "sectors": [sector_of.get(v, "Unknown") for v in c["variables"]],
+                "n_scenarios": c["n_scenarios"],
+                "max_correlation": c["max_corr"],
+            }
+        )
+        for c in combinations
     }
+    data = prepare_combinations(cells, combinations, options)
+    for k, error in data.errors.items():
+        results[k].record["error"] = error
+    live = {k: r for k, r in results.items() if k not in data.errors}
+    if live:
+        for k, result in live.items():
+            result.tables["filtered"] = data.filtered_of(k)
+            result.record["class_counts"] = {}
+        for r in data.scaled.groupBy("combination", LABEL).agg(F.count(F.lit(1)).alias("n")).collect():
+            live[r.combination].record["class_counts"][str(r[LABEL])] = r.n
+        for block, run in (("prim", _box_blocks), ("shap", _shap_blocks), ("rf", _forest_blocks), ("pca", _projection_blocks), ("correlation", _correlation_blocks)):
+            _guarded(live, block, lambda run=run: run(live, data, cells, options))
+    return list(results.values())
 
 
-def _shap_block(result: Analysis, matrix: DataFrame, keys, names, options: StudyOptions) -> dict:
-    importance, metrics, trees = models.shap_importance(
-        matrix, keys, LABEL, names, seed=options.seed, **options.boosted_trees
-    )
-    importance = materialise(importance, "shap").orderBy(F.desc("importance"), "variable")
-    result.tables["shap_importance"] = importance
-    result.tables["shap_metrics"] = metrics
-    top = [r.variable for r in models.top_variables(importance, PLOT_TOP).collect()]
-    result.tables["shap_summary"] = models.shap_summary(matrix, trees, keys, top)
-    return _top_record(importance)
-
-
-def _forest_block(result: Analysis, matrix: DataFrame, names, options: StudyOptions) -> dict:
-    importance = models.forest_importance(matrix, LABEL, names, seed=options.seed, **options.forest)
-    result.tables["rf_importance"] = importance
-    return _top_record(importance)
-
-
-def _top_record(importance: DataFrame) -> dict:
-    rows = models.top_variables(importance, SUMMARY_TOP).collect()
-    reach = models.variables_to_reach(importance, 0.8).first().n_variables
-    return {"top_10_vars": [r.variable for r in rows], "top_10_importance": [r.importance for r in rows], "n_vars_for_80_percent": reach}
-
-
-def _projection_block(result: Analysis, matrix: DataFrame, keys, names, options: StudyOptions) -> dict:
-    projected = projection.principal_components(matrix, [*keys, LABEL], names, options.n_components)
-    result.tables["pca_variance"] = projected.variance
-    result.tables["pca_scores"] = projected.scores
-    if "temp_bucket" in keys:
-        result.tables["pca_projection"] = projection.bucket_projection(projected.scores)
-    rows = projected.variance.orderBy("component").collect()
-    return {
-        "explained_variance": [r.explained for r in rows],
-        "cumulative_variance": [r.cumulative for r in rows],
-    }
+def analyse_combination(cells: DataFrame, combination: dict, options: StudyOptions, sectors: dict[str, list[str]] | None = None) -> Analysis:
+    """All explanations of one combination."""
+    return analyse_combinations(cells, [combination], options, sectors)[0]
 
 
-def _correlation_block(result: Analysis, cells: DataFrame, options: StudyOptions) -> None:
+def _guarded(live: dict[int, Analysis], block: str, run: Callable[[], dict[int, dict]]) -> None:
+    """Record what a block says of each combination; its ValueError is every combination's."""
+    try:
+        outcome = run()
+    except ValueError as error:
+        outcome = {k: {"error": str(error)} for k in live}
+    for k, said in outcome.items():
+        live[k].record[block] = said
+
+
+def _found_boxes(live, data: Prepared, options: StudyOptions) -> dict[int, boxes.Box | ValueError]:
+    small = {k: data.names(k) for k in live if data.sizes[k] * len(data.names(k)) <= boxes.TASK_CELLS}
+    found = {}
+    if small:
+        rows = data.scaled.where(F.col("combination").isin(list(small)))
+        found = boxes.find_boxes(rows, F.col("combination"), F.col("x"), F.col(LABEL), small, options.box_threshold)
+    for k in live:
+        if k not in small:
+            found[k] = boxes.find_box(data.matrix_of(k), LABEL, data.names(k), threshold=options.box_threshold)
+    return found
+
+
+def _box_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
+    spark = cells.sparkSession
+    found = _found_boxes(live, data, options)
+    outcome = {k: {"error": str(b)} for k, b in found.items() if isinstance(b, ValueError)}
+    good = {k: b for k, b in found.items() if k not in outcome}
+    statistics = small_table(spark, [(k, *b.statistics()) for k, b in good.items()], "box_index int, n bigint, mass double, density double, coverage double, res_dim int")
+    best = {r.box_index: float(r.f1_score) for r in boxes.assess_boxes(statistics).collect()}
+    for k, box in good.items():
+        names, scaling, tables = data.names(k), data.scaling[k], live[k].tables
+        matrix = data.matrix_of(k)
+        ranges = small_table(spark, [(f, lo, hi) for f, (lo, hi) in box.limits(0).items()], boxes.LIMITS)
+        restricted = boxes.restricted_variables(box.limits_frame(spark), ranges)
+        raw = small_table(
+            spark,
+            [(v, scaling.to_raw(v, lo), scaling.to_raw(v, hi)) for v, (lo, hi) in box.limits().items()],
+            "variable string, raw_low double, raw_high double",
+        )
+        tables["box_assessment"] = boxes.assess_boxes(boxes.box_statistics(matrix, [box.limits()], LABEL))
+        tables["box_ranking"] = boxes.rank_box_variables(restricted)
+        tables["box_limits"] = restricted.join(raw, "variable")
+        tables["box_trajectory"] = box.trajectory(spark)
+        touched = {r.variable for r in restricted.where("restricted").select("variable").collect()}
+        in_order = [v for v in names if v in touched]
+        tables["box_points"] = boxes.box_points(matrix, box.limits(), in_order, LABEL)
+        outcome[k] = {"n_restricted_vars": len(in_order), "restricted_vars": in_order, "best_f1": best.get(k, 0.0)}
+    return outcome
+
+
+def _shap_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
+    rows = data.scaled
+    combination, x = F.col("combination"), F.col("x")
+    names = {k: data.names(k) for k in live}
+    training = is_training_row(*[F.col(k) for k in data.keys], seed=options.seed)
+    trees = models.fit_boosted_models(rows, combination, x, F.col(LABEL), names, training, **options.boosted_trees)
+    found = materialise(attribution.importances(rows, combination, x, {k: t.ensemble for k, t in trees.items()}, names), "shap")
+    predicted = models.predictions(rows.where(~training), combination, x, LABEL, trees)
+    top = _top_records(found)
+    for k, result in live.items():
+        mine = found.where(F.col("model") == k).select("variable", "importance")
+        result.tables["shap_importance"] = mine.orderBy(F.desc("importance"), "variable")
+        result.tables["shap_metrics"] = models.classification_metrics(predicted.where(F.col("model") == k), LABEL)
+        result.tables["shap_summary"] = models.shap_summary(data.matrix_of(k), trees[k], data.keys, top[k].pop("all")[:PLOT_TOP])
+    return top
+
+
+def _forest_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
+    names = {k: data.names(k) for k in live}
+    found = models.forest_models(data.scaled, F.col("combination"), F.col("x"), F.col(LABEL), names, **{"seed": options.seed, **options.forest})
+    top = _top_records(found)
+    for k, result in live.items():
+        mine = found.where(F.col("model") == k).select("variable", "importance")
+        result.tables["rf_importance"] = mine.orderBy(F.desc("importance"), "variable")
+        top[k].pop("all")
+    return top
+
+
+def _top_records(importances: DataFrame) -> dict[int, dict]:
+    """What the records say of each model's importances; one row for each feature of each model is read."""
+    by_model: dict[int, list] = {}
+    for r in importances.collect():
+        by_model.setdefault(r.model, []).append((-r.importance, r.variable))
+    found = {}
+    for k, rows in by_model.items():
+        rows.sort()
+        values, names = [-v for v, _ in rows], [n for _, n in rows]
+        found[k] = {
+            "top_10_vars": names[:SUMMARY_TOP],
+            "top_10_importance": values[:SUMMARY_TOP],
+            "n_vars_for_80_percent": models.number_to_reach(values, 0.8),
+            "all": names,
+        }
+    return found
+
+
+def _projection_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
+    found = projection.component_models(data.scaled, F.col("combination"), F.col("x"), {k: len(data.names(k)) for k in live})
+    outcome = {}
+    for k, (shares, loadings) in found.items():
+        projected = projection.project(data.matrix_of(k), [*data.keys, LABEL], data.names(k), shares, loadings, options.n_components)
+        tables = live[k].tables
+        tables["pca_variance"] = projected.variance
+        tables["pca_scores"] = projected.scores
+        if "temp_bucket" in data.keys:
+            tables["pca_projection"] = projection.bucket_projection(projected.scores)
+        explained = [float(v) for v in shares[: options.n_components]]
+        outcome[k] = {"explained_variance": explained, "cumulative_variance": list(accumulate(explained))}
+    return outcome
+
+
+def _correlation_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
+    """One matrix of all variables; each combination takes its part."""
     year = options.corr_year or options.years[0]
-    matrix = materialise(correlation.correlation_matrix(cells, year, result.record["variables"]), "correlation")
-    result.tables["correlation"] = correlation.square_matrix(matrix)
-    result.tables["top_pairs"] = correlation.top_pairs(matrix, SUMMARY_TOP, mirrored=True)
+    names = sorted({v for r in live.values() for v in r.record["variables"]})
+    matrix = materialise(correlation.correlation_matrix(cells, year, names), "correlation")
+    for result in live.values():
+        mine = result.record["variables"]
+        part = matrix.where(F.col("var_a").isin(mine) & F.col("var_b").isin(mine))
+        result.tables["correlation"] = correlation.square_matrix(part)
+        result.tables["top_pairs"] = correlation.top_pairs(part, SUMMARY_TOP, mirrored=True)
+    return {}
 
 
 # -- the whole study ------------------------------------------------------------------
@@ -273,9 +401,7 @@ def run_study(
     cells = prepare(long, names, years, order_by)
     chosen = materialise(choose_combinations(cells, sectors, options), "chosen")
     rows = [r.asDict() for r in chosen.orderBy("combination").collect()]
-    with ThreadPoolExecutor(options.parallel) as pool:
-        work = inheritable_thread_target(spark)(lambda row: analyse_combination(cells, row, options, sectors))
-        analyses = list(pool.map(work, rows))
+    analyses = analyse_combinations(cells, rows, options, sectors)
     if output is not None:
         write_study(spark, analyses, chosen, output)
     return analyses

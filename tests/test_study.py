@@ -64,7 +64,7 @@ def test_a_failing_block_is_recorded(spark, sf_dir, monkeypatch):
     def fail(*args, **kwargs):
         raise ValueError("no box today")
 
-    monkeypatch.setattr(boxes, "find_box", fail)
+    monkeypatch.setattr(boxes, "find_boxes", fail)
     cells = study.prepare(es.tidy(fx.scenario_long(spark, sf_dir)), None, list(fx.YEARS))
     one = {"combination": 1, "variables": ["Brand#1", "Brand#2"], "n_scenarios": 10, "max_corr": 0.5}
     done = es.analyse_combination(cells, one, OPTIONS)
@@ -81,7 +81,7 @@ def test_other_errors_are_raised(spark, sf_dir, monkeypatch):
     def fail(*args, **kwargs):
         raise RuntimeError("executor lost")
 
-    monkeypatch.setattr(boxes, "find_box", fail)
+    monkeypatch.setattr(boxes, "find_boxes", fail)
     cells = study.prepare(es.tidy(fx.scenario_long(spark, sf_dir)), None, list(fx.YEARS))
     with pytest.raises(RuntimeError, match="executor lost"):
         es.analyse_combination(cells, {"combination": 1, "variables": ["Brand#1", "Brand#2"], "n_scenarios": 10, "max_corr": 0.5}, OPTIONS)
