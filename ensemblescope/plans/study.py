@@ -7,9 +7,9 @@ is one job, or a few, for all combinations together.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,12 +59,34 @@ class StudyOptions:
     seed: int = 42
 
 
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for: a plan over many columns takes the driver a while."""
+
+    def __init__(self):
+        self._make: dict[str, Callable[[], DataFrame]] = {}
+        self._made: dict[str, DataFrame] = {}
+
+    def add(self, name: str, make: Callable[[], DataFrame]) -> None:
+        self._make[name] = make
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._make[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._make)
+
+    def __len__(self) -> int:
+        return len(self._make)
+
+
 @dataclass
 class Analysis:
     """Tables of one combination by name, and its summary record."""
 
     record: dict
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Tables = field(default_factory=Tables)
 
 
 # -- preparing ------------------------------------------------------------------------
@@ -240,7 +262,7 @@ def analyse_combinations(cells: DataFrame, combinations: list[dict], options: St
     live = {k: r for k, r in results.items() if k not in data.errors}
     if live:
         for k, result in live.items():
-            result.tables["filtered"] = data.filtered_of(k)
+            result.tables.add("filtered", lambda k=k: data.filtered_of(k))
             result.record["class_counts"] = {}
         for r in data.scaled.groupBy("combination", LABEL).agg(F.count(F.lit(1)).alias("n")).collect():
             live[r.combination].record["class_counts"][str(r[LABEL])] = r.n
@@ -283,27 +305,35 @@ def _box_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -
     good = {k: b for k, b in found.items() if k not in outcome}
     statistics = small_table(spark, [(k, *b.statistics()) for k, b in good.items()], "box_index int, n bigint, mass double, density double, coverage double, res_dim int")
     best = {r.box_index: float(r.f1_score) for r in boxes.assess_boxes(statistics).collect()}
+    ends = [(k, f, *b.limits()[f], *first) for k, b in good.items() for f, first in b.limits(0).items()]
+    limits = small_table(spark, [e[:4] for e in ends], f"combination int, {boxes.LIMITS}")
+    ranges = small_table(spark, [(*e[:2], *e[4:]) for e in ends], f"combination int, {boxes.LIMITS}")
+    # One row for each feature of each combination.
+    restricted = boxes.restricted_variables(limits, ranges, by=["combination", "variable"])
+    touched: dict[int, set] = {k: set() for k in good}
+    for r in restricted.where("restricted").select("combination", "variable").collect():
+        touched[r.combination].add(r.variable)
     for k, box in good.items():
-        names, scaling, tables = data.names(k), data.scaling[k], live[k].tables
-        matrix = data.matrix_of(k)
-        ranges = small_table(spark, [(f, lo, hi) for f, (lo, hi) in box.limits(0).items()], boxes.LIMITS)
-        restricted = boxes.restricted_variables(box.limits_frame(spark), ranges)
-        raw = small_table(
-            spark,
-            [(v, scaling.to_raw(v, lo), scaling.to_raw(v, hi)) for v, (lo, hi) in box.limits().items()],
-            "variable string, raw_low double, raw_high double",
-        )
-        tables["box_assessment"] = boxes.assess_boxes(boxes.box_statistics(matrix, [box.limits()], LABEL))
-        tables["box_ranking"] = boxes.rank_box_variables(restricted)
-        tables["box_limits"] = restricted.join(raw, "variable")
-        tables["box_trajectory"] = box.trajectory(spark)
-        touched = {r.variable for r in restricted.where("restricted").select("variable").collect()}
-        in_order = [v for v in names if v in touched]
-        tables["box_points"] = boxes.box_points(matrix, box.limits(), in_order, LABEL)
+        in_order = [v for v in data.names(k) if v in touched[k]]
         outcome[k] = {"n_restricted_vars": len(in_order), "restricted_vars": in_order, "best_f1": best.get(k, 0.0)}
+        _add_box_tables(live[k].tables, box, restricted.where(F.col("combination") == k).drop("combination"), in_order, data, k)
     return outcome
 
 
+def _add_box_tables(tables: Tables, box: boxes.Box, restricted: DataFrame, in_order: list[str], data: Prepared, k: int) -> None:
+    spark, scaling = restricted.sparkSession, data.scaling[k]
+
+    def raw_limits() -> DataFrame:
+        rows = [(v, scaling.to_raw(v, lo), scaling.to_raw(v, hi)) for v, (lo, hi) in box.limits().items()]
+        return restricted.join(small_table(spark, rows, "variable string, raw_low double, raw_high double"), "variable")
+
+    tables.add("box_assessment", lambda: boxes.assess_boxes(boxes.box_statistics(data.matrix_of(k), [box.limits()], LABEL)))
+    tables.add("box_ranking", lambda: boxes.rank_box_variables(restricted))
+    tables.add("box_limits", raw_limits)
+    tables.add("box_trajectory", lambda: box.trajectory(spark))
+    tables.add("box_points", lambda: boxes.box_points(data.matrix_of(k), box.limits(), in_order, LABEL))
+
+
 def _shap_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions) -> dict[int, dict]:
     rows = data.scaled
     combination, x = F.col("combination"), F.col("x")
@@ -314,10 +344,10 @@ def _shap_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions)
     predicted = models.predictions(rows.where(~training), combination, x, LABEL, trees)
     top = _top_records(found)
     for k, result in live.items():
-        mine = found.where(F.col("model") == k).select("variable", "importance")
-        result.tables["shap_importance"] = mine.orderBy(F.desc("importance"), "variable")
-        result.tables["shap_metrics"] = models.classification_metrics(predicted.where(F.col("model") == k), LABEL)
-        result.tables["shap_summary"] = models.shap_summary(data.matrix_of(k), trees[k], data.keys, top[k].pop("all")[:PLOT_TOP])
+        shown = top[k].pop("all")[:PLOT_TOP]
+        result.tables.add("shap_importance", lambda k=k: _importance_of(found, k))
+        result.tables.add("shap_metrics", lambda k=k: models.classification_metrics(predicted.where(F.col("model") == k), LABEL))
+        result.tables.add("shap_summary", lambda k=k, shown=shown: models.shap_summary(data.matrix_of(k), trees[k], data.keys, shown))
     return top
 
 
@@ -326,12 +356,16 @@ def _forest_blocks(live, data: Prepared, cells: DataFrame, options: StudyOptions
     found = models.forest_models(data.scaled, F.col("combination"), F.col("x"), F.col(LABEL), names, **{"seed": options.seed, **options.forest})
     top = _top_records(found)
     for k, result in live.items():
-        mine = found.where(F.col("model") == k).select("variable", "importance")
-        result.tables["rf_importance"] = mine.orderBy(F.desc("importance"), "variable")
+        result.tables.add("rf_importance", lambda k=k: _importance_of(found, k))
         top[k].pop("all")
     return top
 
 
+def _importance_of(importances: DataFrame, number: int) -> DataFrame:
+    mine = importances.where(F.col("model") == number).select("variable", "importance")
+    return mine.orderBy(F.desc("importance"), "variable")
+
+
 def _top_records(importances: DataFrame) -> dict[int, dict]:
     """What the records say of each model's importances; one row for each feature of each model is read."""
     by_model: dict[int, list] = {}
@@ -354,12 +388,14 @@ def _projection_blocks(live, data: Prepared, cells: DataFrame, options: StudyOpt
     found = projection.component_models(data.scaled, F.col("combination"), F.col("x"), {k: len(data.names(k)) for k in live})
     outcome = {}
     for k, (shares, loadings) in found.items():
-        projected = projection.project(data.matrix_of(k), [*data.keys, LABEL], data.names(k), shares, loadings, options.n_components)
+        projected = cache(
+            lambda k=k, shares=shares, loadings=loadings: projection.project(data.matrix_of(k), [*data.keys, LABEL], data.names(k), shares, loadings, options.n_components)
+        )
         tables = live[k].tables
-        tables["pca_variance"] = projected.variance
-        tables["pca_scores"] = projected.scores
+        tables.add("pca_variance", lambda projected=projected: projected().variance)
+        tables.add("pca_scores", lambda projected=projected: projected().scores)
         if "temp_bucket" in data.keys:
-            tables["pca_projection"] = projection.bucket_projection(projected.scores)
+            tables.add("pca_projection", lambda projected=projected: projection.bucket_projection(projected().scores))
         explained = [float(v) for v in shares[: options.n_components]]
         outcome[k] = {"explained_variance": explained, "cumulative_variance": list(accumulate(explained))}
     return outcome
@@ -372,9 +408,12 @@ def _correlation_blocks(live, data: Prepared, cells: DataFrame, options: StudyOp
     matrix = materialise(correlation.correlation_matrix(cells, year, names), "correlation")
     for result in live.values():
         mine = result.record["variables"]
-        part = matrix.where(F.col("var_a").isin(mine) & F.col("var_b").isin(mine))
-        result.tables["correlation"] = correlation.square_matrix(part)
-        result.tables["top_pairs"] = correlation.top_pairs(part, SUMMARY_TOP, mirrored=True)
+
+        def part(mine=mine) -> DataFrame:
+            return matrix.where(F.col("var_a").isin(mine) & F.col("var_b").isin(mine))
+
+        result.tables.add("correlation", lambda part=part: correlation.square_matrix(part()))
+        result.tables.add("top_pairs", lambda part=part: correlation.top_pairs(part(), SUMMARY_TOP, mirrored=True))
     return {}
 
 
