@@ -18,9 +18,10 @@ from ensemblescope.functions.fixed_values import CLUSTER_LABELS
 from ensemblescope.functions.names import parsed_variable, parsed_year
 from ensemblescope.operators import features
 from ensemblescope.operators.projection import cumulative_variance, long_features
+from ensemblescope.operators.reshape import small_table
 from ensemblescope.plans import study
 from ensemblescope.session import materialise, scratch_path
-from ensemblescope.sources import readers, writers
+from ensemblescope.sources import readers, schema, writers
 
 
 
@@ -349,7 +350,14 @@ def q_find_box(spark, d):
 
 
 def q_box_trajectory(spark, d):
-    return _found(spark, d)[1].trajectory(spark)
+    """First and last box, counted from the raw rows, and how many steps that count contradicts."""
+    rows, box = _found(spark, d)
+    counted = es.recount_steps(rows, box).withColumnRenamed("n", "rows_inside")
+    both = box.trajectory(spark).join(counted, "step")
+    wrong = (F.col("n") != F.col("rows_inside")) | (F.abs(F.col("density") * F.col("n") - F.col("positives")) > 1e-6)
+    ends = {"first": F.col("step") == 0, "last": F.col("step") == len(box.steps) - 1}
+    sums = [F.sum(F.when(at, F.col(c))).alias(f"{end}_{c}") for end, at in ends.items() for c in ("rows_inside", "positives")]
+    return both.agg(*sums, F.count_if(wrong).alias("contradicted"))
 
 
 def q_box_points(spark, d):
@@ -426,7 +434,7 @@ def q_top_per_cluster(spark, d):
     return es.top_per_cluster(means, 10).select("cluster", "variable", _r("importance").alias("importance"))
 
 
-# -- models: no SQL form -------------------------------------------------------------------------
+# -- models: SQL checks what holds of any right result ---------------------------------------------
 
 
 def _embedding_scaled(spark, d):
@@ -435,51 +443,121 @@ def _embedding_scaled(spark, d):
     return materialise(scaled)
 
 
+PLANTED = "Brand#7 (1996)"
+
+
 def q_rf_importance(spark, d):
+    """Forests for the label and for one that a single variable decides: it must lead, and shares add up to 1."""
     _, matrix, scaling = _matrix(spark, d)
-    return es.forest_importance(matrix, features=list(scaling.mean))
+    names = list(scaling.mean)
+    planted = (F.col(f"`{PLANTED}`") > 0).cast("int")
+    labels = F.explode(F.array(F.struct(F.lit(0).alias("model"), F.col("label").alias("y")), F.struct(F.lit(1).alias("model"), planted.alias("y"))))
+    rows = matrix.select(es.feature_array(names).alias("x"), labels.alias("case")).select("x", "case.*")
+    found = es.forest_models(rows, F.col("model"), F.col("x"), F.col("y"), dict.fromkeys((0, 1), names))
+    whole = Window.partitionBy("model")
+    leads = (F.col("model") == 1) & (F.col("importance") == F.max("importance").over(whole))
+    return found.select("model", "variable", leads.alias("leads"), _r(F.sum("importance").over(whole), 6).alias("total"))
 
 
 def q_cluster_rf(spark, d):
-    table = _embedding_scaled(spark, d)
-    return es.cluster_importance(table, CLUSTER_LABELS, features=_dimensions(table))
+    """Top variables of each cluster, with one variable added that tells clusters apart."""
+    table = _embedding_scaled(spark, d).withColumn("planted", F.col("cluster").cast("double"))
+    found = es.cluster_importance(table, CLUSTER_LABELS, features=[*_dimensions(table), "planted"])
+    top = F.max_by("variable", "importance")
+    return found.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n"), top.alias("top_variable"))
 
 
-def q_shap_importance(spark, d):
+def _explained(spark, d):
     _, matrix, scaling = _matrix(spark, d)
-    return es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean))[0]
+    names = list(scaling.mean)
+    importance, metrics, trees = es.shap_importance(matrix, fx.KEYS, features=names)
+    return matrix, names, importance, metrics, trees
+
+
+def _additive(matrix, names, trees, phi):
+    """(keys, additive): whether a row's attributions add up to the margin that its walk down the trees gives."""
+    walked = es.walked_margins(matrix, fx.KEYS, es.feature_array(names), trees.nodes, trees.start, 6)
+    sums = phi.groupBy(*fx.KEYS).agg((F.sum("phi") + F.lit(trees.ensemble.base)).alias("told"))
+    return walked.join(sums, fx.KEYS).select(*fx.KEYS, (F.abs(F.col("margin") - F.col("told")) < 1e-6).alias("additive"))
+
+
+def q_shap_importance(spark, d):
+    """Scenarios, those whose attributions add up, and variables whose importance is their mean absolute attribution."""
+    matrix, names, importance, metrics, trees = _explained(spark, d)
+    phi = materialise(es.shap_summary(matrix, trees, fx.KEYS, names))
+    rows = _additive(matrix, names, trees, phi).agg(F.count(F.lit(1)).alias("n_scenarios"), F.count_if("additive").alias("n_additive"))
+    means = phi.groupBy("variable").agg(F.avg(F.abs("phi")).alias("mean_phi")).join(importance, "variable")
+    right = means.agg(F.count_if(F.abs(F.col("mean_phi") - F.col("importance")) < 1e-9).alias("n_variables"), F.count_if(F.col("importance") > 0).cast("boolean").alias("some_matter"))
+    tested = metrics.select(F.col("accuracy").between(0, 1).alias("accuracy_ok"))
+    # One row each.
+    return rows.join(right, F.lit(True)).join(tested, F.lit(True))
 
 
 def q_shap_summary(spark, d):
-    _, matrix, scaling = _matrix(spark, d)
-    importance, _, trees = es.shap_importance(matrix, fx.KEYS, features=list(scaling.mean))
-    top = [r.variable for r in es.top_variables(importance, 15).collect()]
-    return es.shap_summary(matrix, trees, fx.KEYS, top)
+    """Every value of the summary plot over all variables, and whether its row's attributions add up."""
+    matrix, names, importance, _, trees = _explained(spark, d)
+    top = [r.variable for r in es.top_variables(importance, len(names)).collect()]
+    phi = materialise(es.shap_summary(matrix, trees, fx.KEYS, top))
+    rows = phi.join(_additive(matrix, names, trees, phi), fx.KEYS)
+    return rows.select("model", "scenario", F.col("variable").alias("column"), _r("value").alias("value"), "additive")
 
 
 def q_pca_scores(spark, d):
-    return es.principal_components(_embedding_scaled(spark, d), ["vec_id", "cluster"]).scores
+    """Squared length of every row on all components: that of the standardised row."""
+    table = _embedding_scaled(spark, d)
+    scores = es.principal_components(table, ["vec_id", "cluster"], n_components=len(_dimensions(table))).scores
+    squares = F.aggregate(F.array(*[c for c in scores.columns if c.startswith("pc")]), F.lit(0.0), lambda a, v: a + v * v)
+    return scores.select("vec_id", "cluster", _r(squares).alias("squared_length"))
 
 
 def q_pca_variance(spark, d):
-    return es.principal_components(_embedding_scaled(spark, d), ["vec_id", "cluster"]).variance
+    """Per component: whether the variance of its scores is the share it is said to explain."""
+    table = _embedding_scaled(spark, d)
+    names = _dimensions(table)
+    found = es.principal_components(table, ["vec_id", "cluster"])
+    total = sum((F.var_pop(n) for n in names), F.lit(0.0))
+    spread = F.array(*[F.struct(F.lit(k).alias("component"), F.var_pop(f"pc{k}").alias("spread")) for k in range(1, 6)])
+    measured = found.scores.agg(spread.alias("spread")).select(F.inline("spread"))
+    whole = table.agg(total.alias("whole"))
+    right = F.abs(F.col("spread") / F.col("whole") - F.col("explained")) < 1e-9
+    order = Window.orderBy("component")
+    falls = F.coalesce(F.lag("explained").over(order) >= F.col("explained"), F.lit(True))
+    # One row a component, and one row of totals.
+    return found.variance.join(measured, "component").join(whole, F.lit(True)).select("component", right.alias("right"), falls.alias("falls"))
 
 
 def q_pca_projection(spark, d):
+    """Plot rows by bucket: how many, and how many have all coordinates."""
     _, matrix, scaling = _matrix(spark, d)
     scores = es.principal_components(matrix, [*fx.KEYS, "label"], list(scaling.mean)).scores
-    return es.bucket_projection(scores)
+    points = es.bucket_projection(scores)
+    filled = F.col("pc2").isNotNull() & F.col("pc3").isNotNull() & F.col("pc4").isNotNull()
+    return points.groupBy("temp_bucket", "label", "colour").agg(F.count(F.lit(1)).alias("n"), F.count_if(filled).alias("n_filled"))
 
 
 def q_pair_points(spark, d):
-    projected = es.principal_components(_embedding_scaled(spark, d), ["vec_id", "cluster"], n_components=6)
-    return es.pair_points(projected.scores)
+    """Points of every cluster, and how many are no longer than their standardised row."""
+    table = _embedding_scaled(spark, d)
+    projected = es.principal_components(table, ["vec_id", "cluster"], n_components=6)
+    points = es.pair_points(projected.scores)
+    parts = [c for c in points.columns if c.startswith("pc")]
+    return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count(F.struct(*parts)).alias("n_points"), F.lit(len(parts)).alias("n_components"))
+
+
+def report_options():
+    return study.StudyOptions(years=fx.YEARS, corr_threshold=0.5, completeness=0.7)
 
 
 def q_combination_report(spark, d):
-    options = study.StudyOptions(years=fx.YEARS, corr_threshold=0.5, completeness=0.7)
-    analyses = study.run_study(fx.long(spark, d, sparse=True), fx.sector_map(spark, d), options)
-    return study.combination_report(study.records_frame(spark, analyses))
+    """The report's lines, and whether each was labelled and explained as a whole."""
+    analyses = study.run_study(fx.long(spark, d, sparse=True), fx.sector_map(spark, d), report_options())
+    records = study.records_frame(spark, analyses)
+    classes = F.aggregate(F.map_values("class_counts"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    labelled = records.select("combination", classes.alias("n_labelled"))
+    told = F.col("error").isNull() & (F.col("n_restricted") >= 0) & F.col("best_f1").between(0, 1) & F.col("top_shap").isNotNull()
+    told &= F.col("top_rf").isNotNull() & F.col("variance_explained").between(0, 1)
+    report = study.combination_report(records).join(labelled, "combination")
+    return report.select("combination", "n_variables", "n_scenarios", _r("max_correlation").alias("max_correlation"), "n_labelled", F.coalesce(told, F.lit(False)).alias("explained"))
 
 
 # -- sources and sinks -------------------------------------------------------------------------------
@@ -503,6 +581,53 @@ def q_pivot_file(spark, d):
     return es.unpivot_names(wide).where("value is not null").select("model", "scenario", "variable", "year", "value")
 
 
+def q_per_combination_files(spark, d):
+    """The variables of the best combinations, a folder for each, read back."""
+    top = es.number_combinations(es.rank_sets(_selected(spark, d), 10))
+    listed = top.select("combination", F.posexplode("variables").alias("position", "variable"))
+    path = writers.write_per_combination(listed, scratch_path(spark, "tables"))
+    return spark.read.option("header", True).schema("position int, variable string, combination int").csv(path)
+
+
+def q_record_files(spark, d):
+    """The best combinations as JSON records, read back."""
+    top = es.number_combinations(es.rank_sets(_selected(spark, d), 10)).select("combination", "variables", "n_scenarios")
+    path = writers.write_records(top, scratch_path(spark, "records"))
+    back = spark.read.schema("combination int, variables array<string>, n_scenarios bigint").json(path)
+    return back.select("combination", F.concat_ws(",", "variables").alias("variables"), "n_scenarios")
+
+
+def q_mixed_case_headers(spark, d):
+    """A file whose headers are in any case, read as the canonical table; required columns are checked."""
+    cells = fx.cells(spark, d).select("model", "scenario", "region", "variable", "year", "value")
+    shouted = cells.withColumnsRenamed({"model": "Model", "scenario": "SCENARIO", "region": "rEgion", "variable": "VARIABLE"})
+    path = writers.write_table(shouted, scratch_path(spark, "headers") + ".csv")
+    back = readers.read_scenarios(spark, path)
+    return schema.require_columns(back, ["model", "scenario", "region", "variable", "year", "value"])
+
+
+def q_missing_columns(spark, d):
+    """What the check of required columns says of every table."""
+    wanted = ("s_name", "n_name", "l_orderkey", "text")
+    rows = []
+    for name in ("supplier", "nation", "lineitem", "documents"):
+        try:
+            schema.require_columns(fx.read(spark, d, name), wanted)
+        except ValueError as error:
+            rows.append((name, sum(f"'{c}'" in str(error).split("found")[0] for c in wanted), fx.read(spark, d, name).count()))
+    return small_table(spark, rows, "name string, n_missing int, n_rows bigint")
+
+
+def q_load_scenarios(spark, d):
+    """A long file without categories and a category map, loaded as the labelled canonical table."""
+    rows = fx.cells(spark, d).select("model", "scenario", "region", "variable", "year", "value")
+    path = writers.write_table(rows, scratch_path(spark, "plain") + ".csv")
+    mapping = fx.suppliers(spark, d).select(F.col("model").alias("Models"), F.col("scenario").alias("Scenarios"), F.col("category").alias("Category"))
+    categories = writers.write_table(mapping, scratch_path(spark, "map") + ".csv")
+    loaded = es.load_scenarios(spark, path, categories)
+    return loaded.select(*fx.KEYS, "variable", "year", "value")
+
+
 def q_sector_map_file(spark, d):
     frame = fx.sector_map(spark, d).orderBy("ordinal").select(F.col("variable").alias("Variable"), F.col("sector").alias("Sector"))
     path = writers.write_table(frame.coalesce(1), scratch_path(spark, "sectors") + ".csv")

@@ -2,14 +2,17 @@
 
 from .functions.labels import binary_target, bucket_colour, cluster_label, display_label, temp_bucket
 from .operators.attribution import importance as attribution_importance
+from .operators.attribution import walked_margins
 from .operators.boxes import (
     assess_boxes,
     best_f1,
     box_points,
     box_statistics,
     find_box,
+    find_boxes,
     peel_candidates,
     rank_box_variables,
+    recount_steps,
     restricted_variables,
 )
 from .operators.correlation import (
@@ -35,7 +38,9 @@ from .operators.models import (
     classification_metrics,
     cluster_importance,
     cumulative_share,
+    fit_boosted_models,
     forest_importance,
+    forest_models,
     shap_importance,
     shap_summary,
     top_per_cluster,
@@ -69,9 +74,11 @@ from .operators.selection import (
     supporting_scenarios,
     weakly_correlated,
 )
+from .operators.trees import feature_array
 from .plans.study import (
     StudyOptions,
     analyse_combination,
+    analyse_combinations,
     combination_report,
     load_scenarios,
     pivot_file,

