@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import temp_bucket
+from ..session import materialise
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -20,15 +21,46 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Bytes of distinct labels, with their keys, that every task may hold for a map-side join.
+MAP_SIDE_BYTES = 64 << 20
+
+
 def attach_label(df: DataFrame, labelled: DataFrame, column: str) -> DataFrame:
     """Left join of a label by (model, scenario).
 
-    The label side is made distinct first; a scenario with two labels still
-    yields two rows. No join strategy is forced: the label side is broadcast
-    when it is small, and adaptive execution splits a hot scenario otherwise.
+    The label side is made distinct and written once; a scenario with two labels
+    still yields two rows. Its size is then known: up to ``MAP_SIDE_BYTES`` it goes
+    to every task, so ``df`` is not shuffled. Beyond that both sides are shuffled,
+    and scenarios that hold more rows than a task's share are dealt over as many salts as there are shuffle partitions.
+    """
+    keys = ["model", "scenario"]
+    labels = materialise(labelled.select(*keys, column).distinct(), "labels")
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (*keys, column)), F.lit(24))
+    size = labels.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    rows = df.drop(column)
+    if size <= MAP_SIDE_BYTES:
+        return rows.join(F.broadcast(labels), keys, "left")
+    hot, salts = _hot_scenarios(rows, keys)
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    salted, labels = rows.withColumn(_SALT, salt.cast("int")), labels.withColumn(_SALT, copies)
+    return salted.join(labels, [*keys, _SALT], "left").drop(_SALT)
+
+
+_SALT = "__label_salt"
+
+
+def _hot_scenarios(rows: DataFrame, keys: list[str]) -> tuple[list[int], int]:
+    """Hashes of the scenarios with more rows than a shuffle partition's share, and the number of partitions.
+
+    There are fewer of them than partitions. Counts combine before their shuffle.
     """
-    labels = labelled.select("model", "scenario", column).distinct()
-    return df.drop(column).join(labels, ["model", "scenario"], "left")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.groupBy(F.xxhash64(*keys).alias("scenario")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "scenario-counts")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return [r.scenario for r in counted.where(F.col("n") * salts > total).collect()], salts
 
 
 def attach_category_map(df: DataFrame, category_map: DataFrame, unmapped: str = "trimmed") -> DataFrame:

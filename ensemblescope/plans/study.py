@@ -24,11 +24,13 @@ from ..operators.reshape import first_cells, keys_of, pivot_cells, present_colum
 from ..operators.trees import feature_array
 from ..operators.selection import number_combinations, rank_sets, select_variable_combinations
 from ..session import materialise
-from ..sources import readers, writers
+from ..sources import column_groups, readers, writers
 
 LABEL = "label"
 SUMMARY_TOP = 10
 PLOT_TOP = 15
+#: Columns of a plain wide table; more go into column groups.
+MOST_COLUMNS = 4000
 
 RECORD = """
 combination int, variables array<string>, sectors array<string>, n_scenarios bigint, max_correlation double,
@@ -93,19 +95,24 @@ class Analysis:
 
 
 def pivot_file(
-    spark: SparkSession, source: str, target: str | None = None, fmt: str = "csv", mode: str = "error"
+    spark: SparkSession, source: str, target: str | None = None, fmt: str = "csv", mode: str = "error", most_columns: int = MOST_COLUMNS
 ) -> str:
     """Long or semi-wide file -> wide file, one column per variable and year.
 
     Column names come from a first small job. An already wide file is kept as
-    it is and its own path returned.
+    it is and its own path returned. More than ``most_columns`` columns are written
+    as column groups (see ``sources.column_groups``) in a folder whose path ends in
+    ``.groups``, which ``load_scenarios`` reads like any other file.
     """
     df = readers.read_scenarios(spark, source, input_order=True)
     if readers.is_wide(df):
         return source
     cells = materialise(first_cells(tidy(df, unmapped="raw")), "cells")
-    wide = pivot_cells(cells, present_columns(cells))
-    return writers.write_table(wide, target or writers.default_output_path(source, fmt), fmt, mode)
+    columns = present_columns(cells)
+    target = target or writers.default_output_path(source, fmt)
+    if len(columns) > most_columns:
+        return column_groups.write_column_groups(cells, columns, target.removesuffix(column_groups.SUFFIX) + column_groups.SUFFIX, mode=mode)
+    return writers.write_table(pivot_cells(cells, columns), target, fmt, mode)
 
 
 def load_scenarios(spark: SparkSession, path: str, category_map: str | None = None) -> DataFrame:
@@ -113,7 +120,10 @@ def load_scenarios(spark: SparkSession, path: str, category_map: str | None = No
 
     A category map supplies the buckets of a file without categories.
     """
-    long = tidy(readers.read_scenarios(spark, path, input_order=True))
+    if path.rstrip("/").endswith(column_groups.SUFFIX):
+        long = column_groups.read_long(spark, path.rstrip("/"))
+    else:
+        long = tidy(readers.read_scenarios(spark, path, input_order=True))
     if category_map is None or "temp_bucket" in long.columns:
         return long
     mapped = attach_category_map(long, readers.read_category_map(spark, category_map))

@@ -135,3 +135,39 @@ def test_input_order_is_one_number_and_keeps_hash_aggregates(spark, tmp_path):
         assert df.where("input_order is null").count() == 0 and df.select("input_order").distinct().count() == 1000
         plan = es.first_cells(es.tidy(df))._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_more_columns_than_a_table_holds_go_into_groups(spark, tmp_path):
+    from ensemblescope.sources import column_groups as groups
+
+    rows = [("m", f"s{k}", "r" if k else None, f"v{i}", 2030 + i % 2, float(k * 100 + i)) for k in range(4) for i in range(25) if (i + k) % 7]
+    cells = spark.createDataFrame(rows, "model string, scenario string, region string, variable string, year int, value double")
+    source = f"{tmp_path}/long.parquet"
+    cells.where("region is not null").coalesce(1).write.parquet(source)
+    path = es.pivot_file(spark, source, f"{tmp_path}/wide", most_columns=10)
+    assert path.endswith(".groups")
+    back = es.load_scenarios(spark, path)
+    wanted = sorted(r[1:] for r in rows if r[2])
+    assert sorted((r.scenario, r.region, r.variable, r.year, r.value) for r in back.collect()) == wanted
+    plain = es.pivot_file(spark, source, f"{tmp_path}/plain.parquet", fmt="parquet")
+    wide = spark.read.parquet(plain)
+    names = groups.column_names(spark, path)
+    assert set(names) == {c for c in wide.columns if "(" in c} and len(names) == 25
+    some = [names[0], names[13], names[24]]
+    picked = groups.read_columns(spark, path, some)
+    assert sorted(map(tuple, picked.select("scenario", *[f"`{c}`" for c in some]).collect())) == sorted(map(tuple, wide.select("scenario", *[f"`{c}`" for c in some]).collect()))
+    with pytest.raises(ValueError, match="no columns"):
+        groups.read_columns(spark, path, ["nope (2030)"])
+
+
+def test_ten_thousand_columns_keep_the_plan_flat(spark, tmp_path):
+    from ensemblescope.sources import column_groups as groups
+
+    rows = [("m", f"s{k}", f"v{i}", 2030, float(i)) for k in range(2) for i in range(0, 10_000, 3)]
+    cells = spark.createDataFrame(rows, "model string, scenario string, variable string, year int, value double")
+    columns = [(f"v{i}", 2030) for i in range(10_000)]
+    path = groups.write_column_groups(cells, columns, f"{tmp_path}/w.groups")
+    values = spark.read.parquet(f"{path}/values")
+    assert len(values.columns) == 4 and values.count() == 20
+    assert groups.read_long(spark, path).count() == len(rows)
+    assert len(groups.read_long(spark, path)._jdf.queryExecution().optimizedPlan().toString()) < 5000
