@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import warnings
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,20 +22,25 @@ from ensemblescope.operators.projection import cumulative_variance, long_feature
 from ensemblescope.operators.reshape import small_table
 from ensemblescope.plans import study
 from ensemblescope.session import materialise, scratch_path
-from ensemblescope.sources import readers, schema, writers
+from ensemblescope.sources import column_groups, readers, schema, writers
 
 
 
 def _optional(name: str):
-    """A module that may have been deleted; any other import error is raised."""
+    """A module that may have been deleted, or whose own extras may not be installed; other errors are raised."""
     try:
         return importlib.import_module(name)
     except ModuleNotFoundError as error:
-        if error.name not in ("corpus_pipeline", "ensemblescope.llm"):
+        if error.name in EXTRAS:
+            warnings.warn(f"{name} is left out: {error.name} is not installed", stacklevel=2)
+        elif error.name not in ("corpus_pipeline", "ensemblescope.llm"):
             raise
         return None
 
 
+#: What only the operators for training text need.
+EXTRAS = ("public_tokenizers", "regex", "sentencepiece", "tiktoken", "tokenizers", "xxhash", "zstandard")
+
 llm_queries = _optional("ensemblescope.llm.queries")
 corpus_pipeline = _optional("corpus_pipeline")
 
@@ -628,6 +634,14 @@ def q_load_scenarios(spark, d):
     return loaded.select(*fx.KEYS, "variable", "year", "value")
 
 
+def q_column_groups_file(spark, d):
+    """All cells as a wide table in column groups, read back as a long one."""
+    cells = fx.cells(spark, d).drop("category")
+    columns = es.present_columns(cells)
+    path = column_groups.write_column_groups(cells, columns, scratch_path(spark, "wide") + column_groups.SUFFIX, width=16)
+    return es.load_scenarios(spark, path)
+
+
 def q_sector_map_file(spark, d):
     frame = fx.sector_map(spark, d).orderBy("ordinal").select(F.col("variable").alias("Variable"), F.col("sector").alias("Sector"))
     path = writers.write_table(frame.coalesce(1), scratch_path(spark, "sectors") + ".csv")

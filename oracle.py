@@ -394,6 +394,7 @@ def statements() -> dict[str, str]:
         "missing_columns": """SELECT 'supplier' AS name, CAST(3 AS INTEGER) AS n_missing, count(*) AS n_rows FROM supplier
             UNION ALL SELECT 'nation', 3, count(*) FROM nation UNION ALL SELECT 'lineitem', 3, count(*) FROM lineitem
             UNION ALL SELECT 'documents', 3, count(*) FROM documents""",
+        "column_groups_file": f"{DENSE} SELECT {KEYS}, variable, year, value FROM cells",
         "load_scenarios": f"{DENSE} SELECT {KEYS}, variable, year, value FROM cells",
         "filtered_file": f"{SPARSE} SELECT {KEYS}, {_wide()} FROM cells WHERE {IN_YEARS} GROUP BY {KEYS} HAVING count(*) >= 35",
     }
