@@ -250,6 +250,10 @@ class Automaton:
         self.dead = int(block[self.dead]) if self.dead >= 0 else -1
 
 
+#: Bytes after which a try for a match remembers its states.
+LONG_TRY = 64
+
+
 class Scanner:
     """The compiled rules: one automaton that screens, one for each rule that cuts."""
 
@@ -304,14 +308,21 @@ class Scanner:
         return begins[order], ends[order]
 
     def matches(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        """Kept matches of rule ``k`` in a stretch, as byte spans."""
+        """Kept matches of rule ``k`` in a stretch, as byte spans.
+
+        A try that goes on for long remembers where it was since it last accepted:
+        whoever comes to the same state at the same byte won't accept either. So
+        the time is linear in the stretch.
+        """
         (rows, accepts, dead), begin, rule = self.exact_rows[k], self.begins[k], self.rules[k]
-        found, i, n = [], 0, len(data)
+        found, i, n, states = [], 0, len(data), len(rows)
+        vain: set[int] = set()
         while i < n:
             if data[i] not in begin:
                 i += 1
                 continue
             s, end, j = 0, 0, i
+            since: list[int] = []
             while j < n:
                 s = rows[s][data[j]]
                 if s == dead:
@@ -319,6 +330,13 @@ class Scanner:
                 j += 1
                 if accepts[s]:
                     end = j
+                    since.clear()
+                elif j - i > LONG_TRY:
+                    at = j * states + s
+                    if at in vain:
+                        break
+                    since.append(at)
+            vain.update(since)
             if not end:
                 i += 1
                 continue

@@ -8,7 +8,7 @@ import pytest
 
 from llm_helpers import no_docs, odd_docs, plain  # noqa: F401
 
-from ensemblescope.llm import queries
+from ensemblescope.llm import queries, secret_dfa
 from ensemblescope.llm.common import utf8_view
 from ensemblescope.llm.secret_dfa import BASE_RULES, RULES, Automaton, Rule, Scanner, find_secrets
 
@@ -80,3 +80,26 @@ def test_query(spark, sf_dir):
         want.append((r.doc_id, *(sum(s[1] == k for s in found) for k in range(3)), hashlib.sha256(listing.encode()).hexdigest()))
     got = queries.op7_secret_automaton(spark, sf_dir)
     assert plain(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
+
+
+def test_time_is_linear_in_the_text():
+    import time
+
+    scanner = secret_dfa.Scanner()
+    text = ("eyJ" * 150_000 + " AKIA" + "A" * 20).encode()
+    start = time.process_time()
+    found = scanner.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert time.process_time() - start < 5
+    assert [(i, j) for i, k, j in found if scanner.rules[k].kind == "access"] == [(450_001, 450_025)]
+
+
+def test_remembered_tries_change_no_match(monkeypatch):
+    scanner = secret_dfa.Scanner()
+    text = "eyJ" * 40 + ".eyJ" + "ab" * 60 + "." + "xy" * 50 + " token=" + "q" * 80 + "=eyJeyJ." + "eyJa.eyJb.c" * 9
+    data = (text * 3).encode()
+    monkeypatch.setattr(secret_dfa, "LONG_TRY", 10**9)
+    plain = [scanner.matches(k, data) for k in range(len(scanner.rules))]
+    for least in (0, 7, 64):
+        monkeypatch.setattr(secret_dfa, "LONG_TRY", least)
+        assert [scanner.matches(k, data) for k in range(len(scanner.rules))] == plain
+    assert sum(map(len, plain)) > 3
