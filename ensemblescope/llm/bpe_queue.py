@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, whole_text
+from .common import map_batches, set_aside, whole_text
 
 #: White space as Unicode defines it.
 _WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -162,9 +162,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     """
     held = _sent(docs.sparkSession, tokenizer)
     made = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
-    kept = docs.drop(*made)
-    names = kept.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *(f"`{n}` {t}" for n, t in made.items())])
+    aside, give_back = set_aside(docs, text)
+    kept = aside.withColumn("_whole_text", whole_text(text)).drop(*made)
+    names = [c for c in kept.columns if c != "_whole_text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in names), *(f"`{n}` {t}" for n, t in made.items())])
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         merges = _merges(held.value)
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
             columns.append(pa.array([merges.decode(r) for r in rows], pa.string()))
         return pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    return map_batches(kept.withColumn("_whole_text", whole_text(text)), encode, schema)
+    return give_back(map_batches(kept, encode, schema))
 
 
 def decode_ids(table: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

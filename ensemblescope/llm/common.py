@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but the ``needed`` ones under a name of this call alone, and what gives the names back.
+
+    Names that an operator uses inside can't meet those of its input in between.
+    What gives names back leaves out a column called like a result, in any case of letters.
+    """
+    wanted, tag = {c.lower() for c in needed}, uuid4().hex[:12]
+    names = {f"aside_{tag}_{k}": c for k, c in enumerate(docs.columns) if c.lower() not in wanted}
+    hidden = dict(zip(names.values(), names, strict=True))
+    aside = docs.toDF(*[hidden.get(c, c) for c in docs.columns])
+
+    def give_back(found: DataFrame) -> DataFrame:
+        made = {c.lower() for c in found.columns if c not in names}
+        return found.select(*[F.col(c).alias(names.get(c, c)) for c in found.columns if c not in names or names[c].lower() not in made])
+
+    return aside, give_back
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; empty batches are skipped."""
     bound_batches(df.sparkSession)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bound_batches, kth_largest, map_batches, mix64, powers, span_hashes, utf8_view, whole_text, word_spans
+from .common import bound_batches, kth_largest, map_batches, mix64, powers, set_aside, span_hashes, utf8_view, whole_text, word_spans
 from .mixing import uniform
 
 #: Buckets of each of the three families of n-grams: words, pairs of words, four bytes.
@@ -106,7 +106,8 @@ def score_documents(docs: DataFrame, ratio: Ratio, text: str = "text", name: str
     """
     held = docs.sparkSession.sparkContext.broadcast(ratio.weights)
     buckets = ratio.buckets
-    kept = docs.select("*", whole_text(text).alias("_whole_text")).drop(name)
+    aside, give_back = set_aside(docs, text)
+    kept = aside.select("*", whole_text(text).alias("_whole_text")).drop(name)
     fields = [f for f in kept.schema.fields if f.name != "_whole_text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` double"])
 
@@ -120,7 +121,7 @@ def score_documents(docs: DataFrame, ratio: Ratio, text: str = "text", name: str
         columns = [*(batch.column(f.name) for f in fields), pa.array(np.concatenate(sums))]
         return pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), name])
 
-    return map_batches(kept, score, schema)
+    return give_back(map_batches(kept, score, schema))
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = LABE
     """The two models, raw from all documents and target from the labelled good ones; and the labelled sample."""
     sample = materialise(labelled_sample(labels, most), "labelled")
     # Broadcast are at most twice ``most`` ids.
-    marked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left")
+    marked = docs.select("doc_id", text).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left")
     return fit_ratio(count_features(marked, F.col("good"), text)), sample
 
 
@@ -161,14 +162,18 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", k: int | No
     the last. Without ``k``, it has as many as there are documents whose log ratio
     reaches the value that best tells the labelled good from the labelled bad; if
     either kind is missing, all. A null or empty text has log ratio 0. Labels of
-    unknown documents count for nothing.
+    unknown documents count for nothing. Texts are scored once: the rows are
+    written with their scores, and the key is found from what is written. Columns
+    called like a result are replaced, all others pass through.
     """
     ratio, sample = fit(docs, labels, text, most)
     noise = -F.log(-F.log(uniform("doc_id")))
-    scored = score_documents(docs, ratio, text).withColumn("sample_key", F.col("log_ratio") + noise)
-    narrow = materialise(scored.select("doc_id", "log_ratio", "sample_key"), "scores")
+    aside, give_back = set_aside(docs, "doc_id", text)
+    scored = score_documents(aside, ratio, text).withColumn("sample_key", F.col("log_ratio") + noise)
+    scored = materialise(scored, "scores")
+    narrow = scored.select("doc_id", "log_ratio", "sample_key")
     if k is None:
         seen = narrow.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("log_ratio").alias("s"), F.first("good").alias("g")).collect()
         cut = best_cut(np.array([r.s for r in seen], float), np.array([r.g for r in seen], bool))
         k = narrow.where(F.col("log_ratio") >= F.lit(cut)).count()
-    return scored, kth_largest(narrow, "sample_key", k)
+    return give_back(scored), kth_largest(narrow, "sample_key", k)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import map_batches, mix64, powers, span_hashes, utf8_view, whole_text, word_spans
+from .common import map_batches, mix64, powers, set_aside, span_hashes, utf8_view, whole_text, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -252,9 +252,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     found = materialise(near_duplicates(docs, similarity), "found")
     out = found.where("doc_id != class_id").select(F.col("doc_id").alias("_out_id"), F.col("digest").alias("_out_digest"))
-    marked = docs.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_digest", F.unhex(F.sha2(whole_text(), 256)))
+    aside, give_back = set_aside(docs, "doc_id", "text")
+    marked = aside.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_digest", F.unhex(F.sha2(whole_text(), 256)))
     stays = marked.join(out, (F.col("_key") == F.col("_out_id")) & (F.col("_digest") == F.col("_out_digest")), "left_anti")
     if docs.where("doc_id is not null").count() > found.count():
         named = stays.where("_key is not null").dropDuplicates(["_key", "_digest"])
         stays = named.unionByName(stays.where("_key is null"))
-    return stays.drop("_key", "_digest")
+    return give_back(stays.drop("_key", "_digest"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8_view, whole_text
+from .common import map_batches, set_aside, utf8_view, whole_text
 
 
 @dataclass(frozen=True)
@@ -398,7 +398,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     """
     held = docs.sparkSession.sparkContext.broadcast({"rules": [astuple(r) for r in rules]})
     made = {spans: SPANS} | ({masked: "string"} if masked else {})
-    kept = docs.select("*", whole_text(text).alias("_whole_text"), F.col(text).isNull().alias("_no_text")).drop(*made)
+    aside, give_back = set_aside(docs, text)
+    kept = aside.select("*", whole_text(text).alias("_whole_text"), F.col(text).isNull().alias("_no_text")).drop(*made)
     fields = [f for f in kept.schema.fields if f.name not in ("_whole_text", "_no_text")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {t}" for n, t in made.items())])
     kinds = [r.kind for r in rules]
@@ -417,7 +418,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
             columns.append(pa.array(texts, pa.string()))
         return pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *made])
 
-    return map_batches(kept, scan, schema)
+    return give_back(map_batches(kept, scan, schema))
 
 
 def mask(text: str, found: list[tuple[int, int, int]], kinds: list[str]) -> str:

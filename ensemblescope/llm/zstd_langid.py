@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, whole_text
+from .common import map_batches, set_aside, whole_text
 
 #: Bounds of what is learned: pieces and bytes for each language, and languages.
 PIECES = 192
@@ -105,7 +105,8 @@ def identify_languages(docs: DataFrame, samples: dict[str, list[str]], text: str
     """
     held = docs.sparkSession.sparkContext.broadcast({"samples": samples})
     made = {"lang_pred": "string", "score": "double", "lang_margin": "double", "lang_accepted": "boolean"}
-    kept = docs.select("*", whole_text(text).alias("_whole_text")).drop(*made)
+    aside, give_back = set_aside(docs, text)
+    kept = aside.select("*", whole_text(text).alias("_whole_text")).drop(*made)
     fields = [f for f in kept.schema.fields if f.name != "_whole_text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} {t}" for n, t in made.items())])
 
@@ -119,4 +120,4 @@ def identify_languages(docs: DataFrame, samples: dict[str, list[str]], text: str
         columns.append(pa.array([f[0] != "und" and f[2] >= margin for f in found], pa.bool_()))
         return pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *made])
 
-    return map_batches(kept, predict, schema)
+    return give_back(map_batches(kept, predict, schema))
