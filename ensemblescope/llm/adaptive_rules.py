@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WORD, grid, grid_floor, join_small, let, whole_text
+from .common import WORD, grid, grid_floor, join_small, let, set_aside, whole_text
 
-#: Measure: what it is, per how many, and the least spread that its limits allow for.
+#: Measure: what is counted, per how many of what.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 10_000, 500),
-    "dup_lines": ("n_dup_lines", "n_lines", 1_000, 100),
-    "repeats": ("n_repeat_words", "n_words", 1_000, 100),
-    "word_length": ("word_chars", "n_words", 100, 60),
+    "symbols": ("n_symbols", "n_words", 10_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 1_000),
+    "repeats": ("n_repeat_words", "n_words", 1_000),
+    "word_length": ("word_chars", "n_words", 100),
 }
-#: Limits are this many spreads between the quartiles away from them.
+#: The quantiles, in per cent, from which spreads are taken: lower tail, middle, upper tail.
+LOWER, MIDDLE, UPPER = 10, 50, 90
+#: A limit lies this many spreads, between tail and middle, beyond the tail.
 SPREADS = 3
-#: A sketch of fewer documents gives way to that of the language, then to that of all.
-LEAST_DOCUMENTS = 100
+#: A document's own count must lie beyond a limit by this many of its counting errors.
+ERRORS = 3
+#: A group's sketch has so many more documents of its language, and of all, mixed in.
+LANGUAGE_PRIOR, OVERALL_PRIOR = 20, 5
+#: A document of a sketch weighs this much, so that shares of one are whole numbers.
+UNIT = 1_000
 
 
 def _repeated(words: Column) -> Column:
@@ -65,10 +71,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("same")),
     )
     symbols = F.char_length(whole) - F.char_length(F.regexp_replace(whole, r"[#*$%&|<>]", ""))
-    kept = docs.withColumns({"_words": by_words, "_lines": by_lines, "_symbols": symbols}).drop(text, *names)
+    aside, give_back = set_aside(docs, text)
+    kept = aside.withColumns({"_words": by_words, "_lines": by_lines, "_symbols": symbols}).drop(text, *names)
     values = ("_words.n", "_words.chars", "_symbols", "_lines.n", "_lines.same", "_words.repeated")
     made = [F.col(v).cast("bigint").alias(n) for n, v in zip(names, values, strict=True)]
-    return kept.select("*", *made).drop("_words", "_lines", "_symbols")
+    return give_back(kept.select("*", *made).drop("_words", "_lines", "_symbols"))
 
 
 def base_failed() -> Column:
@@ -76,85 +83,105 @@ def base_failed() -> Column:
 
 
 def _value(name: str) -> Column:
-    part, whole, per, _ = MEASURES[name]
+    part, whole, per = MEASURES[name]
     return F.floor(F.col(part) * per / F.greatest(F.col(whole), F.lit(1))).cast("bigint")
 
 
+def _sure(name: str, side: int) -> Column:
+    """The value of a measure if its count was lower (-1) or higher (1) by its counting errors."""
+    part, whole, per = MEASURES[name]
+    count = F.col(part).cast("double")
+    return (count + side * ERRORS * F.sqrt(count)) * per / F.greatest(F.col(whole), F.lit(1))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bin of the grid: they merge by addition."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), grid(_value(m)).alias("bin")) for m in MEASURES]))
     return measured.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: documents, and low and high limit of every measure."""
+def _shares(counts: DataFrame, keys: list[str], documents: int) -> DataFrame:
+    """The sketch of each key, scaled down or up to so many documents: keys, measure, bin, weight."""
     merged = counts.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    merged = merged.withColumn("_all", F.sum("n").over(group)).withColumn("_upto", F.sum("n").over(group.orderBy("bin")))
-    values = grid_floor(F.col("bin"))
-    quarter = {q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * k, values)) for k, q in ((1, "q1"), (3, "q3"))}
-    found = merged.groupBy(*keys, "measure").agg(F.max("_all").alias("documents"), *[v.alias(q) for q, v in quarter.items()])
-    least = F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[3])])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    found = found.withColumn("low", F.col("q1") - SPREADS * spread).withColumn("high", F.col("q3") + SPREADS * spread)
-    limit = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
-    return found.groupBy(*keys).agg(F.max("documents").alias("documents"), *limit)
+    merged = merged.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "measure")))
+    scaled = merged.withColumn("weight", F.expr(f"n * {documents * UNIT}L div total"))
+    return scaled.select(*keys, "measure", "bin", "weight").where("weight > 0")
+
+
+def blended(counts: DataFrame) -> DataFrame:
+    """Sketches of every language and source with those of the language and of all mixed in: lang, source, measure, bin, weight.
+
+    So a group of few documents is mostly its language, a group of many itself,
+    without a number from which on it is one or the other.
+    """
+    groups = counts.select("lang", "source", "measure").distinct()
+    by_lang = _shares(counts, ["lang"], LANGUAGE_PRIOR).withColumnsRenamed({"lang": "of_lang", "measure": "of"})
+    overall = _shares(counts, [], OVERALL_PRIOR).withColumnRenamed("measure", "of")
+    same = F.col("measure") == F.col("of")
+    names = ["lang", "source", "measure", "bin", "weight"]
+    own = counts.withColumn("weight", F.col("n") * UNIT).select(*names)
+    language = groups.join(by_lang, same & F.col("lang").eqNullSafe(F.col("of_lang"))).select(*names)
+    # Broadcast are the bins of one grid for each measure, at most 64 + 32 * 57 of them.
+    everywhere = groups.join(F.broadcast(overall), same).select(*names)
+    together = own.unionByName(language).unionByName(everywhere)
+    return together.groupBy("lang", "source", "measure", "bin").agg(F.sum("weight").alias("weight"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """Limits of every language and source, from the finest sketch of at least 100 documents."""
-    own = _quartiles(counts, ["lang", "source"])
-    names = [c for c in own.columns if c not in ("lang", "source", "documents")]
-    by_lang = _quartiles(counts, ["lang"]).withColumnsRenamed({c: f"_l_{c}" for c in [*names, "documents", "lang"]})
-    overall = _quartiles(counts.withColumn("_one", F.lit(1)), ["_one"]).withColumnsRenamed({c: f"_a_{c}" for c in names}).select("_one", *[f"_a_{c}" for c in names])
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l_lang")), "left").withColumn("_one", F.lit(1)).join(overall, "_one", "left")
-    return joined.select(
-        "lang",
-        "source",
-        *[
-            F.when(F.col("documents") >= LEAST_DOCUMENTS, F.col(c))
-            .when(F.col("_l_documents") >= LEAST_DOCUMENTS, F.col(f"_l_{c}"))
-            .otherwise(F.col(f"_a_{c}"))
-            .alias(c)
-            for c in names
-        ],
-    )
+    """Low and high limit of every measure for every language and source, from the tails of its blended sketch.
+
+    ``high`` lies ``SPREADS`` times the distance from the middle to the upper tail
+    beyond that tail, ``low`` likewise at the other end: nothing but the sketch
+    says how wide they are.
+    """
+    group = Window.partitionBy("lang", "source", "measure")
+    weighed = blended(counts).withColumn("total", F.sum("weight").over(group)).withColumn("upto", F.sum("weight").over(group.orderBy("bin")))
+    value = grid_floor(F.col("bin"))
+    at = {q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, value)).alias(f"q{q}") for q in (LOWER, MIDDLE, UPPER)}
+    found = weighed.groupBy("lang", "source", "measure").agg(*at.values())
+    low, middle, high = (F.col(f"q{q}") for q in (LOWER, MIDDLE, UPPER))
+    found = found.select("lang", "source", "measure", (low - SPREADS * (middle - low)).alias("low"), (high + SPREADS * (high - middle)).alias("high"))
+    limit = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
+    return found.groupBy("lang", "source").agg(*limit)
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row, without its text, with the measures, base_failed and kept.
 
     Sketches cover all documents that pass the base rules. A document is kept if
-    it passes these and no measure lies beyond its group's limits; word length has
-    a lower limit, too. Null language or source is a group of its own.
+    it passes these and no measure lies beyond its group's limits by more than the
+    counting errors of the document, three times the root of a count: a short text
+    with a symbol or two isn't judged by its high share. Word length has a lower
+    limit, too. Null language or source is a group of its own. Columns called like
+    a result are replaced, all others pass through.
     """
-    measured = materialise(measure(docs, text).withColumn("base_failed", base_failed()), "measures")
+    aside, give_back = set_aside(docs, id_col, text, "lang", "source")
+    measured = materialise(measure(aside, text).withColumn("base_failed", base_failed()), "measures")
     limits = thresholds(materialise(sketches(measured.where(~F.col("base_failed"))), "sketches"))
     judged = join_small(measured, limits, ["lang", "source"], [id_col])
     beyond = F.lit(False)
     for m in MEASURES:
-        beyond |= F.coalesce(_value(m) > F.col(f"{m}_high"), F.lit(False))
-    beyond |= F.coalesce(_value("word_length") < F.col("word_length_low"), F.lit(False))
+        beyond |= F.coalesce(_sure(m, -1) > F.col(f"{m}_high"), F.lit(False))
+    beyond |= F.coalesce(_sure("word_length", 1) < F.col("word_length_low"), F.lit(False))
     drop = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    return judged.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*drop)
+    return give_back(judged.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*drop))
 
 
 def _sql() -> str:
-    value = {m: f"CAST(floor({p} * {per} / greatest({w}, 1)) AS BIGINT)" for m, (p, w, per, _) in MEASURES.items()}
+    value = {m: f"CAST(floor({p} * {per} / greatest({w}, 1)) AS BIGINT)" for m, (p, w, per) in MEASURES.items()}
     bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v} AS v FROM measured WHERE NOT base_failed" for m, v in value.items())
-    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {x[3]}" for m, x in MEASURES.items()) + " END"
-
-    def quartiles(keys: str, by: str) -> str:
-        sides = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {e} END) AS {m}_{s}" for m in MEASURES for s, e in (("low", f"q1 - {SPREADS} * spread"), ("high", f"q3 + {SPREADS} * spread")))
-        return f"""SELECT {keys} max(documents) AS documents, {sides} FROM (
-          SELECT *, greatest(q3 - q1, {least}) AS spread FROM (
-            SELECT {keys} measure, count(*) AS documents,
-                   quantile_disc(g, 0.25) AS q1, quantile_disc(g, 0.75) AS q3
-            FROM binned GROUP BY {keys} measure)) GROUP BY {by}"""
-
-    names = [f"{m}_{s}" for m in MEASURES for s in ("low", "high")]
-    chosen = ", ".join(f"CASE WHEN o.documents >= {LEAST_DOCUMENTS} THEN o.{c} WHEN l.documents >= {LEAST_DOCUMENTS} THEN l.{c} ELSE a.{c} END AS {c}" for c in names)
-    beyond = " OR ".join([*(f"coalesce({v} > {m}_high, false)" for m, v in value.items()), f"coalesce({value['word_length']} < word_length_low, false)"])
+
+    def sure(m: str, sign: str) -> str:
+        part, whole, per = MEASURES[m]
+        return f"(CAST({part} AS DOUBLE) {sign} {ERRORS} * sqrt({part})) * {per} / greatest({whole}, 1)"
+
+    def quantile(q: int) -> str:
+        return f"min(CASE WHEN upto * 100 >= total * {q} THEN g END) AS q{q}"
+
+    sides = {"low": f"q{LOWER} - {SPREADS} * (q{MIDDLE} - q{LOWER})", "high": f"q{UPPER} + {SPREADS} * (q{UPPER} - q{MIDDLE})"}
+    limits = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {e} END) AS {m}_{side}" for m in MEASURES for side, e in sides.items())
+    beyond = [f"coalesce({sure(m, '-')} > {m}_high, false)" for m in MEASURES]
+    beyond = " OR ".join([*beyond, f"coalesce({sure('word_length', '+')} < word_length_low, false)"])
     return rf"""
 WITH split AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -176,12 +203,27 @@ raw AS ({bins}),
 binned AS (
   SELECT lang, source, measure, CAST(floor(v / power(2, s)) AS BIGINT) * CAST(power(2, s) AS BIGINT) AS g
   FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS s FROM raw)),
-own AS ({quartiles("lang, source,", "lang, source")}),
-by_lang AS ({quartiles("lang,", "lang")}),
-overall AS ({quartiles("1 AS one,", "one").replace("GROUP BY 1 AS one, measure", "GROUP BY measure").replace("SELECT 1 AS one, max", "SELECT one, max", 1)}),
-limits AS (
-  SELECT o.lang, o.source, {chosen}
-  FROM own o LEFT JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN overall a)
+counts AS (SELECT lang, source, measure, g, count(*) AS n FROM binned GROUP BY lang, source, measure, g),
+by_lang AS (
+  SELECT lang, measure, g, n * {LANGUAGE_PRIOR * UNIT} // sum(n) OVER (PARTITION BY lang, measure) AS weight
+  FROM (SELECT lang, measure, g, sum(n) AS n FROM counts GROUP BY lang, measure, g)),
+overall AS (
+  SELECT measure, g, n * {OVERALL_PRIOR * UNIT} // sum(n) OVER (PARTITION BY measure) AS weight
+  FROM (SELECT measure, g, sum(n) AS n FROM counts GROUP BY measure, g)),
+parts AS (SELECT DISTINCT lang, source, measure FROM counts),
+blended AS (
+  SELECT lang, source, measure, g, sum(weight) AS weight FROM (
+    SELECT lang, source, measure, g, n * {UNIT} AS weight FROM counts
+    UNION ALL SELECT p.lang, p.source, p.measure, l.g, l.weight FROM parts p JOIN by_lang l ON p.lang IS NOT DISTINCT FROM l.lang AND p.measure = l.measure
+    UNION ALL SELECT p.lang, p.source, p.measure, a.g, a.weight FROM parts p JOIN overall a ON p.measure = a.measure)
+  WHERE weight > 0 GROUP BY lang, source, measure, g),
+tails AS (
+  SELECT lang, source, measure, {quantile(LOWER)}, {quantile(MIDDLE)}, {quantile(UPPER)} FROM (
+    SELECT *, sum(weight) OVER (PARTITION BY lang, source, measure) AS total,
+           sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY g) AS upto
+    FROM blended)
+  GROUP BY lang, source, measure),
+limits AS (SELECT lang, source, {limits} FROM tails GROUP BY lang, source)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM measured m LEFT JOIN limits t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
 """

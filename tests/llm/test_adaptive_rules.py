@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from llm_helpers import no_docs, odd_docs, plain  # noqa: F401
 
 from ensemblescope.llm import queries
-from ensemblescope.llm.adaptive_rules import RULES_SQL, apply_rules, measure
+from ensemblescope.llm.adaptive_rules import RULES_SQL, apply_rules, measure, sketches, thresholds
 from ensemblescope.llm.common import grid, grid_floor
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +76,33 @@ def test_query_equals_its_sql(spark, sf_dir):
 def test_native_plans_run_no_python(spark, sf_dir, query):
     plan = getattr(queries, query)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def measured_rows(spark, groups):
+    """Documents of 1,000 words in one line whose repeated words are given, by language and source."""
+    rows = [(lang, source, 1000, 5000, 0, 1, 0, v) for (lang, source), values in groups.items() for v in values]
+    return spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+
+
+def test_widths_follow_the_spread_of_a_group(spark):
+    groups = {("en", "narrow"): list(range(28, 33)) * 400, ("en", "wide"): list(range(10, 51)) * 50, ("en", "still"): [30] * 2000}
+    got = {r.source: r for r in thresholds(sketches(measured_rows(spark, groups))).collect()}
+    # Tail and middle are whole bins, so a limit is that of the values: 32 + 3 * 2, 46 + 3 * 16, 30.
+    assert [got[s].repeats_high for s in ("still", "narrow", "wide")] == [30, 38, 94]
+    assert [got[s].repeats_low for s in ("still", "narrow", "wide")] == [30, 22, -34]
+
+
+def test_a_group_moves_from_its_language_to_itself(spark):
+    highs = []
+    for n in (1, 10, 40, 400):
+        groups = {("en", "large"): [10] * 20_000, ("en", "own"): [40] * n, ("de", "large"): [10] * 10}
+        highs.append({r.source: r for r in thresholds(sketches(measured_rows(spark, groups))).where("lang = 'en'").collect()}["own"].repeats_high)
+    # Mostly its language; half of each, so wide; its own.
+    assert highs[0] == 10 and highs[1] == 40 + 3 * 30 and highs[2:] == [40, 40]
+
+
+def test_short_texts_are_not_judged_by_one_count(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = [(k, text, "en", "a") for k in range(200)] + [(900, text + " #", "en", "a"), (901, text + " # # # # # # # # # # # #", "en", "a")]
+    got = {r.doc_id: r.kept for r in apply_rules(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[900] and not got[901] and all(got[k] for k in range(200))
