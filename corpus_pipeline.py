@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ensemblescope.llm import bpe_queue, importance_resampling, mixing, prob_minhash, secret_dfa
+from ensemblescope.llm.common import set_aside
 from ensemblescope.session import materialise
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,9 +21,9 @@ TOKENIZER = "word_bpe_49k.json"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the importance sample; those below its last key go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored, least = importance_resampling.resample(docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c not in ("doc_id", "text")}), labels)
-    kept = scored.where(F.col("sample_key") >= F.lit(least))
-    return kept.select(*[F.col(c if c in ("doc_id", "text") else f"_doc_{c}").alias(c) for c in docs.columns])
+    aside, give_back = set_aside(docs, "doc_id", "text")
+    scored, least = importance_resampling.resample(aside, labels)
+    return give_back(scored.where(F.col("sample_key") >= F.lit(least)).select(*aside.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked and n_chars brought up to date."""
-    masked = secret_dfa.find_secrets(docs, spans="_spans", masked="text").drop("_spans")
-    return masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    aside, give_back = set_aside(docs, "doc_id", "text", "n_chars")
+    masked = secret_dfa.find_secrets(aside, spans="_spans", masked="text").drop("_spans")
+    return give_back(masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*aside.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +46,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
     plan = materialise(plan, "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.word_count() == F.col("_size"))
-    taken = docs.join(plan.where("_copies > 0"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    aside, give_back = set_aside(docs, "doc_id", "source", "text")
+    taken = aside.join(plan.where("_copies > 0"), same)
+    return give_back(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*aside.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their text, with token ids and the digest of what these decode to."""
-    encoded = bpe_queue.encode_documents(docs, public_tokenizers.path(TOKENIZER), ids="token_ids", decoded="_decoded")
+    aside, give_back = set_aside(docs, "doc_id", "text")
+    encoded = bpe_queue.encode_documents(aside, public_tokenizers.path(TOKENIZER), ids="token_ids", decoded="_decoded")
     digests = bpe_queue.token_digests(encoded, "token_ids", "_decoded")
-    kept = [c for c in encoded.columns if c not in ("text", "_decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
-    return encoded.select(*kept, *digests)
+    kept = [c for c in encoded.columns if c not in ("text", "_decoded")]
+    return give_back(encoded.select(*kept, *digests))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
