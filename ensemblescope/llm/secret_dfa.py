@@ -1,13 +1,16 @@
 """Secrets by one deterministic automaton over the bytes of all texts.
 
 The regexes of all rules become one automaton by subset construction and
-minimisation. It reads each byte once and tells which stretches of text can hold
-a match; there, the rules' own automata cut out the matches, leftmost and
-longest, without overlaps within a rule.
+minimisation. Read as a search it passes over each byte once and tells which
+stretches of text hold a match. In those, its states carry the set of rules that
+accept there: one pass follows the tries for a match from all bytes side by side,
+for all rules at once, and gives the leftmost and longest matches, without
+overlaps within a rule.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import astuple, dataclass
 
 import numpy as np
@@ -175,7 +178,10 @@ class _Reader:
 
 
 class Automaton:
-    """A minimal deterministic automaton: ``table[state, byte]`` is the next state, 0 the first."""
+    """A minimal deterministic automaton: ``table[state, byte]`` is the next state, 0 the first.
+
+    ``rules_at[state]`` are the rules that accept there, by number; a screen doesn't tell them apart.
+    """
 
     def __init__(self, rules: tuple[Rule, ...], screen: bool):
         """``screen``: search anywhere and stay in the accepting state, else match from the first byte on."""
@@ -209,13 +215,13 @@ class Automaton:
         for b in range(256):
             kinds.setdefault(tuple(bool(m >> b & 1) for m in sets), []).append(b)
         first = self._closed(net, {root})
-        numbers, todo, rows, accepts = {first: 0}, [first], [], []
+        numbers, todo, rows, rules_at = {first: 0}, [first], [], []
         sink = frozenset({-1})
         while todo:
             now = todo.pop(0)
             row = np.zeros(256, np.int32)
             rows.append(row)
-            accepts.append(now == sink or any(s in net.ends for s in now))
+            rules_at.append((-1,) if now == sink else tuple(sorted({net.ends[s] for s in now if s in net.ends})))
             for group in kinds.values():
                 if now == sink:
                     then = sink
@@ -227,13 +233,14 @@ class Automaton:
                     numbers[then] = len(numbers)
                     todo.append(then)
                 row[group] = numbers[then]
-        self.table, self.accepts = np.array(rows), np.array(accepts)
+        self.table, self.rules_at = np.array(rows), rules_at
         dead = numbers.get(frozenset())
         self.dead = -1 if dead is None else dead
 
     def _minimise(self) -> None:
-        """Merge states that no string tells apart, by refining accepting against others."""
-        block = self.accepts.astype(np.int64)
+        """Merge states that no string tells apart, by refining those that accept for the same rules."""
+        kinds = {r: k for k, r in enumerate(dict.fromkeys(self.rules_at))}
+        block = np.array([kinds[r] for r in self.rules_at], np.int64)
         while True:
             seen = np.column_stack([block, block[self.table]])
             _, refined = np.unique(seen, axis=0, return_inverse=True)
@@ -246,16 +253,13 @@ class Automaton:
         block = np.array([order[b] for b in block.tolist()])
         _, chosen = np.unique(block, return_index=True)
         self.table = block[self.table[chosen]].astype(np.int32)
-        self.accepts = self.accepts[chosen]
+        self.rules_at = [self.rules_at[c] for c in chosen.tolist()]
+        self.accepts = np.array([bool(r) for r in self.rules_at])
         self.dead = int(block[self.dead]) if self.dead >= 0 else -1
 
 
-#: Bytes after which a try for a match remembers its states.
-LONG_TRY = 64
-
-
 class Scanner:
-    """The compiled rules: one automaton that screens, one for each rule that cuts."""
+    """The compiled rules: their automaton as a search that screens, and from a begin on, which cuts."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
@@ -267,9 +271,9 @@ class Scanner:
         free[self.hit] = False
         #: Bytes after which the automaton is where it began, whatever came before.
         self.resets = (search.table[free] == 0).all(axis=0)
-        self.exact = [Automaton((r,), screen=False) for r in rules]
-        self.exact_rows = [(a.table.tolist(), a.accepts.tolist(), a.dead) for a in self.exact]
-        self.begins = [{b for b in range(256) if a.table[0, b] != a.dead} for a in self.exact]
+        exact = Automaton(rules, screen=False)
+        self.exact, self.rules_at, self.dead = exact.table.tolist(), exact.rules_at, exact.dead
+        self.begins = frozenset(b for b in range(256) if exact.table[0, b] != exact.dead)
         self.tails = [_tail(r) for r in rules]
         least, front = 1, {0}
         while self.hit not in (front := {t for s in front for t in self.rows[s]}):
@@ -307,44 +311,71 @@ class Scanner:
         order = np.argsort(begins)
         return begins[order], ends[order]
 
-    def matches(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        """Kept matches of rule ``k`` in a stretch, as byte spans.
+    def matches(self, data: bytes) -> list[tuple[int, int, int]]:
+        """Kept matches in a stretch as (start, rule, end) in bytes, those of a rule by start.
 
-        A try that goes on for long remembers where it was since it last accepted:
-        whoever comes to the same state at the same byte won't accept either. So
-        the time is linear in the stretch.
+        Each byte that can begin a match begins a try. Tries in the same state have
+        the same future, so the younger one joins the older and no more than one try
+        a state goes on: the time is linear in the stretch.
         """
-        (rows, accepts, dead), begin, rule = self.exact_rows[k], self.begins[k], self.rules[k]
-        found, i, n, states = [], 0, len(data), len(rows)
-        vain: set[int] = set()
-        while i < n:
-            if data[i] not in begin:
-                i += 1
-                continue
-            s, end, j = 0, 0, i
-            since: list[int] = []
-            while j < n:
-                s = rows[s][data[j]]
+        rows, rules_at, dead, first, many = self.exact, self.rules_at, self.dead, self.begins, len(self.rules)
+        found: list[tuple[int, int, int]] = []
+        free = [0] * many  # of each rule: where its next match may begin
+        live: dict[int, int] = {}  # state: its try, the oldest ones first
+        starts, older, joined = array("q"), array("q"), array("q")
+        ends: dict[int, int] = {}  # try and rule: the last byte at which it accepted by itself
+        for j, b in enumerate(data):
+            if b in first:
+                if 0 in live:
+                    older.append(live[0])
+                else:
+                    live[0] = len(starts)
+                    older.append(-1)
+                starts.append(j)
+                joined.append(j)
+            then: dict[int, int] = {}
+            for s, t in live.items():
+                s = rows[s][b]
                 if s == dead:
-                    break
-                j += 1
-                if accepts[s]:
-                    end = j
-                    since.clear()
-                elif j - i > LONG_TRY:
-                    at = j * states + s
-                    if at in vain:
-                        break
-                    since.append(at)
-            vain.update(since)
-            if not end:
-                i += 1
-                continue
-            if end - i >= rule.least and (not rule.last_least or self.tails[k](data[i:end]) >= rule.last_least):
-                found.append((i, end))
-            i = end
+                    continue
+                if s in then:
+                    older[t], joined[t] = then[s], j + 1
+                else:
+                    then[s] = t
+                    for k in rules_at[s]:
+                        ends[t * many + k] = j + 1
+            live = then
+            if not live and starts:
+                if ends:
+                    self._settle(data, starts, older, joined, ends, free, found)
+                    ends.clear()
+                starts, older, joined = array("q"), array("q"), array("q")
+        if ends:
+            self._settle(data, starts, older, joined, ends, free, found)
         return found
 
+    def _settle(self, data: bytes, starts: array, older: array, joined: array, ends: dict[int, int], free: list[int], found: list[tuple[int, int, int]]) -> None:
+        """Add the leftmost and longest matches of finished tries to ``found``."""
+        many = len(self.rules)
+        for k in sorted({x % many for x in ends}):
+            rule, tail = self.rules[k], self.tails[k]
+            for t, start in enumerate(starts):
+                if start < free[k]:
+                    continue
+                end, since = ends.get(t * many + k, 0), joined[t]
+                up = older[t]
+                while up >= 0:
+                    # What the older try accepted before the younger one joined isn't the younger one's.
+                    later = ends.get(up * many + k, 0)
+                    if later >= since:
+                        end = later
+                    since, up = joined[up], older[up]
+                if not end:
+                    continue
+                if end - start >= rule.least and (not rule.last_least or tail(data[start:end]) >= rule.last_least):
+                    found.append((start, k, end))
+                free[k] = end
+
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """Of each text: (start, rule, end) of all matches in code points, by start, then rule."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
@@ -357,8 +388,7 @@ class Scanner:
                 own = data[offsets[text] : offsets[text + 1]]
                 points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
             stretch, base = data[begin:end].tobytes(), begin - int(offsets[text])
-            for k in range(len(self.rules)):
-                out[text] += [(int(points[base + i]), k, int(points[base + j])) for i, j in self.matches(k, stretch)]
+            out[text] += [(int(points[base + i]), k, int(points[base + j])) for i, k, j in self.matches(stretch)]
         for found in out:
             found.sort()
         return out
