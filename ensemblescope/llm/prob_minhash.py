@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import map_batches, mix64, powers, set_aside, span_hashes, utf8_view, whole_text, word_spans
+from .common import join_small, map_batches, mix64, powers, set_aside, span_hashes, utf8_view, whole_text, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At likeness 0.8, 48 bands of 8 miss one pair in 6,800.
 BANDS, ROWS = 48, 8
+#: Further bands, of as many rows, of the signature whose shingles weigh 1 + ln(times).
+WEIGHTED_BANDS = 12
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,28 +93,37 @@ def signatures(owner: np.ndarray, elements: np.ndarray, weights: np.ndarray, n:
     return held.reshape(n, m)
 
 
-def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def band_keys(held: np.ndarray, rows: int, first: int = 0) -> np.ndarray:
+    """One key for each ``rows`` components; the bands are numbered from ``first``, so equal ones differ by place."""
+    n, bands = len(held), held.shape[1] // rows
+    keys = np.zeros((n, bands), np.uint64)
+    for k in range(rows):
+        keys = mix64(keys * _GOLD + held.reshape(n, bands, rows)[:, :, k])
+    return mix64(keys + np.arange(first, first + bands, dtype=np.uint64) * _GOLD).view(np.int64)
+
+
+def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: int = WEIGHTED_BANDS) -> DataFrame:
     """doc_id, digest, bands and short components of every row of (doc_id, text).
 
-    All distinct shingles weigh the same, however often a text has them, so components
-    agree with the likeness that is verified. ``bands`` is null for a text without words.
+    The first ``bands`` bands, and all components, weigh the distinct shingles of a
+    text the same, however often it has them: they agree with the likeness that is
+    verified. ``weighted`` more bands weigh a shingle 1 + ln(times). ``bands`` is null
+    for a text without words.
     """
-    m = bands * rows
+    m, every = bands * rows, bands + weighted
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8_view(batch.column("text"))
-        owner, grams, _ = shingles(data, offsets)
+        owner, grams, times = shingles(data, offsets)
         n = batch.num_rows
         held = signatures(owner, grams, np.ones(len(grams)), n, m)
-        some = np.bincount(owner, minlength=n) > 0
-        keys = np.zeros((n, bands), np.uint64)
-        for k in range(rows):
-            keys = mix64(keys * _GOLD + held.reshape(n, bands, rows)[:, :, k])
-        keys = mix64(keys + np.arange(bands, dtype=np.uint64) * _GOLD).view(np.int64)
+        # Other random numbers than those of the first signature.
+        heavy = signatures(owner, mix64(grams ^ _OTHER), 1 + np.log(times), n, weighted * rows)
+        keys = np.hstack([band_keys(held, rows), band_keys(heavy, rows, bands)])
         short = mix64(held).astype(np.uint16).view(np.int16)
-        where = pa.array(np.arange(n + 1) * bands, pa.int32())
+        where = pa.array(np.arange(n + 1) * every, pa.int32())
         parts = pa.array(np.arange(n + 1) * m, pa.int32())
-        mask = pa.array(~some)
+        mask = pa.array(np.bincount(owner, minlength=n) == 0)
         columns = [
             batch.column("doc_id"), batch.column("digest"),
             pa.ListArray.from_arrays(where, pa.array(keys.reshape(-1)), mask=mask),
@@ -125,21 +137,21 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct shingle hashes of every row of (doc_id, text)."""
+    """key and the distinct shingle hashes of every row of (key, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, grams, _ = shingles(*utf8_view(batch.column("text")))
         ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), sets], names=["key", "shingles"])
 
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), run, "doc_id bigint, shingles array<bigint>")
+    return map_batches(docs.select("key", whole_text().alias("text")), run, "key bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those pairs (a, b) whose Jaccard likeness of distinct shingles reaches ``similarity``."""
-    left = sets.select(F.col("doc_id").alias("_a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("doc_id").alias("_b"), F.col("shingles").alias("_sb"))
+    left = sets.select(F.col("key").alias("_a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("key").alias("_b"), F.col("shingles").alias("_sb"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     common = F.size(F.array_intersect("_sa", "_sb"))
     union = F.size("_sa") + F.size("_sb") - common
@@ -147,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """Smallest id connected to every id that has a link: id, label.
+    """Smallest key connected to every key that has a link: id, label.
 
     Labels go along links and then along labels, until none changes; that takes
     about the logarithm of the longest path.
@@ -167,44 +179,44 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def _labelled(table: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``table`` with the label of a column's ids; an id without links is its own."""
+    """``table`` with the label of a column's keys; a key without links is its own."""
     known = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
     joined = table.join(known, F.col(column) == F.col("_id"), "left")
     return joined.withColumn(f"{column}_label", F.coalesce("_label", column)).drop("_id", "_label")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each id and text: doc_id, digest, text_id, class_id.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: int = WEIGHTED_BANDS) -> DataFrame:
+    """One row for each id and text: doc_id, digest, text_id, class_id, class_digest.
 
-    ``text_id`` is the smallest id with exactly this text, ``class_id`` the smallest
-    id that verified links, of Jaccard likeness 0.8 or more over distinct 5-word
-    shingles, connect it to. A null text counts as empty; texts without words are
-    alike only if equal. Rows without id are left out; repeated rows give one.
+    ``text_id`` is the smallest id with exactly this text. ``class_id`` and
+    ``class_digest`` are the smallest id, and its text's digest, that verified links,
+    of Jaccard likeness 0.8 or more over distinct 5-word shingles, connect it to. A
+    null text counts as empty; texts without words are alike only if equal. Rows
+    without id are left out; repeated rows give one. An id may occur with several
+    texts: each is a document of its own.
 
     Copies count once. In each bucket of a band all texts are first compared with
-    the bucket's smallest and largest id, beginning with one such pair for each text. Then
+    the bucket's smallest and largest key, beginning with one such pair for each text. Then
     only texts of one bucket that still are in different classes are compared
     with each other, unless their signatures rule it out; so a large group of
     near copies isn't expanded into pairs, and no pair is skipped for its number.
     """
     docs = docs.select("doc_id", "text")
-    signed = materialise(sign(docs, bands, rows), "signed")
-    texts = materialise(
-        signed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("m"), F.first("bands").alias("bands")).select("digest", F.col("m.doc_id").alias("text_id"), "bands"), "texts"
-    )
-    keyed = texts.where("bands is not null").select("text_id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").withColumnRenamed("band", "_band")
-    shared = materialise(keyed.join(heads, F.col("band") == F.col("_band")).select("band", "low", "high", "text_id"), "shared")
-    stars = shared.select(F.explode(F.array("low", "high")).alias("head"), "text_id").where("head != text_id")
-    stars = stars.groupBy(F.least("head", "text_id").alias("a"), F.greatest("head", "text_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    signed = materialise(sign(docs, bands, rows, weighted), "signed")
+    # A text goes by a number of its own, because ids may repeat; it is fixed once written.
+    texts = signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
+    texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
+    keyed = texts.where("bands is not null").select("key", F.explode("bands").alias("band"))
+    heads = keyed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").withColumnRenamed("band", "_band")
+    shared = materialise(keyed.join(heads, F.col("band") == F.col("_band")).select("band", "low", "high", "key"), "shared")
+    stars = shared.select(F.explode(F.array("low", "high")).alias("head"), "key").where("head != key")
+    stars = stars.groupBy(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     stars = materialise(stars, "stars")
-    involved = stars.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = signed.join(texts.withColumnRenamed("digest", "_digest"), F.col("doc_id") == F.col("text_id")).where(F.col("digest") == F.col("_digest"))
-    wanted = wanted.join(involved, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("digest").alias("_digest"))
-    wanted = wanted.withColumnRenamed("doc_id", "_doc")
-    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.distinct(), F.col("doc_id") == F.col("_doc"))
+    involved = stars.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    wanted = texts.join(involved, F.col("key") == F.col("_key")).select("key", "text_id", F.col("digest").alias("_digest"))
+    whole = docs.join(wanted, F.col("doc_id").cast("bigint") == F.col("text_id"))
     whole = whole.where(F.unhex(F.sha2(whole_text(), 256)) == F.col("_digest"))
-    sets = materialise(shingle_sets(whole).dropDuplicates(["doc_id"]), "sets")
+    sets = materialise(shingle_sets(whole).dropDuplicates(["key"]), "sets")
     # One star each, with the head that shares most bands.
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     links = materialise(verified(best.select("a", "b"), sets, similarity), "links")
@@ -215,13 +227,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     links = links.unionByName(materialise(verified(rest.select("a", "b"), sets, similarity), "links"))
     labels = classes(links)
     # What remains: texts of one bucket in different classes, neither of them its head.
-    split = _labelled(shared, labels, "text_id").withColumnRenamed("text_id_label", "label")
+    split = _labelled(shared, labels, "key").withColumnRenamed("key_label", "label")
     mixed = split.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select(F.col("band").alias("_band"))
-    parts = signed.select(F.col("doc_id").alias("_doc"), "parts", "bands", F.col("digest").alias("_d"))
-    first_text = texts.select(F.col("digest").alias("_e"), F.col("text_id").alias("_f"))
-    parts = parts.join(first_text, (F.col("_d") == F.col("_e")) & (F.col("_doc") == F.col("_f"))).select("_doc", "parts", "bands")
-    open_rows = split.join(mixed, F.col("band") == F.col("_band")).where("text_id != low and text_id != high").select("band", "text_id", "label")
-    open_rows = materialise(open_rows.join(parts, F.col("text_id") == F.col("_doc")).drop("_doc"), "open")
+    open_rows = split.join(mixed, F.col("band") == F.col("_band")).where("key != low and key != high").select("band", "key", "label")
+    open_rows = materialise(open_rows, "open")
+    # The components of the few open texts; equal rows have equal ones.
+    asked = texts.join(open_rows.select(F.col("key").alias("_open")).distinct(), F.col("key") == F.col("_open"))
+    asked = asked.select(F.col("key").alias("_key"), "text_id", F.col("digest").alias("_digest"))
+    parts = signed.join(asked, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("text_id")))
+    parts = parts.select("_key", "parts", "bands").dropDuplicates(["_key"])
+    open_rows = materialise(open_rows.join(parts, F.col("key") == F.col("_key")).drop("_key"), "open")
     other = open_rows.withColumnsRenamed({c: f"_{c}" for c in open_rows.columns})
     m = bands * rows
     agreeing = _agreeing("parts", "_parts")
@@ -231,13 +246,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     own_place = F.array_position("bands", F.col("band"))
     pairs = open_rows.join(
         other,
-        (F.col("band") == F.col("_band")) & (F.col("label") != F.col("_label")) & (F.col("text_id") < F.col("_text_id")) & (first_shared == own_place) & (agreeing >= least),
-    ).select(F.col("text_id").alias("a"), F.col("_text_id").alias("b"))
+        (F.col("band") == F.col("_band")) & (F.col("label") != F.col("_label")) & (F.col("key") < F.col("_key")) & (first_shared == own_place) & (agreeing >= least),
+    ).select(F.col("key").alias("a"), F.col("_key").alias("b"))
     links = links.unionByName(materialise(verified(pairs.distinct(), sets, similarity), "links"))
     labels = classes(links)
-    named = _labelled(texts.select(F.col("digest").alias("_digest"), "text_id"), labels, "text_id").withColumnRenamed("text_id_label", "class_id")
+    named = materialise(_labelled(texts.select("digest", "text_id", "key"), labels, "key").withColumnRenamed("key_label", "label"), "named")
+    # Classes of more than one text go by their smallest id; a large class is dealt over tasks.
+    linked = labels.select(F.col("label").alias("_linked")).distinct()
+    least_of = F.min(F.struct("text_id", "digest"))
+    heads = named.join(linked, F.col("label") == F.col("_linked")).groupBy("label").agg(least_of.alias("head"))
+    named = join_small(named, heads, ["label"], salt_by=["key"]).select(
+        F.col("digest").alias("_digest"),
+        "text_id",
+        F.coalesce("head.text_id", "text_id").alias("class_id"),
+        F.coalesce("head.digest", "digest").alias("class_digest"),
+    )
     members = signed.select("doc_id", "digest").distinct()
-    return members.join(named, F.col("digest") == F.col("_digest")).select("doc_id", "digest", "text_id", "class_id")
+    return members.join(named, F.col("digest") == F.col("_digest")).select("doc_id", "digest", "text_id", "class_id", "class_digest")
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -247,11 +272,11 @@ def _agreeing(a: str, b: str) -> Column:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each class, the one with the smallest id.
 
-    Rows without id all stay. Of rows that repeat both id and text one stays, any
+    If that id has several texts of the class, the one of smallest digest stays. Rows without id all stay. Of rows that repeat both id and text one stays, any
     of them.
     """
     found = materialise(near_duplicates(docs, similarity), "found")
-    out = found.where("doc_id != class_id").select(F.col("doc_id").alias("_out_id"), F.col("digest").alias("_out_digest"))
+    out = found.where("doc_id != class_id or digest != class_digest").select(F.col("doc_id").alias("_out_id"), F.col("digest").alias("_out_digest"))
     aside, give_back = set_aside(docs, "doc_id", "text")
     marked = aside.withColumn("_key", F.col("doc_id").cast("bigint")).withColumn("_digest", F.unhex(F.sha2(whole_text(), 256)))
     stays = marked.join(out, (F.col("_key") == F.col("_out_id")) & (F.col("_digest") == F.col("_out_digest")), "left_anti")

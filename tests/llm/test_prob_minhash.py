@@ -123,6 +123,57 @@ def test_repeated_lines_do_not_hide_near_copies(spark, times):
     assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == brute_classes(ids)
 
 
+def test_weighted_bands_follow_repeats(spark):
+    random.seed(13)
+    words = [f"w{random.randint(0, 10**6)}" for _ in range(60)]
+    # The second has the shingles of the first, some of them 50 times; the third repeats the same line as often.
+    texts = [words, words + words * 50, words + words * 50 + ["end"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    bands = {r.doc_id: np.array(r.bands) for r in sign(docs, bands=48, rows=4, weighted=64).collect()}
+    assert len(bands[0]) == 112 and len(set(bands[0].tolist())) == 112
+
+    def shared(a, b, kind):
+        return (bands[a] == bands[b])[kind].mean()
+
+    plain, weighted = slice(0, 48), slice(48, None)
+    # Four wrapping shingles are new among 60, and weigh about as much as the others in the second.
+    assert shared(0, 1, plain) > 0.5 and shared(1, 2, weighted) > 0.8
+    half = [f"v{random.randint(0, 10**6)}" for _ in range(30)]
+    texts = [half + words[:30], half + words[:30] * 400]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    bands = {r.doc_id: np.array(r.bands) for r in sign(docs, bands=48, rows=4, weighted=64).collect()}
+    assert shared(0, 1, weighted) < shared(0, 1, plain) - 0.2
+
+
+def test_recall_on_planted_repeats(spark):
+    """Near copies that repeat lines, in one text or in both, against brute force: no link is lost."""
+    random.seed(14)
+    ids = {}
+    for k in range(150):
+        words = [f"w{random.randint(0, 10**6)}" for _ in range(random.randint(40, 120))]
+        near = list(words)
+        for _ in range(random.randint(0, 2)):
+            near[random.randrange(len(near))] = f"x{k}"
+        line = random.choice([words[-12:], words[:20]])
+        ids[2 * k] = " ".join(words + line * random.choice([0, 0, 3, 15]))
+        ids[2 * k + 1] = " ".join(near + line * random.choice([0, 5, 40]))
+    docs = spark.createDataFrame(list(ids.items()), "doc_id bigint, text string").repartition(4)
+    want = brute_classes(ids)
+    assert 60 < sum(want[2 * k + 1] == 2 * k for k in range(150)) < 150
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == want
+
+
+def test_an_id_with_several_texts(spark):
+    one, two, three = edited_copies(2, 2, seed=15), edited_copies(2, 2, seed=16), edited_copies(2, 2, seed=17)
+    rows = [(5, one[0]), (5, two[0]), (9, one[1]), (10, two[1]), (7, three[0]), (7, three[1]), (7, three[1]), (11, three[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == [(5, 5), (5, 5), (7, 7), (7, 7), (9, 5), (10, 5), (11, 7)]
+    assert len({r.class_digest for r in found if r.class_id == 5}) == 2 and len({r.class_digest for r in found if r.class_id == 7}) == 1
+    kept = sorted((r.doc_id, r.text) for r in keep_one(docs).collect())
+    assert [k[0] for k in kept] == [5, 5, 7] and {k[1] for k in kept[:2]} == {one[0], two[0]} and kept[2][1] in three
+
+
 def test_odd_documents(odd_docs, no_docs):
     found = near_duplicates(odd_docs).collect()
     assert sorted((r.doc_id, r.class_id) for r in found) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 1), (7, 7)]
