@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts: each is a document of its own.
 
     Copies count once. In each bucket of a band all texts are first compared with
-    the bucket's smallest and largest key, beginning with one such pair for each text. Then
+    the texts of the bucket's smallest and largest id, beginning with one such pair for each text. Then
     only texts of one bucket that still are in different classes are compared
     with each other, unless their signatures rule it out; so a large group of
     near copies isn't expanded into pairs, and no pair is skipped for its number.
@@ -206,8 +206,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # A text goes by a number of its own, because ids may repeat; it is fixed once written.
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
     texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
-    keyed = texts.where("bands is not null").select("key", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").withColumnRenamed("band", "_band")
+    keyed = texts.where("bands is not null").select("key", "text_id", F.explode("bands").alias("band"))
+    by_id = F.struct("text_id", "key")
+    heads = keyed.groupBy("band").agg(F.min(by_id).alias("low"), F.max(by_id).alias("high"))
+    heads = heads.select(F.col("band").alias("_band"), F.col("low.key").alias("low"), F.col("high.key").alias("high")).where("low != high")
     shared = materialise(keyed.join(heads, F.col("band") == F.col("_band")).select("band", "low", "high", "key"), "shared")
     stars = shared.select(F.explode(F.array("low", "high")).alias("head"), "key").where("head != key")
     stars = stars.groupBy(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).agg(F.count(F.lit(1)).alias("n"))
