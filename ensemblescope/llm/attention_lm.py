@@ -1,11 +1,15 @@
 """Text probabilities from a causal self-attention model in numpy.
 
-The model reads one subword id for each word, the first that a public tokenizer
-gives it. Frequent ids are classes of their own, the others share one. Attention
-over the words before predicts the class of the next word; the word itself follows
-from its class by counts over the whole training text:
+A word is read through all its subword ids under a public tokenizer: its embedding is
+the mean of theirs. Attention over the words before predicts the next word's first id, in two levels over all ids that begin words of
+the training text: the most frequent ids are classes of their own, the others are groups
+of a class each, with weights of their own for every id. The word itself follows from its
+first id by counts over the whole training text:
 
-    P(word | before) = P_model(class | before) * (c + 0.5) / (N_class + 0.5 * (V_class + 1))
+    P(word | before) = P_model(class | before) * P_model(id | class, before) * (c + 0.5) / (N_id + 0.5 * (V_id + 1))
+
+An id that begins no word of the training text has a class together with all such ids,
+as unknown words have one place in the base model.
 
 Texts are cut into blocks of 16 tokens. The window of a block is the block and the
 16 tokens before, so windows overlap by half and each token is scored once.
@@ -17,6 +21,7 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from .common import bound_batches, kth_largest, map_batches, set_aside, whole_te
 
 CLASSES = 128
 BLOCK, WINDOW = 16, 32
+#: Ids of one group, unless the classes would not do for all ids.
+GROUP = 512
 #: Words that every worker knows by heart; the others are joined. A bound, not a limit.
 KNOWN_WORDS = 1 << 17
 #: Parts of the training text that are learned one after another, at most; together they are all of it.
@@ -37,47 +44,59 @@ ROUNDS = 3
 TASK_TOKENS = 500_000
 #: Training takes so many steps of 64 blocks at least, over a small text by reading it again.
 LEAST_STEPS = 900
+#: Weights that travel as one row to be averaged.
+TOGETHER = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SIZE, _HIDDEN = 16, 32
-END, OTHER = 0, 1
+END, NEW = 0, 1
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: str | bytes) -> list[bytes]:
     """Words of a text, A-Z in lower case; blanks are the six of ASCII."""
-    return text.encode("utf-8", "replace").translate(_LOWER).split()
+    return (text.encode("utf-8", "replace") if isinstance(text, str) else text).translate(_LOWER).split()
+
+
+def _words_of_all(column: pa.Array) -> list[list[bytes]]:
+    return [words_of(t) for t in column.cast(pa.binary()).to_pylist()]
 
 
 # -- the model ---------------------------------------------------------------------------
 
 
-def shapes(classes: int = CLASSES) -> dict[str, tuple[int, ...]]:
-    """Weights by name. Class ``classes`` stands for the beginning of a text."""
+def shapes(classes: int = CLASSES, rows: int | None = None, far: int = 0) -> dict[str, tuple[int, ...]]:
+    """Weights by name: ``rows`` embeddings, the last that of the beginning of a text, and ``far`` ids in groups.
+
+    Unless said otherwise tokens are classes, and class ``classes`` stands for the beginning.
+    """
     d, h = _SIZE, _HIDDEN
     return {
-        "embed": (classes + 1, d), "query": (d, d), "key": (d, d), "value": (d, d), "near": (WINDOW,),
-        "mix": (2 * d, h), "mix_add": (h,), "out": (h, classes), "out_add": (classes,),
+        "embed": (rows or classes + 1, d), "query": (d, d), "key": (d, d), "value": (d, d), "near": (WINDOW,),
+        "mix": (2 * d, h), "mix_add": (h,), "out": (h, classes), "out_add": (classes,), "far": (far, h), "far_add": (far,),
     }
 
 
-def unpack(flat: np.ndarray, classes: int = CLASSES) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, classes: int = CLASSES, rows: int | None = None, far: int = 0) -> dict[str, np.ndarray]:
     parts, at = {}, 0
-    for name, shape in shapes(classes).items():
+    for name, shape in shapes(classes, rows, far).items():
         n = int(np.prod(shape))
         parts[name] = flat[at : at + n].reshape(shape)
         at += n
     return parts
 
 
-def initial(counts: np.ndarray, classes: int = CLASSES, seed: int = 7) -> np.ndarray:
-    """Small random weights; the output begins at the classes' shares."""
+def initial(counts: np.ndarray, classes: int = CLASSES, seed: int = 7, rows: int | None = None, far_add: np.ndarray | None = None) -> np.ndarray:
+    """Small random weights; the output begins at the shares of the classes, and of the ids in their groups."""
+    far_add = np.zeros(0) if far_add is None else far_add
     random = np.random.default_rng(seed)
-    n = sum(int(np.prod(s)) for s in shapes(classes).values())
+    n = sum(int(np.prod(s)) for s in shapes(classes, rows, len(far_add)).values())
     flat = (random.standard_normal(n) * 0.2).astype(np.float32)
-    parts = unpack(flat, classes)
+    parts = unpack(flat, classes, rows, len(far_add))
     parts["near"][:] = 0
     parts["mix_add"][:] = 0
     parts["out"][:] *= 0.25
     parts["out_add"][:] = np.log((counts + 0.5) / (counts.sum() + 0.5 * classes))
+    parts["far"][:] = 0
+    parts["far_add"][:] = far_add
     return flat
 
 
@@ -85,7 +104,8 @@ def blocks_of(tokens: np.ndarray, offsets: np.ndarray, classes: int = CLASSES) -
     """Blocks of all texts: inputs (n, 32), whether each is one, targets (n, 16), and the text of each block.
 
     A target of -1 lies behind the text's end. ``tokens`` are classes, each text's
-    end included; an input is the token before, the first that of the beginning.
+    end included, or any numbers below ``classes``; an input is the token before,
+    the first that of the beginning, ``classes``.
     """
     length = np.diff(offsets)
     number = -(-length // BLOCK)
@@ -104,129 +124,259 @@ def blocks_of(tokens: np.ndarray, offsets: np.ndarray, classes: int = CLASSES) -
 
 _AHEAD = np.arange(WINDOW)[None, :] - BLOCK > np.arange(BLOCK)[:, None]
 _FAR = np.clip(np.arange(BLOCK)[:, None] - (np.arange(WINDOW)[None, :] - BLOCK), 0, WINDOW - 1)
+_SCALE = np.float32(1 / np.sqrt(_SIZE))
+_NEVER = np.float32(-1e9)
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Log probabilities (n, 16, classes) of the next token of each place of the blocks."""
-    scale = np.float32(1 / np.sqrt(_SIZE))
-    query = (w["embed"] @ w["query"] * scale)[inputs[:, BLOCK:]]
-    key = (w["embed"] @ w["key"])[inputs]
-    value = (w["embed"] @ w["value"])[inputs]
+def _attend(w: dict[str, np.ndarray], window: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden rows (n * 16, hidden) of the blocks' places, from their embedded windows (n, 32, size)."""
+    n = len(window)
+    query = (window[:, BLOCK:].reshape(-1, _SIZE) @ (w["query"] * _SCALE)).reshape(n, BLOCK, _SIZE)
+    both = (window.reshape(-1, _SIZE) @ np.concatenate([w["key"], w["value"]], axis=1)).reshape(n, WINDOW, 2 * _SIZE)
+    key, value = both[..., :_SIZE], both[..., _SIZE:]
     scores = query @ key.transpose(0, 2, 1)
-    scores += w["near"][_FAR]
     # Neither what comes later nor what lies before the text is seen.
-    scores[np.broadcast_to(_AHEAD, scores.shape) | ~real[:, None, :]] = -1e9
-    scores -= scores.max(axis=2, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=2, keepdims=True)
-    seen = np.concatenate([w["embed"][inputs[:, BLOCK:]], scores @ value], axis=2)
-    hidden = np.tanh(seen.reshape(-1, 2 * _SIZE) @ w["mix"] + w["mix_add"])
-    logits = hidden @ w["out"]
-    logits += w["out_add"]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits, (query, key, value, scores, seen, hidden)
-
-
-def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray, classes: int = CLASSES) -> tuple[float, np.ndarray]:
-    """Mean loss of the targets in nats, and its gradient by all weights."""
-    logs, (query, key, value, attention, seen, hidden) = forward(w, inputs, real)
-    wanted = targets.reshape(-1)
-    at = np.flatnonzero(wanted >= 0)
-    loss = -float(logs[at, wanted[at]].mean())
-    flat = np.zeros(sum(int(np.prod(s)) for s in shapes(classes).values()), np.float32)
-    g = unpack(flat, classes)
-    d_logits = np.zeros_like(logs)
-    d_logits[at] = np.exp(logs[at]) / len(at)
-    d_logits[at, wanted[at]] -= np.float32(1 / len(at))
-    g["out"] += hidden.T @ d_logits
-    g["out_add"] += d_logits.sum(axis=0)
-    d_hidden = (d_logits @ w["out"].T) * (1 - hidden * hidden)
-    g["mix"] += seen.reshape(-1, 2 * _SIZE).T @ d_hidden
-    g["mix_add"] += d_hidden.sum(axis=0)
-    d_seen = (d_hidden @ w["mix"].T).reshape(seen.shape)
-    d_own, d_read = d_seen[..., :_SIZE], d_seen[..., _SIZE:]
-    d_value = attention.transpose(0, 2, 1) @ d_read
-    d_attention = d_read @ value.transpose(0, 2, 1)
-    d_scores = attention * (d_attention - (d_attention * attention).sum(axis=2, keepdims=True))
-    g["near"] += np.bincount(np.broadcast_to(_FAR, d_scores.shape).reshape(-1), weights=d_scores.reshape(-1), minlength=WINDOW)
-    d_query = d_scores @ key
-    d_key = d_scores.transpose(0, 2, 1) @ query
-    scale = np.float32(1 / np.sqrt(_SIZE))
-    rows = classes + 1
+    scores += np.where(_AHEAD, _NEVER, w["near"].take(_FAR))
+    scores += np.where(real, np.float32(0), _NEVER)[:, None, :]
+    # One maximum for a block is faster, and does unless a place lies far below it.
+    most = scores.reshape(n, -1).max(axis=1)[:, None, None]
+    weight = np.exp(scores - most)
+    total = (weight.reshape(-1, WINDOW) @ np.ones(WINDOW, weight.dtype)).reshape(n, BLOCK, 1)
+    if n and total.min() < 1e-15:
+        weight = np.exp(scores - scores.max(axis=2, keepdims=True))
+        total = weight.sum(axis=2, keepdims=True)
+    weight /= total
+    seen = np.concatenate([window[:, BLOCK:], weight @ value], axis=2).reshape(-1, 2 * _SIZE)
+    hidden = seen @ w["mix"]
+    hidden += w["mix_add"]
+    np.tanh(hidden, out=hidden)
+    return hidden, (query, key, value, weight, seen)
+
+
+def _shares(out: np.ndarray, add: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits (classes, n), less the largest of each place, their exponentials and the sums of these."""
+    logits = out @ hidden.T
+    logits += add[:, None]
+    logits -= logits.max(axis=0)
+    exponentials = np.exp(logits)
+    return logits, exponentials, exponentials.sum(axis=0)
+
+
+def forward(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities (n * 16, classes) of the next token of each place of the blocks, and its hidden rows."""
+    hidden, _ = _attend(w, w["embed"][inputs], real)
+    logits, _, total = _shares(w["out"].T, w["out_add"], hidden)
+    return (logits - np.log(total)).T, hidden
+
+
+def group_logs(w: dict[str, np.ndarray], hidden: np.ndarray, group: slice) -> np.ndarray:
+    """Log probabilities (n, ids) of the ids of one group, given that it is this group."""
+    logits, _, total = _shares(w["far"][group], w["far_add"][group], hidden)
+    return (logits - np.log(total)).T
 
-    def gathered(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Sums of the parts by class, as a product with the classes' indicators."""
-        ids, parts = ids.reshape(-1), parts.reshape(-1, parts.shape[-1])
-        return np.stack([np.bincount(ids, weights=parts[:, k], minlength=rows) for k in range(parts.shape[1])], axis=1).astype(np.float32)
 
-    by_query, by_key, by_value = gathered(inputs[:, BLOCK:], d_query), gathered(inputs, d_key), gathered(inputs, d_value)
-    g["query"] += w["embed"].T @ by_query * scale
-    g["key"] += w["embed"].T @ by_key
-    g["value"] += w["embed"].T @ by_value
-    g["embed"] += gathered(inputs[:, BLOCK:], d_own) + by_query @ w["query"].T * scale + by_key @ w["key"].T + by_value @ w["value"].T
-    return loss, flat
+@dataclass
+class Tokens:
+    """Tokens by their class, their id's place in the groups (-1: none) and the rows of all their subwords.
 
+    The last one is the beginning of a text.
+    """
 
-def train(flat: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, seed: int, steps: int = 300, size: int = 64, rate: float = 0.01, classes: int = CLASSES) -> np.ndarray:
+    classes: np.ndarray
+    far: np.ndarray
+    pieces: np.ndarray
+    sizes: np.ndarray
+    groups: dict[int, slice]
+
+    def __post_init__(self):
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pieces_of(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The numbers in order of falling size, and the rows of all first subwords, all second ones and so on."""
+        sizes = self.sizes.take(which)
+        order = np.argsort(np.minimum(255 - sizes, 255).astype(np.uint8) if sizes.max() < 256 else -sizes, kind="stable")
+        many = len(which) - np.cumsum(np.bincount(sizes))[:-1]
+        starts = self.starts.take(which.take(order))
+        return order, [self.pieces.take(starts[:m] + j) for j, m in enumerate(many.tolist())]
+
+    def embed(self, table: np.ndarray, which: np.ndarray, pieces: tuple | None = None) -> np.ndarray:
+        """Mean of the subwords' embeddings of each of the tokens; ``pieces`` is what ``pieces_of`` says of them."""
+        order, rows = pieces or self.pieces_of(which)
+        found = table.take(rows[0], axis=0)
+        for r in rows[1:]:
+            found[: len(r)] += table.take(r, axis=0)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        found /= self.sizes.take(which.take(order))[:, None].astype(found.dtype)
+        return found.take(back, axis=0)
+
+    def spread(self, which: np.ndarray, slopes: np.ndarray, n: int, pieces: tuple | None = None) -> np.ndarray:
+        """Sums of the slopes by the rows of their subwords, (n, size)."""
+        order, rows = pieces or self.pieces_of(which)
+        parts = slopes.take(order, axis=0) / self.sizes.take(which.take(order))[:, None]
+        places = np.concatenate(rows).astype(np.int64)[:, None] * _SIZE + np.arange(_SIZE)
+        each = np.concatenate([parts[: len(r)] for r in rows])
+        return np.bincount(places.reshape(-1), weights=each.reshape(-1), minlength=n * _SIZE).reshape(n, _SIZE)
+
+
+def plain_tokens(tokens: np.ndarray, classes: int = CLASSES) -> Tokens:
+    """Tokens that are classes, each with an embedding of its own."""
+    own = np.append(tokens, classes)
+    return Tokens(own, np.full(len(own), -1), own, np.ones(len(own), np.int64), {})
+
+
+def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray, classes: int = CLASSES, tokens: Tokens | None = None) -> tuple[float, np.ndarray]:
+    """Mean loss of the targets in nats, and its gradient by all weights.
+
+    Inputs and targets are numbers of ``tokens``, classes if there are none.
+    """
+    tokens = tokens or plain_tokens(np.arange(classes), classes)
+    flat = np.zeros(sum(p.size for p in w.values()), np.float32)
+    g = unpack(flat, classes, len(w["embed"]), len(w["far"]))
+    pieces = tokens.pieces_of(inputs.reshape(-1))
+    window = tokens.embed(w["embed"], inputs.reshape(-1), pieces).reshape(*inputs.shape, _SIZE)
+    hidden, (query, key, value, attention, seen) = _attend(w, window, real)
+    at = np.flatnonzero(targets.reshape(-1) >= 0)
+    wanted = targets.reshape(-1)[at]
+    own, each = tokens.classes[wanted], np.float32(1 / len(at))
+    logits, d_logits, total = _shares(w["out"].T, w["out_add"], hidden)
+    loss = float(np.log(total[at]).sum()) - float(logits[own, at].sum())
+    share = np.zeros_like(total)
+    share[at] = each / total[at]
+    d_logits *= share
+    d_logits[own, at] -= each
+    g["out"] += (d_logits @ hidden).T
+    g["out_add"] += d_logits.sum(axis=1)
+    d_hidden = d_logits.T @ w["out"].T
+    far = tokens.far[wanted]
+    for k in np.unique(own[far >= 0]).tolist():
+        group, of_group = tokens.groups[k], np.flatnonzero(own == k)
+        rows, place = at[of_group], far[of_group] - group.start
+        d = group_logs(w, hidden[rows], group)
+        loss -= float(d[np.arange(len(rows)), place].sum())
+        d = np.exp(d)
+        d[np.arange(len(rows)), place] -= 1
+        d *= each
+        g["far"][group] += d.T @ hidden[rows]
+        g["far_add"][group] += d.sum(axis=0)
+        d_hidden[rows] += d @ w["far"][group]
+    d_hidden *= 1 - hidden * hidden
+    g["mix"] += seen.T @ d_hidden
+    g["mix_add"] += d_hidden.sum(axis=0)
+    d_seen = (d_hidden @ w["mix"].T).reshape(len(window), BLOCK, 2 * _SIZE)
+    d_read = d_seen[..., _SIZE:]
+    d_scores = d_read @ value.transpose(0, 2, 1)
+    d_scores *= attention
+    d_scores -= attention * (d_scores.reshape(-1, WINDOW) @ np.ones(WINDOW, d_scores.dtype)).reshape(len(window), BLOCK, 1)
+    g["near"] += np.bincount(_FAR.reshape(-1), weights=d_scores.sum(axis=0).reshape(-1), minlength=WINDOW)
+    d_query = d_scores @ key
+    d_both = np.concatenate([d_scores.transpose(0, 2, 1) @ query, attention.transpose(0, 2, 1) @ d_read], axis=2).reshape(-1, 2 * _SIZE)
+    by_both = window.reshape(-1, _SIZE).T @ d_both
+    g["query"] += window[:, BLOCK:].reshape(-1, _SIZE).T @ d_query.reshape(-1, _SIZE) * _SCALE
+    g["key"] += by_both[:, :_SIZE]
+    g["value"] += by_both[:, _SIZE:]
+    d_window = (d_both @ np.concatenate([w["key"], w["value"]], axis=1).T).reshape(window.shape)
+    d_window[:, BLOCK:] += d_seen[..., :_SIZE]
+    d_window[:, BLOCK:] += d_query @ (w["query"] * _SCALE).T
+    g["embed"] += tokens.spread(inputs.reshape(-1), d_window.reshape(-1, _SIZE), len(w["embed"]), pieces)
+    return loss * float(each), flat
+
+
+def train(flat: np.ndarray, tokens: np.ndarray | Tokens, offsets: np.ndarray, seed: int, steps: int = 300, size: int = 64, rate: float = 0.01, classes: int = CLASSES, rows: int | None = None) -> np.ndarray:
     """Weights after at least ``steps`` steps over shuffled blocks."""
-    inputs, real, targets, _ = blocks_of(tokens, offsets, classes)
+    tokens = tokens if isinstance(tokens, Tokens) else plain_tokens(tokens, classes)
+    inputs, real, targets, _ = blocks_of(np.arange(len(tokens.classes) - 1), offsets, len(tokens.classes) - 1)
     if not len(inputs):
         return flat
     flat = flat.copy()
     random = np.random.default_rng(seed)
     mean, square, step = np.zeros_like(flat), np.zeros_like(flat), 0
     total = max(steps, -(-len(inputs) // size))
+    w = unpack(flat, classes, rows, sum(g.stop - g.start for g in tokens.groups.values()))
     while step < total:
         order = random.permutation(len(inputs))
         for at in range(0, len(order), size):
             chosen = order[at : at + size]
-            _, g = gradient(unpack(flat, classes), inputs[chosen], real[chosen], targets[chosen], classes)
+            _, g = gradient(w, inputs[chosen], real[chosen], targets[chosen], classes, tokens)
             step += 1
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * g
+            square *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            square += g
             pace = rate * (1 - 0.9 * step / total)
-            flat -= np.float32(pace) * (mean / np.float32(1 - 0.9**step)) / (np.sqrt(square / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            np.sqrt(square, out=g)
+            g *= np.float32(1 / np.sqrt(1 - 0.99**step))
+            g += np.float32(1e-8)
+            np.divide(mean, g, out=g)
+            g *= np.float32(pace / (1 - 0.9**step))
+            flat -= g
             if step >= total:
                 break
     return flat
 
 
-def text_scores(w: dict[str, np.ndarray], tokens: np.ndarray, offsets: np.ndarray, classes: int = CLASSES, at_once: int = 2048) -> np.ndarray:
-    """log10 probability of the classes of each text."""
-    inputs, real, targets, text = blocks_of(tokens, offsets, classes)
+def text_scores(w: dict[str, np.ndarray], tokens: np.ndarray, offsets: np.ndarray, classes: int = CLASSES, at_once: int = 64, table: np.ndarray | None = None, kinds: Tokens | None = None) -> np.ndarray:
+    """log10 probability of the first ids of each text.
+
+    ``tokens`` are numbers of ``kinds``, whose embeddings are the rows of ``table``; classes if there are none.
+    """
+    kinds = kinds or plain_tokens(np.arange(classes), classes)
+    table = w["embed"] if table is None else table
+    inputs, real, targets, text = blocks_of(tokens, offsets, len(table) - 1)
     sums = np.zeros(len(offsets) - 1)
+    waiting: dict[int, list] = {}
     for a in range(0, len(inputs), at_once):
         part = slice(a, a + at_once)
-        logs, _ = forward(w, inputs[part], real[part])
-        wanted = targets[part].reshape(-1)
-        found = np.where(wanted >= 0, logs[np.arange(len(wanted)), np.maximum(wanted, 0)], 0).astype(np.float64)
-        sums += np.bincount(text[part], weights=found.reshape(-1, BLOCK).sum(axis=1), minlength=len(sums))
+        hidden, _ = _attend(w, table.take(inputs[part], axis=0), real[part])
+        logits, _, total = _shares(w["out"].T, w["out_add"], hidden)
+        at = np.flatnonzero(targets[part].reshape(-1) >= 0)
+        wanted = targets[part].reshape(-1)[at]
+        own, far = kinds.classes.take(wanted), kinds.far.take(wanted)
+        found = logits[own, at].astype(np.float64) - np.log(total[at])
+        in_text = text[part][at // BLOCK]
+        sums += np.bincount(in_text, weights=found, minlength=len(sums))
+        some = far >= 0
+        for k in np.unique(own[some]).tolist():
+            rows = np.flatnonzero(own == k)
+            waiting.setdefault(k, []).append((hidden[at[rows]], far[rows] - kinds.groups[k].start, in_text[rows]))
+    for k, parts in waiting.items():
+        for a in range(0, len(parts), 64):
+            own, place, in_text = (np.concatenate(x) for x in zip(*parts[a : a + 64], strict=True))
+            found = group_logs(w, own, kinds.groups[k])[np.arange(len(own)), place]
+            sums += np.bincount(in_text, weights=found.astype(np.float64), minlength=len(sums))
     return sums / np.log(10)
 
 
-# -- words and their classes ---------------------------------------------------------------
+# -- words and their subwords ---------------------------------------------------------------
 
 
 class Subwords:
-    """First subword id of a word under a public tokenizer given as ranks."""
+    """Subword ids of words under a public tokenizer given as ranks, each word with a blank before it."""
 
-    def __init__(self, ranks: bytes, pattern: str, kept: int = 200_000):
+    def __init__(self, ranks: bytes, pattern: str):
         pairs = (line.split() for line in ranks.splitlines() if line)
         own = {base64.b64decode(a): int(b) for a, b in pairs}
         self.coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=own, special_tokens={})
-        self.known: dict[bytes, int] = {}
-        self.kept = kept
-
-    def first(self, word: bytes) -> int:
-        found = self.known.get(word)
-        if found is None:
-            # A long run without blanks begins as its first 64 bytes do.
-            found = self.coder.encode_ordinary(" " + word[:64].decode("utf-8", "ignore"))[0]
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.begins = np.zeros(max(own.values(), default=0) + 1, bool)
+        self.begins[[k for a, k in own.items() if a.startswith(b" ")]] = True
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one's after another's, and how many each has."""
+        text = b"".join(b" " + w for w in words).decode()
+        if text.split() == text[1:].split(" "):
+            # One call for all: a pattern splits before the blanks, and only there a subword begins with one.
+            found = np.array(self.coder.encode_ordinary(text), np.int64)
+            first = np.flatnonzero(self.begins[found])
+            if len(first) == len(words):
+                return found, np.diff(np.append(first, len(found)))
+        elif len(words) > 1:  # some word holds a blank of Unicode, which a pattern sees
+            cut = len(words) // 2
+            (a, b), (c, d) = self.ids(words[:cut]), self.ids(words[cut:])
+            return np.append(a, c), np.append(b, d)
+        each = [self.coder.encode_ordinary(" " + w.decode()) for w in words]
+        return np.array([k for ids in each for k in ids], np.int64), np.array([len(ids) for ids in each], np.int64)
 
 
 def _subwords(held: dict) -> Subwords:
@@ -235,6 +385,18 @@ def _subwords(held: dict) -> Subwords:
     return held["subwords"]
 
 
+def _rows(held: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the words' subwords, one word's after another's, and how many each has."""
+    ids, sizes = _subwords(held).ids(words)
+    return held["row_of"].take(ids), sizes
+
+
+def _numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and the number among them of each."""
+    kinds = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    return list(kinds), np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+
+
 def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> DataFrame:
     """Occurrences of every word over all rows: word, n."""
     bound_batches(docs.sparkSession)
@@ -248,8 +410,8 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> Dat
             return made
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(words_of(value))
+            for words in _words_of_all(batch.column(0)):
+                seen.update(words)
             if len(seen) >= most:
                 yield flush()
         yield flush()
@@ -260,58 +422,111 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> Dat
 
 @dataclass
 class Fitted:
-    """All that scoring needs: counts of the training text, words with their classes, model weights."""
+    """All that scoring needs: counts of the training text, what is known of its subword ids, model weights.
+
+    Arrays ``kinds``, ``far`` and ``sizes`` go by row: row 0 is a text's end, row 1 all ids that
+    aren't in the training text, each other row one id that is; the last is a text's beginning.
+    """
 
-    words: DataFrame  # word, n, class
+    words: DataFrame  # word, n
     n: int
     v: int
     ends: int
-    class_of: dict[int, int]  # subword id: class
+    row_of: np.ndarray  # by subword id
+    kinds: np.ndarray  # class
+    far: np.ndarray  # place in the groups, or -1
+    sizes: np.ndarray  # of an id that begins words: their occurrences and half their number and one
+    groups: dict[int, slice]  # by class
     class_words: np.ndarray
-    class_kinds: np.ndarray
+    far_add: np.ndarray
     flat: np.ndarray | None
     sent: dict
 
     def base_log(self, c: np.ndarray | Column):
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
 
+    def held(self) -> dict:
+        return self.sent | {"row_of": self.row_of, "kinds": self.kinds, "far": self.far, "sizes": self.sizes, "groups": self.groups, "flat": self.flat, "ends": self.ends, "classes": len(self.class_words)}
 
-def fit_counts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", classes: int = CLASSES) -> Fitted:
-    """Word counts over all training rows, and the classes of the most frequent subword ids."""
+
+def fit_counts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", classes: int = CLASSES, group: int = GROUP) -> Fitted:
+    """Word counts over all training rows, and a place for every subword id.
+
+    Ids that begin words go by falling occurrences: the first are classes, all others
+    are dealt over groups of ``group`` ids at most, each a class; as few as will do.
+    """
     with open(ranks_file, "rb") as f:
         sent = {"ranks": f.read(), "pattern": pattern}
     held = docs.sparkSession.sparkContext.broadcast(dict(sent))
     ends = docs.count()
     counted = count_words(docs, text)
 
-    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_subwords(held.value).first(w.encode()) for w in batch.column("word").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.int32())], names=["word", "n", "subword"])
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sizes = _subwords(held.value).ids(batch.column("word").cast(pa.binary()).to_pylist())
+        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), found], names=["word", "n", "subwords"])
 
-    words = materialise(map_batches(counted, first, "word string, n bigint, subword int"), "words")
+    words = materialise(map_batches(counted, split, "word string, n bigint, subwords array<int>"), "words")
     # One row for each id of the tokenizer at most.
-    found = words.groupBy("subword").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).orderBy(F.desc("n"), "subword").collect()
-    class_of = {r.subword: k + 2 for k, r in enumerate(found[: classes - 2])}
-    n_words, n_kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-    for r in found:
-        k = class_of.get(r.subword, OTHER)
-        n_words[k] += r.n
-        n_kinds[k] += r.v
-    n_words[END], n_kinds[END] = ends, min(ends, 1)
-    return Fitted(words, int(n_words.sum()), int(n_kinds.sum()), ends, class_of, n_words, n_kinds, None, sent)
-
-
-def _class_batches(docs: DataFrame, fitted: Fitted, text: str, key: str) -> DataFrame:
-    """Classes of every row's words, and a number by which rows are dealt: copies of a text have different ones."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted.sent | {"class_of": fitted.class_of})
-
-    def classes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sub, class_of = _subwords(held.value), held.value["class_of"]
-        rows = [[*(class_of.get(sub.first(w), OTHER) for w in words_of(t)), END] for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("deal"), pa.array(rows, pa.list_(pa.int16()))], names=["deal", "tokens"])
+    found = words.groupBy(F.get("subwords", F.lit(0)).alias("id")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).orderBy(F.desc("n"), "id").collect()
+    others = words.select(F.explode("subwords").alias("id")).distinct().collect()
+    first = [r.id for r in found]
+    ids = [*first, *sorted({r.id for r in others} - set(first))]
+    row_of = np.full(max([int(line.split()[1]) for line in sent["ranks"].splitlines() if line], default=0) + 1, NEW, np.uint16 if len(ids) < 60_000 else np.int64)
+    row_of[ids] = np.arange(2, len(ids) + 2)
+    single, groups = _dealt(len(first), classes - 2, group)
+    kinds, far = np.full(len(ids) + 3, NEW), np.full(len(ids) + 3, -1)
+    kinds[END] = END
+    kinds[2 : 2 + single] = np.arange(2, 2 + single)
+    for k, part in enumerate(groups):
+        kinds[2 + single + part.start : 2 + single + part.stop] = 2 + single + k
+    n_of, sizes = np.array([r.n for r in found], float), np.full(len(ids) + 3, 0.5)
+    far[2 + single : 2 + len(first)] = np.arange(len(first) - single)
+    sizes[2 : 2 + len(first)] = n_of + 0.5 * (np.array([r.v for r in found], float) + 1)
+    class_words = np.bincount(kinds[2 : 2 + len(first)], weights=n_of, minlength=classes)
+    class_words[END] = ends
+    tail = n_of[single:]
+    far_add = np.concatenate([np.zeros(0), *(np.log((tail[g] + 0.5) / (tail[g] + 0.5).sum()) for g in groups)])
+    n, v = int(n_of.sum()) + ends, sum(r.v for r in found) + min(ends, 1)
+    by_class = {2 + single + k: g for k, g in enumerate(groups)}
+    return Fitted(words.select("word", "n"), n, v, ends, row_of, kinds, far, sizes, by_class, class_words, far_add, None, sent)
+
+
+def _dealt(n: int, classes: int, group: int) -> tuple[int, list[slice]]:
+    """How many of n ids, by falling occurrences, are classes of their own, and the groups of all others."""
+    if n <= classes:
+        return n, []
+    group = max(group, -(-n // classes), 2)
+    number = -(-(n - classes) // (group - 1))
+    single = classes - number
+    cuts = np.linspace(0, n - single, number + 1).round().astype(int).tolist()
+    return single, [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _token_batches(docs: DataFrame, fitted: Fitted, text: str, key: str) -> DataFrame:
+    """Every row's words and its end, each as its number of subwords (``tokens``) and the rows of these, and a number by which rows are dealt: copies of a text have different ones."""
+    held = docs.sparkSession.sparkContext.broadcast(fitted.held())
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = _words_of_all(batch.column("text"))
+        kinds, number = _numbered(list(chain.from_iterable(words)))
+        rows, sizes = _rows(held.value, kinds)
+        # The end comes after all kinds; its one subword is row 0.
+        rows, sizes = np.append(rows, rows.dtype.type(END)), np.append(sizes, 1)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        offsets = np.append(0, np.cumsum(length + 1))
+        tokens = np.full(int(offsets[-1]), len(kinds))
+        tokens[np.arange(len(number)) + np.repeat(np.arange(len(words)), length)] = number
+        many = sizes.take(tokens)
+        ends = np.cumsum(many)
+        pieces = rows.take(np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes).take(tokens) - (ends - many), many))
+        cuts = np.append(0, ends)[offsets].tolist()
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(many, pa.int32()))
+        packed = pa.array([pieces[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("deal"), listed, packed], names=["deal", "tokens", "pieces"])
 
     deal = F.pmod(F.xxhash64(F.col(key), whole_text(text)), F.lit(1 << 30))
-    return map_batches(docs.select(deal.alias("deal"), whole_text(text).alias("text")), classes, "deal bigint, tokens array<smallint>")
+    return map_batches(docs.select(deal.alias("deal"), whole_text(text).alias("text")), split, "deal bigint, tokens array<int>, pieces binary")
 
 
 def fit_model(docs: DataFrame, fitted: Fitted, text: str = "text", rounds: int = ROUNDS, key: str = "doc_id") -> Fitted:
@@ -323,36 +538,57 @@ def fit_model(docs: DataFrame, fitted: Fitted, text: str = "text", rounds: int =
     A text too small for several parts is one, and is read several times.
     """
     spark = docs.sparkSession
-    learned = materialise(_class_batches(docs, fitted, text, key), "learned")
+    learned = materialise(_token_batches(docs, fitted, text, key), "learned")
     tokens = learned.agg(F.sum(F.size("tokens"))).head()[0] or 0
-    flat = initial(fitted.class_words.astype(float))
+    flat = initial(fitted.class_words, len(fitted.class_words), rows=len(fitted.kinds), far_add=fitted.far_add)
+    unpack(flat, len(fitted.class_words), len(fitted.kinds), len(fitted.far_add))["embed"][NEW] = 0  # nothing is known of these
     if tokens:
         rounds = max(1, min(rounds, tokens // TASK_TOKENS))
         tasks = max(1, round(tokens / rounds / TASK_TOKENS))
         passes = max(1, -(-LEAST_STEPS * 64 * BLOCK // tokens))
         for number in range(rounds):
-            part = learned.where(F.col("deal") % rounds == number).repartition(tasks, "deal").sortWithinPartitions("deal").select("tokens")
-            flat = _round(part, spark.sparkContext.broadcast(flat), number, passes)
+            fitted.flat = flat
+            part = learned.where(F.col("deal") % rounds == number).repartition(tasks, "deal").sortWithinPartitions("deal").select("tokens", "pieces")
+            flat = _round(part, spark.sparkContext.broadcast(fitted.held()), number, passes)
     fitted.flat = flat
     return fitted
 
 
 def _round(part: DataFrame, held, number: int, passes: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [b.column(0) for b in batches if b.num_rows]
-        if not arrays:
+        own, lengths, sizes, pieces = held.value, [], [], []
+        for b in batches:
+            if b.num_rows:
+                lengths.append(b.column(0).value_lengths().to_numpy())
+                sizes.append(b.column(0).flatten().to_numpy())
+                pieces += [np.frombuffer(x, own["row_of"].dtype) for x in b.column(1).to_pylist()]
+        if not lengths:
             return
-        whole = pa.chunked_array(arrays).combine_chunks()
-        tokens, offsets = whole.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(whole.value_lengths().to_numpy()))
+        begin = len(own["kinds"]) - 1
+        rows = np.append(np.concatenate(pieces), np.array([begin], own["row_of"].dtype))
+        sizes = np.append(np.concatenate(sizes).astype(np.int64), 1)
+        first = rows[np.cumsum(sizes) - sizes]
+        tokens = Tokens(own["kinds"].take(first), own["far"].take(first), rows, sizes, own["groups"])
+        offsets = np.append(0, np.cumsum(np.concatenate(lengths).astype(np.int64)))
         blocks = int((-(-np.diff(offsets) // BLOCK)).sum())
-        flat = train(held.value, tokens, offsets, seed=number, steps=passes * -(-blocks // 64))
-        yield pa.RecordBatch.from_arrays([pa.array([len(tokens)], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float32()))], names=["n", "flat"])
-
-    trained = part.mapInArrow(run, "n bigint, flat array<float>")
-    each = trained.select("n", F.posexplode("flat").alias("place", "x"))
-    mean = each.groupBy("place").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    found = [r.x for r in sorted(mean.collect(), key=lambda r: r.place)]  # one row for each weight
-    return np.array(found, np.float32) if found else held.value
+        flat = train(own["flat"], tokens, offsets, seed=number, steps=passes * -(-blocks // 64), classes=own["classes"], rows=begin + 1)
+        cut = [flat[a : a + TOGETHER].tobytes() for a in range(0, len(flat), TOGETHER)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int64()), pa.array([len(sizes) - 1] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["place", "n", "flat"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for place, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held_sum = sums.setdefault(place, [0, 0.0])
+                held_sum[0] += n
+                held_sum[1] = held_sum[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
+        made = [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(made, pa.binary())], names=["place", "flat"])
+
+    trained = part.mapInArrow(run, "place bigint, n bigint, flat binary")
+    each = trained.repartition("place").sortWithinPartitions("place", "n", "flat").mapInArrow(mean, "place bigint, flat binary")
+    found = [r.flat for r in sorted(each.collect(), key=lambda r: r.place)]  # one set of weights
+    return np.frombuffer(b"".join(found), np.float32) if found else held.value["flat"]
 
 
 def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words: int = KNOWN_WORDS) -> DataFrame:
@@ -366,63 +602,77 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
     # The most frequent words go to every worker, fewer than a fixed number; the others are joined.
     least = kth_largest(fitted.words, "n", known_words)
     heart = fitted.words.where(F.col("n") > F.lit(least)).collect()
-    class_of = fitted.class_of
-    ids = {r.word.encode(): k for k, r in enumerate(heart)}
     n = np.array([r.n for r in heart], float)
-    kind = np.array([class_of.get(r.subword, OTHER) for r in heart], np.int64)
-    size = fitted.class_words + 0.5 * (fitted.class_kinds + 1)
     base = np.log10(fitted.base_log(n)) if len(n) else np.zeros(0)
-    within = np.log10((n + 0.5) / size[kind]) if len(n) else np.zeros(0)
     end_base = float(np.log10(fitted.base_log(float(fitted.ends))))
-    held = spark.sparkContext.broadcast(fitted.sent | {"class_of": class_of, "ids": ids, "kind": kind, "base": base, "within": within, "flat": fitted.flat, "ends": fitted.ends})
+    held = spark.sparkContext.broadcast(fitted.held() | {"words": [r.word.encode() for r in heart], "n": n, "base": base})
     made = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
     aside, give_back = set_aside(docs, text)
     kept = aside.select("*", whole_text(text).alias("_whole_text")).drop(text, *made)
     kept = kept.withColumn("_row", F.monotonically_increasing_id())
     fields = [f for f in kept.schema.fields if f.name != "_whole_text"]
-    rare = "array<struct<word:string,class:smallint,times:int>>"
+    rare = "array<struct<word:string,size:double,times:int>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{k} {t}" for k, t in made.items()), f"_rare {rare}"])
-    rare_type = pa.struct([("word", pa.string()), ("class", pa.int16()), ("times", pa.int32())])
+
+    def ready(own: dict) -> None:
+        """What is computed once for each worker: weights, and the embeddings and counts of the known words."""
+        own["ids"] = {w: k for k, w in enumerate(own["words"])}
+        own["weights"] = unpack(own["flat"], own["classes"], len(own["kinds"]), sum(g.stop - g.start for g in own["groups"].values()))
+        own["table"], own["first"] = embedded(own, own["words"])
+        own["within"] = np.log10((own["n"] + 0.5) / own["sizes"].take(own["first"]))
+
+    def embedded(own: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of the words, and the rows of their first subwords."""
+        rows, sizes = _rows(own, words)
+        if not len(words):
+            return np.zeros((0, _SIZE), np.float32), rows
+        tokens = Tokens(sizes, sizes, rows, sizes, {})
+        return tokens.embed(own["weights"]["embed"], np.arange(len(sizes))), rows.take(tokens.starts)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = held.value
-        sub, get, kinds = _subwords(own), own["ids"].get, own["class_of"]
-        if "weights" not in own:
-            own["weights"] = unpack(own["flat"])
-        words = [words_of(t) for t in batch.column("_whole_text").to_pylist()]
-        length = np.array([len(w) for w in words], np.int64)
-        flat_words = [w for ws in words for w in ws]
-        found = np.fromiter((get(w, -1) for w in flat_words), np.int64, len(flat_words))
+        if "table" not in own:
+            ready(own)
+        words = _words_of_all(batch.column("_whole_text"))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        flat_words = list(chain.from_iterable(words))
+        found = np.fromiter(map(own["ids"].get, flat_words, repeat(-1)), np.int64, len(flat_words))
         text_of = np.repeat(np.arange(len(words)), length)
-        common = found >= 0
-        classes = np.zeros(len(found), np.int64)
-        classes[common] = own["kind"][found[common]]
-        rows: list[Counter] = [Counter() for _ in words]
-        for i in np.flatnonzero(~common).tolist():
-            word = flat_words[i]
-            classes[i] = kinds.get(sub.first(word), OTHER)
-            rows[text_of[i]][word, int(classes[i])] += 1
-        base_sum = np.bincount(text_of[common], weights=own["base"][found[common]], minlength=len(words)) + end_base
-        within_sum = np.bincount(text_of[common], weights=own["within"][found[common]], minlength=len(words))
-        known = np.bincount(text_of[common], minlength=len(words)) + (own["ends"] > 0)
+        common, unknown = found >= 0, np.flatnonzero(found < 0)
+        others, number = _numbered([flat_words[i] for i in unknown.tolist()])
+        table, first = embedded(own, others)
+        known = len(own["words"])
+        found[unknown] = known + number
+        weights = own["weights"]["embed"]
+        rows = np.concatenate([own["first"], first, np.array([END, len(weights) - 1], first.dtype)])
+        kinds = Tokens(own["kinds"].take(rows), own["far"].take(rows), rows, np.ones(len(rows), np.int64), own["groups"])
+        table = np.concatenate([own["table"], table, weights[[END, -1]]])
         offsets = np.append(0, np.cumsum(length + 1))
-        tokens = np.full(int(offsets[-1]), END, np.int64)
-        tokens[np.arange(len(found)) + text_of] = classes
-        score = within_sum + text_scores(own["weights"], tokens, offsets)
+        tokens = np.full(int(offsets[-1]), len(table) - 2)
+        tokens[np.arange(len(found)) + text_of] = found
+        met, where = found[common], text_of[common]
+        base_sum = np.bincount(where, weights=own["base"].take(met), minlength=len(words)) + end_base
+        score = np.bincount(where, weights=own["within"].take(met), minlength=len(words))
+        score = score + text_scores(own["weights"], tokens, offsets, own["classes"], table=table, kinds=kinds)
+        n_known = np.bincount(where, minlength=len(words)) + (own["ends"] > 0)
+        # Words that aren't known by heart: once for each text, with their number.
+        pairs, times = np.unique(text_of[unknown] * max(len(others), 1) + number, return_counts=True)
+        which, cuts = pairs % max(len(others), 1), np.searchsorted(pairs // max(len(others), 1), np.arange(len(words) + 1))
+        named = pa.array([w.decode() for w in others], pa.string()).take(pa.array(which))
+        parts = pa.StructArray.from_arrays([named, pa.array(own["sizes"].take(first.take(which))), pa.array(times, pa.int32())], names=["word", "size", "times"])
         columns = [batch.column(f.name) for f in fields]
-        columns += [pa.array(length + 1), pa.array(known.astype(np.int64)), pa.array(base_sum), pa.array(score)]
-        columns.append(pa.array([[{"word": w.decode(), "class": k, "times": c} for (w, k), c in r.items()] for r in rows], pa.list_(rare_type)))
+        columns += [pa.array(length + 1), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(score)]
+        columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts))
         return pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *made, "_rare"])
 
     scored = materialise(map_batches(kept, run, schema), "scored")
     counts = fitted.words.where(F.col("n") <= F.lit(least)).select(F.col("word").alias("_word"), F.col("n").alias("_n"))
-    met = scored.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.class", "r.times")
+    met = scored.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.size", "r.times")
     met = met.join(counts, F.col("word") == F.col("_word"), "left").withColumn("_c", F.coalesce("_n", F.lit(0)))
-    sizes = F.array(*[F.lit(float(s)) for s in size])
     sums = met.groupBy("_row").agg(
         F.sum(F.when(F.col("_c") > 0, F.col("times")).otherwise(0)).alias("_known"),
         F.sum(F.col("times") * F.log10(fitted.base_log(F.col("_c")))).alias("_base"),
-        F.sum(F.col("times") * F.log10((F.col("_c") + 0.5) / F.get(sizes, F.col("class")))).alias("_within"),
+        F.sum(F.col("times") * F.log10((F.col("_c") + 0.5) / F.col("size"))).alias("_within"),
     )
     sums = sums.withColumnRenamed("_row", "_of")
     joined = scored.drop("_rare").join(sums, F.col("_row") == F.col("_of"), "left")

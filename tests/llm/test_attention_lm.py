@@ -129,3 +129,125 @@ def test_query_equals_brute_counts_and_beats_them(spark, sf_dir):
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
     tested = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested)
+
+
+@pytest.fixture(scope="module")
+def many_ids(spark):
+    """A training text whose words begin with over 400 different subwords, far more than there are classes."""
+    ranks = lm.Subwords(open(RANKS, "rb").read(), PATTERN)
+    names = [t[1:].decode() for t in (ranks.coder.decode_single_token_bytes(k) for k in range(2000, 6000)) if t[:1] == b" " and t[1:].isalpha() and t[1:].islower()][:500]
+    random = np.random.default_rng(3)
+    rows = [(k, " ".join(random.choice(names, 60))) for k in range(60)] + [(60 + k, " ".join(names)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return docs, names, lm.fit_counts(docs, RANKS, PATTERN, group=64)
+
+
+def test_every_id_has_a_probability_of_its_own(many_ids):
+    _, names, fitted = many_ids
+    first = lm._rows(fitted.held(), [n.encode() for n in names])[0]
+    places = list(zip(fitted.kinds[first].tolist(), fitted.far[first].tolist(), strict=True))
+    assert len(set(first.tolist())) > 400 and len(set(places)) == len(set(first.tolist()))
+    assert lm.NEW not in fitted.kinds[first] and len(fitted.groups) > 1
+    assert all(g.stop - g.start <= 64 for g in fitted.groups.values())
+    # Over all classes, ids of groups, and words of an id, known or not, the probabilities sum to one.
+    flat = lm.initial(fitted.class_words, rows=len(fitted.kinds), far_add=fitted.far_add)
+    w = lm.unpack(flat, rows=len(fitted.kinds), far=len(fitted.far_add))
+    w["far"][:] = np.random.default_rng(4).standard_normal(w["far"].shape)
+    inputs, real, _, _ = lm.blocks_of(np.arange(2, 34), np.array([0, 32]), len(fitted.kinds) - 1)
+    logs, hidden = lm.forward(w, inputs, real)
+    total = np.zeros(len(hidden))
+    for k in range(lm.CLASSES):
+        of_group = np.exp(lm.group_logs(w, hidden, fitted.groups[k])).sum(axis=1) if k in fitted.groups else 1
+        total += np.exp(logs[:, k]) * of_group
+    assert np.allclose(total, 1, atol=1e-4)
+    counts = {r.word: r.n for r in fitted.words.collect()}
+    by_id = Counter()
+    kinds_of = Counter()
+    for word, n in counts.items():
+        row = int(lm._rows(fitted.held(), [word.encode()])[0][0])
+        by_id[row] += n
+        kinds_of[row] += 1
+    for row, n in by_id.items():
+        assert fitted.sizes[row] == n + 0.5 * (kinds_of[row] + 1)
+
+
+def test_scores_of_ids_in_groups_equal_the_formula(many_ids, spark):
+    docs, names, fitted = many_ids
+    fitted = lm.fit_model(docs, fitted)
+    text = [names[k] for k in (3, 70, 200, 301, 444, 12, 499)] + ["nowhereseen"]
+    got = lm.score_texts(spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string"), fitted, known_words=5).head()
+    w = lm.unpack(fitted.flat, rows=len(fitted.kinds), far=len(fitted.far_add))
+    counts = {r.word: r.n for r in fitted.words.collect()}
+    rows = [lm._rows(fitted.held(), [t.encode()])[0] for t in text]
+    table = np.concatenate([*(w["embed"][r].mean(axis=0, keepdims=True) for r in rows), w["embed"][[lm.END, -1]]])
+    inputs, real, targets, _ = lm.blocks_of(np.arange(len(text) + 1), np.array([0, len(text) + 1]), len(text) + 1)
+    hidden, _ = lm._attend(w, table[inputs], real)
+    logits = hidden @ w["out"] + w["out_add"]
+    logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    wanted, used = 0.0, set()
+    for place, row in enumerate([*(int(r[0]) for r in rows), lm.END]):
+        k = int(fitted.kinds[row])
+        wanted += logs[place, k] / math.log(10)
+        if k in fitted.groups:
+            used.add(k)
+            group = fitted.groups[k]
+            wanted += lm.group_logs(w, hidden[[place]], group)[0, fitted.far[row] - group.start] / math.log(10)
+        if row != lm.END:
+            wanted += math.log10((counts.get(text[place], 0) + 0.5) / fitted.sizes[row])
+    assert len(used) > 1 and math.isclose(got.score, wanted, rel_tol=1e-5)
+    assert got.n_known == len(text)  # all but the unseen word, and the end
+
+
+def test_gradient_of_groups_and_subwords_equals_differences(many_ids):
+    _, names, fitted = many_ids
+    rows, sizes = lm._rows(fitted.held(), [f"{a}{b}".encode() for a, b in zip(names[:90], names[90:180], strict=True)])
+    begin = len(fitted.kinds) - 1
+    rows, sizes = np.append(rows, begin).astype(np.int64), np.append(sizes, 1)
+    first = rows[np.cumsum(sizes) - sizes]
+    tokens = lm.Tokens(fitted.kinds[first], fitted.far[first], rows, sizes, fitted.groups)
+    flat = lm.initial(fitted.class_words, rows=begin + 1, far_add=fitted.far_add).astype(np.float64)
+    views = lm.unpack(flat, rows=begin + 1, far=len(fitted.far_add))
+    views["far"][:] = np.random.default_rng(5).standard_normal(views["far"].shape)
+    inputs, real, targets, _ = lm.blocks_of(np.arange(90), np.array([0, 50, 90]), 90)
+    _, found = lm.gradient(views, inputs, real, targets, tokens=tokens)
+    assert sizes.max() > 1 and (tokens.far >= 0).sum() > 10
+    slopes = lm.unpack(found, rows=begin + 1, far=len(fitted.far_add))
+    random = np.random.default_rng(1)
+    for name in slopes:
+        chosen = np.flatnonzero(np.abs(slopes[name].reshape(-1)) > 1e-5)
+        assert len(chosen)
+        for k in random.choice(chosen, min(6, len(chosen)), replace=False):
+            loss = []
+            for step in (1e-5, -2e-5):
+                views[name].reshape(-1)[k] += step
+                loss.append(lm.gradient(views, inputs, real, targets, tokens=tokens)[0])
+            views[name].reshape(-1)[k] += 1e-5
+            assert abs((loss[0] - loss[1]) / 2e-5 - slopes[name].reshape(-1)[k]) < 1e-5, name
+
+
+def test_all_subwords_of_a_word_are_read(many_ids, spark):
+    names = many_ids[1]
+    docs = spark.createDataFrame([(1, f"{names[0]}{names[1]} {names[0]}{names[2]}")], "doc_id bigint, text string")
+    fitted = lm.fit_counts(docs, RANKS, PATTERN)
+    ranks = lm._subwords(fitted.held())
+    words = ["a", "x" * 70 + "y" * 70, "x" * 70 + "z" * 70, "d'un", "c d", " ", "日本語", "don't", "3.14", "a ", "é" * 200]
+    ids, sizes = ranks.ids([w.encode() for w in words])
+    cuts = np.append(0, np.cumsum(sizes))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [ranks.coder.encode_ordinary(" " + w) for w in words]
+    assert [x.tolist() for x in ranks.ids([])] == [[], []]
+    # Words that begin alike have different embeddings.
+    rows, sizes = lm._rows(fitted.held(), [f"{names[0]}{names[1]}".encode(), f"{names[0]}{names[2]}".encode()])
+    assert sizes.min() > 1 and rows[0] == rows[sizes[0]]
+    table = np.random.default_rng(2).standard_normal((len(fitted.kinds), 16))
+    tokens = lm.Tokens(sizes, sizes, rows, sizes, {})
+    a, b = tokens.embed(table, np.arange(2))
+    assert np.allclose(a, table[rows[: sizes[0]]].mean(axis=0)) and np.allclose(b, table[rows[sizes[0] :]].mean(axis=0)) and not np.allclose(a, b)
+
+
+def test_ids_beyond_the_classes_are_dealt_whole():
+    for n, classes, group in ((0, 126, 512), (126, 126, 512), (127, 126, 512), (847, 126, 512), (50_256, 126, 512), (200_000, 126, 512), (1000, 126, 8)):
+        single, groups = lm._dealt(n, classes, group)
+        assert single + len(groups) <= classes and single >= 0
+        assert single + sum(g.stop - g.start for g in groups) == n
+        assert [g.start for g in groups] == [0, *(g.stop for g in groups)][: len(groups)]
+        assert all(1 <= g.stop - g.start <= max(group, -(-n // classes)) for g in groups)
