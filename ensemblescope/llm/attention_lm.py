@@ -18,13 +18,13 @@ Texts are cut into blocks of 16 tokens. The window of a block is the block and t
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +46,22 @@ TASK_TOKENS = 500_000
 LEAST_STEPS = 900
 #: Weights that travel as one row to be averaged.
 TOGETHER = 64
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SIZE, _HIDDEN = 16, 32
 END, NEW = 0, 1
 
 
-def words_of(text: str | bytes) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
     """Words of a text, A-Z in lower case; blanks are the six of ASCII."""
-    return (text.encode("utf-8", "replace") if isinstance(text, str) else text).translate(_LOWER).split()
+    return _split(pa.array([text.encode("utf-8", "replace").decode()]))[0].cast(pa.binary()).to_pylist()
 
 
-def _words_of_all(column: pa.Array) -> list[list[bytes]]:
-    return [words_of(t) for t in column.cast(pa.binary()).to_pylist()]
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one's after another's, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # a blank at an end leaves an empty one
+    ends = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+    return words.filter(full), np.diff(ends)
 
 
 # -- the model ---------------------------------------------------------------------------
@@ -153,26 +157,26 @@ def _attend(w: dict[str, np.ndarray], window: np.ndarray, real: np.ndarray) -> t
     return hidden, (query, key, value, weight, seen)
 
 
-def _shares(out: np.ndarray, add: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits (classes, n), less the largest of each place, their exponentials and the sums of these."""
+def _logits(out: np.ndarray, add: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """Logits (classes, n), whose exponentials can be summed."""
     logits = out @ hidden.T
     logits += add[:, None]
-    logits -= logits.max(axis=0)
-    exponentials = np.exp(logits)
-    return logits, exponentials, exponentials.sum(axis=0)
+    if logits.size and (logits.max() > 60 or logits.min() < -60):
+        logits -= logits.max(axis=0)
+    return logits
 
 
 def forward(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probabilities (n * 16, classes) of the next token of each place of the blocks, and its hidden rows."""
     hidden, _ = _attend(w, w["embed"][inputs], real)
-    logits, _, total = _shares(w["out"].T, w["out_add"], hidden)
-    return (logits - np.log(total)).T, hidden
+    logits = _logits(w["out"].T, w["out_add"], hidden)
+    return (logits - np.log(np.exp(logits).sum(axis=0))).T, hidden
 
 
 def group_logs(w: dict[str, np.ndarray], hidden: np.ndarray, group: slice) -> np.ndarray:
     """Log probabilities (n, ids) of the ids of one group, given that it is this group."""
-    logits, _, total = _shares(w["far"][group], w["far_add"][group], hidden)
-    return (logits - np.log(total)).T
+    logits = _logits(w["far"][group], w["far_add"][group], hidden)
+    return (logits - np.log(np.exp(logits).sum(axis=0))).T
 
 
 @dataclass
@@ -213,10 +217,9 @@ class Tokens:
     def spread(self, which: np.ndarray, slopes: np.ndarray, n: int, pieces: tuple | None = None) -> np.ndarray:
         """Sums of the slopes by the rows of their subwords, (n, size)."""
         order, rows = pieces or self.pieces_of(which)
-        parts = slopes.take(order, axis=0) / self.sizes.take(which.take(order))[:, None]
-        places = np.concatenate(rows).astype(np.int64)[:, None] * _SIZE + np.arange(_SIZE)
-        each = np.concatenate([parts[: len(r)] for r in rows])
-        return np.bincount(places.reshape(-1), weights=each.reshape(-1), minlength=n * _SIZE).reshape(n, _SIZE)
+        parts = (slopes.take(order, axis=0) / self.sizes.take(which.take(order))[:, None].astype(slopes.dtype)).T.astype(np.float64)
+        ids, parts = np.concatenate(rows).astype(np.int64), np.concatenate([parts[:, : len(r)] for r in rows], axis=1)
+        return np.stack([np.bincount(ids, weights=p, minlength=n) for p in parts], axis=1)
 
 
 def plain_tokens(tokens: np.ndarray, classes: int = CLASSES) -> Tokens:
@@ -239,8 +242,11 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, tar
     at = np.flatnonzero(targets.reshape(-1) >= 0)
     wanted = targets.reshape(-1)[at]
     own, each = tokens.classes[wanted], np.float32(1 / len(at))
-    logits, d_logits, total = _shares(w["out"].T, w["out_add"], hidden)
-    loss = float(np.log(total[at]).sum()) - float(logits[own, at].sum())
+    d_logits = _logits(w["out"].T, w["out_add"], hidden)
+    loss = -float(d_logits[own, at].sum())
+    np.exp(d_logits, out=d_logits)
+    total = d_logits.sum(axis=0)
+    loss += float(np.log(total[at]).sum())
     share = np.zeros_like(total)
     share[at] = each / total[at]
     d_logits *= share
@@ -330,11 +336,13 @@ def text_scores(w: dict[str, np.ndarray], tokens: np.ndarray, offsets: np.ndarra
     for a in range(0, len(inputs), at_once):
         part = slice(a, a + at_once)
         hidden, _ = _attend(w, table.take(inputs[part], axis=0), real[part])
-        logits, _, total = _shares(w["out"].T, w["out_add"], hidden)
+        logits = _logits(w["out"].T, w["out_add"], hidden)
         at = np.flatnonzero(targets[part].reshape(-1) >= 0)
         wanted = targets[part].reshape(-1)[at]
         own, far = kinds.classes.take(wanted), kinds.far.take(wanted)
-        found = logits[own, at].astype(np.float64) - np.log(total[at])
+        found = logits[own, at].astype(np.float64)
+        np.exp(logits, out=logits)
+        found -= np.log(logits.sum(axis=0)[at])
         in_text = text[part][at // BLOCK]
         sums += np.bincount(in_text, weights=found, minlength=len(sums))
         some = far >= 0
@@ -391,10 +399,10 @@ def _rows(held: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return held["row_of"].take(ids), sizes
 
 
-def _numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def _numbered(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """The distinct words, and the number among them of each."""
-    kinds = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    return list(kinds), np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+    found = words.dictionary_encode()
+    return found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy().astype(np.int64)
 
 
 def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> DataFrame:
@@ -402,19 +410,16 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> Dat
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return made
-
+        seen = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            for words in _words_of_all(batch.column(0)):
-                seen.update(words)
-            if len(seen) >= most:
-                yield flush()
-        yield flush()
+            words, n = pc.value_counts(_split(batch.column(0))[0]).flatten()
+            seen = pa.concat_tables([seen, pa.table({"word": words, "n": n})])
+            if len(seen) >= 2 * most:
+                seen = seen.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                if len(seen) >= most:
+                    yield from seen.to_batches()
+                    seen = seen.slice(0, 0)
+        yield from seen.to_batches()
 
     partial = docs.select(whole_text(text).alias("text")).mapInArrow(count, "word string, n bigint")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -508,15 +513,14 @@ def _token_batches(docs: DataFrame, fitted: Fitted, text: str, key: str) -> Data
     held = docs.sparkSession.sparkContext.broadcast(fitted.held())
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = _words_of_all(batch.column("text"))
-        kinds, number = _numbered(list(chain.from_iterable(words)))
+        words, length = _split(batch.column("text"))
+        kinds, number = _numbered(words)
         rows, sizes = _rows(held.value, kinds)
         # The end comes after all kinds; its one subword is row 0.
         rows, sizes = np.append(rows, rows.dtype.type(END)), np.append(sizes, 1)
-        length = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.append(0, np.cumsum(length + 1))
         tokens = np.full(int(offsets[-1]), len(kinds))
-        tokens[np.arange(len(number)) + np.repeat(np.arange(len(words)), length)] = number
+        tokens[np.arange(len(number)) + np.repeat(np.arange(len(length)), length)] = number
         many = sizes.take(tokens)
         ends = np.cumsum(many)
         pieces = rows.take(np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes).take(tokens) - (ends - many), many))
@@ -633,16 +637,18 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
         own = held.value
         if "table" not in own:
             ready(own)
-        words = _words_of_all(batch.column("_whole_text"))
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        flat_words = list(chain.from_iterable(words))
-        found = np.fromiter(map(own["ids"].get, flat_words, repeat(-1)), np.int64, len(flat_words))
-        text_of = np.repeat(np.arange(len(words)), length)
-        common, unknown = found >= 0, np.flatnonzero(found < 0)
-        others, number = _numbered([flat_words[i] for i in unknown.tolist()])
+        words, length = _split(batch.column("_whole_text"))
+        kinds, number = _numbered(words)
+        texts = len(length)
+        text_of = np.repeat(np.arange(texts), length)
+        at = np.fromiter(map(own["ids"].get, kinds, repeat(-1)), np.int64, len(kinds))
+        new = np.flatnonzero(at < 0)
+        others = [kinds[k] for k in new.tolist()]
         table, first = embedded(own, others)
         known = len(own["words"])
-        found[unknown] = known + number
+        at[new] = known + np.arange(len(new))
+        found = at.take(number)
+        common, unknown = found < known, np.flatnonzero(found >= known)
         weights = own["weights"]["embed"]
         rows = np.concatenate([own["first"], first, np.array([END, len(weights) - 1], first.dtype)])
         kinds = Tokens(own["kinds"].take(rows), own["far"].take(rows), rows, np.ones(len(rows), np.int64), own["groups"])
@@ -651,13 +657,13 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
         tokens = np.full(int(offsets[-1]), len(table) - 2)
         tokens[np.arange(len(found)) + text_of] = found
         met, where = found[common], text_of[common]
-        base_sum = np.bincount(where, weights=own["base"].take(met), minlength=len(words)) + end_base
-        score = np.bincount(where, weights=own["within"].take(met), minlength=len(words))
+        base_sum = np.bincount(where, weights=own["base"].take(met), minlength=texts) + end_base
+        score = np.bincount(where, weights=own["within"].take(met), minlength=texts)
         score = score + text_scores(own["weights"], tokens, offsets, own["classes"], table=table, kinds=kinds)
-        n_known = np.bincount(where, minlength=len(words)) + (own["ends"] > 0)
+        n_known = np.bincount(where, minlength=texts) + (own["ends"] > 0)
         # Words that aren't known by heart: once for each text, with their number.
-        pairs, times = np.unique(text_of[unknown] * max(len(others), 1) + number, return_counts=True)
-        which, cuts = pairs % max(len(others), 1), np.searchsorted(pairs // max(len(others), 1), np.arange(len(words) + 1))
+        pairs, times = np.unique(text_of[unknown] * max(len(others), 1) + found[unknown] - known, return_counts=True)
+        which, cuts = pairs % max(len(others), 1), np.searchsorted(pairs // max(len(others), 1), np.arange(texts + 1))
         named = pa.array([w.decode() for w in others], pa.string()).take(pa.array(which))
         parts = pa.StructArray.from_arrays([named, pa.array(own["sizes"].take(first.take(which))), pa.array(times, pa.int32())], names=["word", "size", "times"])
         columns = [batch.column(f.name) for f in fields]
