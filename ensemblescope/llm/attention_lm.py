@@ -44,6 +44,8 @@ ROUNDS = 3
 TASK_TOKENS = 500_000
 #: Training takes so many steps of 64 blocks at least, over a small text by reading it again.
 LEAST_STEPS = 900
+#: A word of more subwords is held as its distinct ones with their times.
+LONG = 32
 #: Weights that travel as one row to be averaged.
 TOGETHER = 64
 _SIZE, _HIDDEN = 16, 32
@@ -194,21 +196,29 @@ class Tokens:
 
     def __post_init__(self):
         self.starts = np.cumsum(self.sizes) - self.sizes
+        # Of a long word each distinct row counts once, with its times.
+        self.long = {k: np.unique(self.pieces[self.starts[k] : self.starts[k] + self.sizes[k]], return_counts=True) for k in np.flatnonzero(self.sizes > LONG).tolist()}
 
-    def pieces_of(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The numbers in order of falling size, and the rows of all first subwords, all second ones and so on."""
+    def pieces_of(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[tuple]]:
+        """The numbers in order of falling size, long words last; the rows of all first subwords, all second ones and so on; the long words' rows and times."""
         sizes = self.sizes.take(which)
-        order = np.argsort(np.minimum(255 - sizes, 255).astype(np.uint8) if sizes.max() < 256 else -sizes, kind="stable")
+        if self.long:
+            sizes[sizes > LONG] = 0
+        order = np.argsort((LONG - sizes).astype(np.uint8), kind="stable")
         many = len(which) - np.cumsum(np.bincount(sizes))[:-1]
-        starts = self.starts.take(which.take(order))
-        return order, [self.pieces.take(starts[:m] + j) for j, m in enumerate(many.tolist())]
+        ordered = which.take(order)
+        starts = self.starts.take(ordered)
+        last = ordered[many[0] if len(many) else 0 :].tolist() if self.long else []
+        return order, [self.pieces.take(starts[:m] + j) for j, m in enumerate(many.tolist())], [self.long[k] for k in last]
 
     def embed(self, table: np.ndarray, which: np.ndarray, pieces: tuple | None = None) -> np.ndarray:
         """Mean of the subwords' embeddings of each of the tokens; ``pieces`` is what ``pieces_of`` says of them."""
-        order, rows = pieces or self.pieces_of(which)
-        found = table.take(rows[0], axis=0)
-        for r in rows[1:]:
+        order, rows, long = pieces or self.pieces_of(which)
+        found = np.zeros((len(which), table.shape[1]), table.dtype)
+        for r in rows:
             found[: len(r)] += table.take(r, axis=0)
+        for k, (r, times) in enumerate(long, len(which) - len(long)):
+            found[k] = times.astype(table.dtype) @ table.take(r, axis=0)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         found /= self.sizes.take(which.take(order))[:, None].astype(found.dtype)
@@ -216,10 +226,14 @@ class Tokens:
 
     def spread(self, which: np.ndarray, slopes: np.ndarray, n: int, pieces: tuple | None = None) -> np.ndarray:
         """Sums of the slopes by the rows of their subwords, (n, size)."""
-        order, rows = pieces or self.pieces_of(which)
+        order, rows, long = pieces or self.pieces_of(which)
         parts = (slopes.take(order, axis=0) / self.sizes.take(which.take(order))[:, None].astype(slopes.dtype)).T.astype(np.float64)
-        ids, parts = np.concatenate(rows).astype(np.int64), np.concatenate([parts[:, : len(r)] for r in rows], axis=1)
-        return np.stack([np.bincount(ids, weights=p, minlength=n) for p in parts], axis=1)
+        ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        each = np.concatenate([parts[:, : len(r)] for r in rows], axis=1) if rows else parts[:, :0]
+        found = np.stack([np.bincount(ids, weights=p, minlength=n) for p in each], axis=1).astype(np.float64)
+        for k, (r, times) in enumerate(long, len(which) - len(long)):
+            found[r] += times[:, None] * parts[:, k]
+        return found
 
 
 def plain_tokens(tokens: np.ndarray, classes: int = CLASSES) -> Tokens:

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -251,3 +252,25 @@ def test_ids_beyond_the_classes_are_dealt_whole():
         assert single + sum(g.stop - g.start for g in groups) == n
         assert [g.start for g in groups] == [0, *(g.stop for g in groups)][: len(groups)]
         assert all(1 <= g.stop - g.start <= max(group, -(-n // classes)) for g in groups)
+
+
+def test_long_words_are_read_whole_and_fast(spark):
+    random = np.random.default_rng(6)
+    sizes = np.array([1, 3, lm.LONG, lm.LONG + 1, 400, 2, 1])
+    rows = random.integers(0, 50, sizes.sum())
+    tokens = lm.Tokens(sizes, sizes, rows, sizes, {})
+    table, which = random.standard_normal((50, 16)), np.array([4, 0, 3, 2, 4, 1, 5, 6, 0])
+    parts = np.split(rows, np.cumsum(sizes)[:-1])
+    assert np.allclose(tokens.embed(table, which), [table[parts[k]].mean(axis=0) for k in which])
+    slopes, wanted = random.standard_normal((len(which), 16)), np.zeros((50, 16))
+    for k, slope in zip(which, slopes, strict=True):
+        np.add.at(wanted, parts[k], slope / sizes[k])
+    assert np.allclose(tokens.spread(which, slopes, 50), wanted)
+    only = np.array([4, 3])
+    assert np.allclose(tokens.embed(table, only), [table[parts[k]].mean(axis=0) for k in only]) and tokens.spread(only, slopes[:2], 50).shape == (50, 16)
+    # A small table with a word of a million letters is read hundreds of times.
+    docs = spark.createDataFrame([(1, "a" * 1_000_000), (2, "some words and " + "eyJhbGciOiJ" * 20_000), (3, "and some other words " * 750)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = lm.score_texts(docs, lm.fit_model(docs, lm.fit_counts(docs, RANKS, PATTERN))).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got) == [(1, 2, 2), (2, 5, 5), (3, 3001, 3001)] and all(math.isfinite(r.score) for r in got)
+    assert time.monotonic() - began < 60
