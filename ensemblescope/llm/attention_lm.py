@@ -18,9 +18,9 @@ Texts are cut into blocks of 16 tokens. The window of a block is the block and t
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,10 @@ LEAST_STEPS = 900
 LONG = 32
 #: Weights that travel as one row to be averaged.
 TOGETHER = 64
+#: Blocks in a row that are shuffled together; what they share is worked out once.
+RUN = 4
+#: Weights that a training step changes at once.
+AT_ONCE = 1 << 16
 _SIZE, _HIDDEN = 16, 32
 END, NEW = 0, 1
 
@@ -84,7 +88,7 @@ def shapes(classes: int = CLASSES, rows: int | None = None, far: int = 0) -> dic
 def unpack(flat: np.ndarray, classes: int = CLASSES, rows: int | None = None, far: int = 0) -> dict[str, np.ndarray]:
     parts, at = {}, 0
     for name, shape in shapes(classes, rows, far).items():
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         parts[name] = flat[at : at + n].reshape(shape)
         at += n
     return parts
@@ -94,7 +98,7 @@ def initial(counts: np.ndarray, classes: int = CLASSES, seed: int = 7, rows: int
     """Small random weights; the output begins at the shares of the classes, and of the ids in their groups."""
     far_add = np.zeros(0) if far_add is None else far_add
     random = np.random.default_rng(seed)
-    n = sum(int(np.prod(s)) for s in shapes(classes, rows, len(far_add)).values())
+    n = sum(math.prod(s) for s in shapes(classes, rows, len(far_add)).values())
     flat = (random.standard_normal(n) * 0.2).astype(np.float32)
     parts = unpack(flat, classes, rows, len(far_add))
     parts["near"][:] = 0
@@ -134,35 +138,73 @@ _SCALE = np.float32(1 / np.sqrt(_SIZE))
 _NEVER = np.float32(-1e9)
 
 
+def _windows(run: np.ndarray) -> np.ndarray:
+    """The overlapping windows (n, blocks, 32, width) of runs of blocks (n, (1 + blocks) * 16, width), as a view."""
+    by_run, by_row, by_column = run.strides
+    shape = (len(run), run.shape[1] // BLOCK - 1, WINDOW, run.shape[2])
+    return np.ndarray(shape, run.dtype, run, 0, (by_run, BLOCK * by_row, by_row, by_column))
+
+
+def _joint(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Query and key weights in one; the mixing weights behind those of the values, with what is added to them.
+
+    What is linear can be done to the few weights as well as to each row of a window. The
+    last column makes the hidden rows' last number 1, since tanh(20) is.
+    """
+    mix = np.zeros((2 * _SIZE + 1, _HIDDEN + 1), w["mix"].dtype)
+    mix[:_SIZE, :_HIDDEN] = w["mix"][:_SIZE]
+    mix[_SIZE:-1, :_HIDDEN] = w["value"] @ w["mix"][_SIZE:]
+    mix[-1, :_HIDDEN] = w["mix_add"]
+    mix[-1, _HIDDEN] = 20
+    return (w["query"] * _SCALE) @ w["key"].T, mix
+
+
 def _attend(w: dict[str, np.ndarray], window: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden rows (n * 16, hidden) of the blocks' places, from their embedded windows (n, 32, size)."""
-    n = len(window)
-    query = (window[:, BLOCK:].reshape(-1, _SIZE) @ (w["query"] * _SCALE)).reshape(n, BLOCK, _SIZE)
-    both = (window.reshape(-1, _SIZE) @ np.concatenate([w["key"], w["value"]], axis=1)).reshape(n, WINDOW, 2 * _SIZE)
-    key, value = both[..., :_SIZE], both[..., _SIZE:]
-    scores = query @ key.transpose(0, 2, 1)
+    """Hidden rows (n * 16, hidden) of the places of all blocks, and what was made on the way."""
+    hidden, made = _attend_joint(w, _joint(w), window, real)
+    return hidden[:, :_HIDDEN], made
+
+
+def _attend_joint(w: dict[str, np.ndarray], joint: tuple[np.ndarray, np.ndarray], window: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden rows (n * 16, hidden + 1), the last number 1, of the places of all blocks.
+
+    ``window`` holds embedded runs of blocks with the block before, (runs, (1 + blocks) * 16, size);
+    a run of one block is its window. What a block sees before itself is ``real`` as a whole or not at all.
+    """
+    runs, blocks = len(window), window.shape[1] // BLOCK - 1
+    ask, mix = joint
+    own = window[:, BLOCK:].reshape(-1, _SIZE)
+    windows = _windows(window)
+    query = (own @ ask).reshape(runs, blocks, BLOCK, _SIZE)
+    scores = query @ windows.swapaxes(2, 3)
     # Neither what comes later nor what lies before the text is seen.
     scores += np.where(_AHEAD, _NEVER, w["near"].take(_FAR))
-    scores += np.where(real, np.float32(0), _NEVER)[:, None, :]
+    scores.reshape(-1, BLOCK, WINDOW)[~real[:, BLOCK - 1], :, :BLOCK] = _NEVER
     # One maximum for a block is faster, and does unless a place lies far below it.
-    most = scores.reshape(n, -1).max(axis=1)[:, None, None]
-    weight = np.exp(scores - most)
-    total = (weight.reshape(-1, WINDOW) @ np.ones(WINDOW, weight.dtype)).reshape(n, BLOCK, 1)
-    if n and total.min() < 1e-15:
-        weight = np.exp(scores - scores.max(axis=2, keepdims=True))
-        total = weight.sum(axis=2, keepdims=True)
+    scores -= scores.reshape(runs, blocks, -1).max(axis=2)[..., None, None]
+    weight = np.exp(scores)
+    total = (weight.reshape(-1, WINDOW) @ np.ones(WINDOW, weight.dtype)).reshape(runs, blocks, BLOCK, 1)
+    if runs and total.min() < 1e-15:
+        weight = np.exp(scores - scores.max(axis=3, keepdims=True))
+        total = weight.sum(axis=3, keepdims=True)
     weight /= total
-    seen = np.concatenate([window[:, BLOCK:], weight @ value], axis=2).reshape(-1, 2 * _SIZE)
-    hidden = seen @ w["mix"]
-    hidden += w["mix_add"]
+    seen = np.empty((len(own), 2 * _SIZE + 1), own.dtype)
+    seen[:, :_SIZE] = own
+    seen[:, -1] = 1
+    np.matmul(weight, windows, out=seen.reshape(runs, blocks, BLOCK, -1)[..., _SIZE:-1])
+    hidden = seen @ mix
     np.tanh(hidden, out=hidden)
-    return hidden, (query, key, value, weight, seen)
+    return hidden, (query, windows, weight, seen)
 
 
 def _logits(out: np.ndarray, add: np.ndarray, hidden: np.ndarray) -> np.ndarray:
     """Logits (classes, n), whose exponentials can be summed."""
     logits = out @ hidden.T
     logits += add[:, None]
+    return _bounded(logits)
+
+
+def _bounded(logits: np.ndarray) -> np.ndarray:
     if logits.size and (logits.max() > 60 or logits.min() < -60):
         logits -= logits.max(axis=0)
     return logits
@@ -227,12 +269,19 @@ class Tokens:
     def spread(self, which: np.ndarray, slopes: np.ndarray, n: int, pieces: tuple | None = None) -> np.ndarray:
         """Sums of the slopes by the rows of their subwords, (n, size)."""
         order, rows, long = pieces or self.pieces_of(which)
-        parts = (slopes.take(order, axis=0) / self.sizes.take(which.take(order))[:, None].astype(slopes.dtype)).T.astype(np.float64)
-        ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-        each = np.concatenate([parts[:, : len(r)] for r in rows], axis=1) if rows else parts[:, :0]
-        found = np.stack([np.bincount(ids, weights=p, minlength=n) for p in each], axis=1).astype(np.float64)
+        parts = slopes.take(order, axis=0)
+        parts /= self.sizes.take(which.take(order))[:, None].astype(slopes.dtype)
+        found = np.zeros((n, slopes.shape[1]), slopes.dtype)
+        if rows:
+            ids = np.concatenate(rows)
+            by_id = np.argsort(ids, kind="stable")  # by radix, as long as rows are 16-bit numbers
+            ids = ids.take(by_id)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            each = np.arange(len(rows[0]))
+            place = np.concatenate([each[: len(r)] for r in rows]).take(by_id)
+            found[ids.take(first)] = np.add.reduceat(parts.take(place, axis=0), first, axis=0)
         for k, (r, times) in enumerate(long, len(which) - len(long)):
-            found[r] += times[:, None] * parts[:, k]
+            found[r] += times[:, None].astype(parts.dtype) * parts[k]
         return found
 
 
@@ -245,93 +294,137 @@ def plain_tokens(tokens: np.ndarray, classes: int = CLASSES) -> Tokens:
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray, classes: int = CLASSES, tokens: Tokens | None = None) -> tuple[float, np.ndarray]:
     """Mean loss of the targets in nats, and its gradient by all weights.
 
-    Inputs and targets are numbers of ``tokens``, classes if there are none.
+    Inputs and targets are numbers of ``tokens``, classes if there are none; both may
+    be those of runs of blocks, as in ``_attend``.
     """
     tokens = tokens or plain_tokens(np.arange(classes), classes)
     flat = np.zeros(sum(p.size for p in w.values()), np.float32)
     g = unpack(flat, classes, len(w["embed"]), len(w["far"]))
-    pieces = tokens.pieces_of(inputs.reshape(-1))
-    window = tokens.embed(w["embed"], inputs.reshape(-1), pieces).reshape(*inputs.shape, _SIZE)
-    hidden, (query, key, value, attention, seen) = _attend(w, window, real)
-    at = np.flatnonzero(targets.reshape(-1) >= 0)
-    wanted = targets.reshape(-1)[at]
-    own, each = tokens.classes[wanted], np.float32(1 / len(at))
-    d_logits = _logits(w["out"].T, w["out_add"], hidden)
+    which = inputs.reshape(-1)
+    pieces = tokens.pieces_of(which)
+    window = tokens.embed(w["embed"], which, pieces).reshape(*inputs.shape, _SIZE)
+    joint = _joint(w)
+    hidden, (query, windows, attention, seen) = _attend_joint(w, joint, window, real)
+    targets = targets.reshape(-1)
+    at = np.flatnonzero(targets >= 0)
+    wanted = targets.take(at)
+    own, each = tokens.classes.take(wanted), np.float32(1 / len(at))
+    # The slope of a logit is its share of the total, less one for the wanted; the totals divide the rows, which are fewer.
+    out = np.concatenate([w["out"].T, w["out_add"][:, None]], axis=1)
+    d_logits = _bounded(out @ hidden.T)
     loss = -float(d_logits[own, at].sum())
     np.exp(d_logits, out=d_logits)
-    total = d_logits.sum(axis=0)
-    loss += float(np.log(total[at]).sum())
+    total = np.ones(classes, d_logits.dtype) @ d_logits
+    loss += float(np.log(total.take(at)).sum())
+    d_logits[own, at] -= total.take(at)
     share = np.zeros_like(total)
-    share[at] = each / total[at]
-    d_logits *= share
-    d_logits[own, at] -= each
-    g["out"] += (d_logits @ hidden).T
-    g["out_add"] += d_logits.sum(axis=1)
-    d_hidden = d_logits.T @ w["out"].T
-    far = tokens.far[wanted]
-    for k in np.unique(own[far >= 0]).tolist():
-        group, of_group = tokens.groups[k], np.flatnonzero(own == k)
-        rows, place = at[of_group], far[of_group] - group.start
-        d = group_logs(w, hidden[rows], group)
-        loss -= float(d[np.arange(len(rows)), place].sum())
-        d = np.exp(d)
-        d[np.arange(len(rows)), place] -= 1
-        d *= each
-        g["far"][group] += d.T @ hidden[rows]
-        g["far_add"][group] += d.sum(axis=0)
-        d_hidden[rows] += d @ w["far"][group]
+    share[at] = each / total.take(at)
+    by_out = d_logits @ (hidden * share[:, None])
+    g["out"][:], g["out_add"][:] = by_out[:, :_HIDDEN].T, by_out[:, _HIDDEN]
+    d_hidden = d_logits.T @ out
+    d_hidden *= share[:, None]
+    far = tokens.far.take(wanted)
+    in_groups = np.flatnonzero(far >= 0)
+    own_group = own.take(in_groups)
+    for k in np.unique(own_group).tolist():
+        group, of_group = tokens.groups[k], in_groups[own_group == k]
+        rows, place, column = at.take(of_group), far.take(of_group) - group.start, np.arange(len(of_group))
+        of_rows = hidden.take(rows, axis=0)
+        d = _logits(w["far"][group], w["far_add"][group], of_rows[:, :_HIDDEN])
+        loss -= float(d[place, column].sum())
+        np.exp(d, out=d)
+        total = np.ones(len(d), d.dtype) @ d
+        loss += float(np.log(total).sum())
+        d[place, column] -= total
+        share = each / total
+        by_far = d @ (of_rows * share[:, None])
+        g["far"][group], g["far_add"][group] = by_far[:, :_HIDDEN], by_far[:, _HIDDEN]
+        d_hidden[rows, :_HIDDEN] += (d.T @ w["far"][group]) * share[:, None]
     d_hidden *= 1 - hidden * hidden
-    g["mix"] += seen.T @ d_hidden
-    g["mix_add"] += d_hidden.sum(axis=0)
-    d_seen = (d_hidden @ w["mix"].T).reshape(len(window), BLOCK, 2 * _SIZE)
-    d_read = d_seen[..., _SIZE:]
-    d_scores = d_read @ value.transpose(0, 2, 1)
+    ask, mix = joint
+    by_seen = (seen.T @ d_hidden)[:, :_HIDDEN]
+    by_value = by_seen[_SIZE : 2 * _SIZE]
+    g["mix"][:_SIZE] = by_seen[:_SIZE]
+    g["mix"][_SIZE:] = w["value"].T @ by_value
+    g["value"][:] = by_value @ w["mix"][_SIZE:].T
+    g["mix_add"][:] = by_seen[-1]
+    runs, blocks = query.shape[:2]
+    d_seen = (d_hidden @ mix[:-1].T).reshape(runs, blocks, BLOCK, 2 * _SIZE)
+    # What the rows of a window get through the scores and through the values, in one product.
+    by_row, of_row = np.empty((runs, blocks, 2 * BLOCK, WINDOW), attention.dtype), np.empty((runs, blocks, 2 * BLOCK, _SIZE), attention.dtype)
+    of_row[:, :, :BLOCK], of_row[:, :, BLOCK:] = query, d_seen[..., _SIZE:]
+    by_row[:, :, BLOCK:] = attention
+    d_scores = of_row[:, :, BLOCK:] @ windows.swapaxes(2, 3)
     d_scores *= attention
-    d_scores -= attention * (d_scores.reshape(-1, WINDOW) @ np.ones(WINDOW, d_scores.dtype)).reshape(len(window), BLOCK, 1)
-    g["near"] += np.bincount(_FAR.reshape(-1), weights=d_scores.sum(axis=0).reshape(-1), minlength=WINDOW)
-    d_query = d_scores @ key
-    d_both = np.concatenate([d_scores.transpose(0, 2, 1) @ query, attention.transpose(0, 2, 1) @ d_read], axis=2).reshape(-1, 2 * _SIZE)
-    by_both = window.reshape(-1, _SIZE).T @ d_both
-    g["query"] += window[:, BLOCK:].reshape(-1, _SIZE).T @ d_query.reshape(-1, _SIZE) * _SCALE
-    g["key"] += by_both[:, :_SIZE]
-    g["value"] += by_both[:, _SIZE:]
-    d_window = (d_both @ np.concatenate([w["key"], w["value"]], axis=1).T).reshape(window.shape)
-    d_window[:, BLOCK:] += d_seen[..., :_SIZE]
-    d_window[:, BLOCK:] += d_query @ (w["query"] * _SCALE).T
-    g["embed"] += tokens.spread(inputs.reshape(-1), d_window.reshape(-1, _SIZE), len(w["embed"]), pieces)
+    d_scores -= attention * (d_scores.reshape(-1, WINDOW) @ np.ones(WINDOW, d_scores.dtype)).reshape(runs, blocks, BLOCK, 1)
+    by_row[:, :, :BLOCK] = d_scores
+    by_place = np.ones(runs * blocks, d_scores.dtype) @ d_scores.reshape(-1, BLOCK * WINDOW)
+    g["near"][:] = np.bincount(_FAR.reshape(-1), weights=by_place, minlength=WINDOW)
+    d_query = (d_scores @ windows).reshape(-1, _SIZE)
+    d_windows = by_row.swapaxes(2, 3) @ of_row
+    by_ask = seen[:, :_SIZE].T @ d_query * _SCALE
+    g["query"][:] = by_ask @ w["key"]
+    g["key"][:] = by_ask.T @ w["query"]
+    # A block is its own and, in a run, seen by the next one.
+    d_own = d_query @ ask.T
+    d_own += d_seen.reshape(-1, 2 * _SIZE)[:, :_SIZE]
+    d_window = np.zeros((runs, blocks + 1, BLOCK, _SIZE), d_scores.dtype)
+    d_window[:, 1:] = d_own.reshape(runs, blocks, BLOCK, _SIZE)
+    d_window[:, 1:] += d_windows[:, :, BLOCK:]
+    d_window[:, :-1] += d_windows[:, :, :BLOCK]
+    g["embed"][:] = tokens.spread(which, d_window.reshape(-1, _SIZE), len(w["embed"]), pieces)
     return loss * float(each), flat
 
 
-def train(flat: np.ndarray, tokens: np.ndarray | Tokens, offsets: np.ndarray, seed: int, steps: int = 300, size: int = 64, rate: float = 0.01, classes: int = CLASSES, rows: int | None = None) -> np.ndarray:
-    """Weights after at least ``steps`` steps over shuffled blocks."""
+def runs_of(inputs: np.ndarray, real: np.ndarray, targets: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``together`` blocks in a row, whatever their texts: inputs with those of the block before, real and targets by run.
+
+    The last run is filled up with blocks that have no target.
+    """
+    number = -(-len(inputs) // together)
+    more = number * together - len(inputs)
+    own = np.concatenate([inputs[:1, :BLOCK], inputs[:, BLOCK:], np.repeat(inputs[:1, :BLOCK], more, axis=0)])
+    of_run = own[np.arange(number)[:, None] * together + np.arange(together + 1)].reshape(number, -1)
+    real = np.concatenate([real, np.zeros((more, WINDOW), bool)]).reshape(number, together, WINDOW)
+    targets = np.concatenate([targets, np.full((more, BLOCK), -1)]).reshape(number, -1)
+    return of_run, real, targets
+
+
+def train(flat: np.ndarray, tokens: np.ndarray | Tokens, offsets: np.ndarray, seed: int, steps: int = 300, size: int = 64, rate: float = 0.01, classes: int = CLASSES, rows: int | None = None, together: int = RUN) -> np.ndarray:
+    """Weights after at least ``steps`` steps over shuffled runs of blocks."""
     tokens = tokens if isinstance(tokens, Tokens) else plain_tokens(tokens, classes)
     inputs, real, targets, _ = blocks_of(np.arange(len(tokens.classes) - 1), offsets, len(tokens.classes) - 1)
     if not len(inputs):
         return flat
+    total = max(steps, -(-len(inputs) // size))
+    inputs, real, targets = runs_of(inputs, real, targets, together)
+    size = size // together
     flat = flat.copy()
     random = np.random.default_rng(seed)
+    # Moments by 1 / 0.1 and 1 / 0.01 too large, which the pace makes up for.
     mean, square, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    total = max(steps, -(-len(inputs) // size))
     w = unpack(flat, classes, rows, sum(g.stop - g.start for g in tokens.groups.values()))
     while step < total:
         order = random.permutation(len(inputs))
         for at in range(0, len(order), size):
             chosen = order[at : at + size]
-            _, g = gradient(w, inputs[chosen], real[chosen], targets[chosen], classes, tokens)
+            _, g = gradient(w, inputs[chosen], real[chosen].reshape(-1, WINDOW), targets[chosen], classes, tokens)
             step += 1
-            mean *= np.float32(0.9)
-            mean += np.float32(0.1) * g
-            square *= np.float32(0.99)
-            g *= g
-            g *= np.float32(0.01)
-            square += g
-            pace = rate * (1 - 0.9 * step / total)
-            np.sqrt(square, out=g)
-            g *= np.float32(1 / np.sqrt(1 - 0.99**step))
-            g += np.float32(1e-8)
-            np.divide(mean, g, out=g)
-            g *= np.float32(pace / (1 - 0.9**step))
-            flat -= g
+            scale = np.sqrt((1 - 0.99**step) / 0.01)
+            pace = np.float32(rate * (1 - 0.9 * step / total) * scale * 0.1 / (1 - 0.9**step))
+            least = np.float32(1e-8 * scale)
+            for a in range(0, len(flat), AT_ONCE):  # so many stay in a core's cache
+                x, m, q = g[a : a + AT_ONCE], mean[a : a + AT_ONCE], square[a : a + AT_ONCE]
+                m *= np.float32(0.9)
+                m += x
+                q *= np.float32(0.99)
+                x *= x
+                q += x
+                np.sqrt(q, out=x)
+                x += least
+                np.divide(m, x, out=x)
+                x *= pace
+                flat[a : a + AT_ONCE] -= x
             if step >= total:
                 break
     return flat
@@ -347,22 +440,25 @@ def text_scores(w: dict[str, np.ndarray], tokens: np.ndarray, offsets: np.ndarra
     inputs, real, targets, text = blocks_of(tokens, offsets, len(table) - 1)
     sums = np.zeros(len(offsets) - 1)
     waiting: dict[int, list] = {}
+    # All blocks are one run; the block before the first is not seen.
+    run = np.concatenate([inputs[:1, :BLOCK], inputs[:, BLOCK:]])
+    joint, out = _joint(w), np.concatenate([w["out"].T, w["out_add"][:, None]], axis=1)
     for a in range(0, len(inputs), at_once):
         part = slice(a, a + at_once)
-        hidden, _ = _attend(w, table.take(inputs[part], axis=0), real[part])
-        logits = _logits(w["out"].T, w["out_add"], hidden)
+        hidden, _ = _attend_joint(w, joint, table.take(run[a : a + at_once + 1].reshape(1, -1), axis=0), real[part])
+        logits = _bounded(out @ hidden.T)
         at = np.flatnonzero(targets[part].reshape(-1) >= 0)
         wanted = targets[part].reshape(-1)[at]
         own, far = kinds.classes.take(wanted), kinds.far.take(wanted)
         found = logits[own, at].astype(np.float64)
         np.exp(logits, out=logits)
-        found -= np.log(logits.sum(axis=0)[at])
+        found -= np.log((np.ones(len(logits), logits.dtype) @ logits).take(at))
         in_text = text[part][at // BLOCK]
         sums += np.bincount(in_text, weights=found, minlength=len(sums))
         some = far >= 0
         for k in np.unique(own[some]).tolist():
             rows = np.flatnonzero(own == k)
-            waiting.setdefault(k, []).append((hidden[at[rows]], far[rows] - kinds.groups[k].start, in_text[rows]))
+            waiting.setdefault(k, []).append((hidden[at[rows], :_HIDDEN], far[rows] - kinds.groups[k].start, in_text[rows]))
     for k, parts in waiting.items():
         for a in range(0, len(parts), 64):
             own, place, in_text = (np.concatenate(x) for x in zip(*parts[a : a + 64], strict=True))
@@ -413,10 +509,13 @@ def _rows(held: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return held["row_of"].take(ids), sizes
 
 
-def _numbered(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words, and the number among them of each."""
-    found = words.dictionary_encode()
-    return found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy().astype(np.int64)
+def _numbered(words: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word, those of ``known`` first, and the distinct other words, whose numbers follow."""
+    number = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero(number < 0)
+    others = words.take(pa.array(new)).dictionary_encode()
+    number[new] = len(known) + others.indices.to_numpy()
+    return number, others.dictionary
 
 
 def count_words(docs: DataFrame, text: str = "text", most: int = 200_000) -> DataFrame:
@@ -447,7 +546,7 @@ class Fitted:
     aren't in the training text, each other row one id that is; the last is a text's beginning.
     """
 
-    words: DataFrame  # word, n
+    words: DataFrame  # word, n, subwords
     n: int
     v: int
     ends: int
@@ -460,6 +559,7 @@ class Fitted:
     far_add: np.ndarray
     flat: np.ndarray | None
     sent: dict
+    heart: dict = field(default_factory=dict)  # by how many
 
     def base_log(self, c: np.ndarray | Column):
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -467,6 +567,16 @@ class Fitted:
     def held(self) -> dict:
         return self.sent | {"row_of": self.row_of, "kinds": self.kinds, "far": self.far, "sizes": self.sizes, "groups": self.groups, "flat": self.flat, "ends": self.ends, "classes": len(self.class_words)}
 
+    def by_heart(self, most: int) -> tuple[float, dict]:
+        """The most frequent words, at most so many: the count that all of them exceed; words, counts, rows of subwords and how many each has."""
+        if most not in self.heart:
+            least = kth_largest(self.words, "n", most)
+            found = self.words.where(F.col("n") > F.lit(least)).toArrow().combine_chunks()
+            word, n, subwords = (found.column(c).combine_chunks() if len(found) else pa.array([], t) for c, t in (("word", pa.string()), ("n", pa.int64()), ("subwords", pa.list_(pa.int32()))))
+            rows = self.row_of.take(subwords.flatten().to_numpy())
+            self.heart[most] = least, {"words": word.cast(pa.string()), "n": n.to_numpy().astype(float), "rows": rows, "many": subwords.value_lengths().to_numpy().astype(np.int64)}
+        return self.heart[most]
+
 
 def fit_counts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", classes: int = CLASSES, group: int = GROUP) -> Fitted:
     """Word counts over all training rows, and a place for every subword id.
@@ -508,7 +618,7 @@ def fit_counts(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text
     far_add = np.concatenate([np.zeros(0), *(np.log((tail[g] + 0.5) / (tail[g] + 0.5).sum()) for g in groups)])
     n, v = int(n_of.sum()) + ends, sum(r.v for r in found) + min(ends, 1)
     by_class = {2 + single + k: g for k, g in enumerate(groups)}
-    return Fitted(words.select("word", "n"), n, v, ends, row_of, kinds, far, sizes, by_class, class_words, far_add, None, sent)
+    return Fitted(words, n, v, ends, row_of, kinds, far, sizes, by_class, class_words, far_add, None, sent)
 
 
 def _dealt(n: int, classes: int, group: int) -> tuple[int, list[slice]]:
@@ -524,16 +634,17 @@ def _dealt(n: int, classes: int, group: int) -> tuple[int, list[slice]]:
 
 def _token_batches(docs: DataFrame, fitted: Fitted, text: str, key: str) -> DataFrame:
     """Every row's words and its end, each as its number of subwords (``tokens``) and the rows of these, and a number by which rows are dealt: copies of a text have different ones."""
-    held = docs.sparkSession.sparkContext.broadcast(fitted.held())
+    held = docs.sparkSession.sparkContext.broadcast(fitted.held() | fitted.by_heart(KNOWN_WORDS)[1])
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = held.value
         words, length = _split(batch.column("text"))
-        kinds, number = _numbered(words)
-        rows, sizes = _rows(held.value, kinds)
+        number, others = _numbered(words, own["words"])
+        rows, sizes = _rows(own, others.cast(pa.binary()).to_pylist())
         # The end comes after all kinds; its one subword is row 0.
-        rows, sizes = np.append(rows, rows.dtype.type(END)), np.append(sizes, 1)
+        rows, sizes = np.concatenate([own["rows"], rows, np.array([END], rows.dtype)]), np.concatenate([own["many"], sizes, [1]])
         offsets = np.append(0, np.cumsum(length + 1))
-        tokens = np.full(int(offsets[-1]), len(kinds))
+        tokens = np.full(int(offsets[-1]), len(sizes) - 1)
         tokens[np.arange(len(number)) + np.repeat(np.arange(len(length)), length)] = number
         many = sizes.take(tokens)
         ends = np.cumsum(many)
@@ -618,12 +729,10 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
     """
     spark = docs.sparkSession
     # The most frequent words go to every worker, fewer than a fixed number; the others are joined.
-    least = kth_largest(fitted.words, "n", known_words)
-    heart = fitted.words.where(F.col("n") > F.lit(least)).collect()
-    n = np.array([r.n for r in heart], float)
-    base = np.log10(fitted.base_log(n)) if len(n) else np.zeros(0)
+    least, heart = fitted.by_heart(known_words)
+    base = np.log10(fitted.base_log(heart["n"])) if len(heart["n"]) else np.zeros(0)
     end_base = float(np.log10(fitted.base_log(float(fitted.ends))))
-    held = spark.sparkContext.broadcast(fitted.held() | {"words": [r.word.encode() for r in heart], "n": n, "base": base})
+    held = spark.sparkContext.broadcast(fitted.held() | heart | {"base": base})
     made = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
     aside, give_back = set_aside(docs, text)
     kept = aside.select("*", whole_text(text).alias("_whole_text")).drop(text, *made)
@@ -634,15 +743,13 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
 
     def ready(own: dict) -> None:
         """What is computed once for each worker: weights, and the embeddings and counts of the known words."""
-        own["ids"] = {w: k for k, w in enumerate(own["words"])}
         own["weights"] = unpack(own["flat"], own["classes"], len(own["kinds"]), sum(g.stop - g.start for g in own["groups"].values()))
-        own["table"], own["first"] = embedded(own, own["words"])
+        own["table"], own["first"] = embedded(own, own["rows"], own["many"])
         own["within"] = np.log10((own["n"] + 0.5) / own["sizes"].take(own["first"]))
 
-    def embedded(own: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings of the words, and the rows of their first subwords."""
-        rows, sizes = _rows(own, words)
-        if not len(words):
+    def embedded(own: dict, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of words, and the rows of their first subwords."""
+        if not len(sizes):
             return np.zeros((0, _SIZE), np.float32), rows
         tokens = Tokens(sizes, sizes, rows, sizes, {})
         return tokens.embed(own["weights"]["embed"], np.arange(len(sizes))), rows.take(tokens.starts)
@@ -652,16 +759,11 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
         if "table" not in own:
             ready(own)
         words, length = _split(batch.column("_whole_text"))
-        kinds, number = _numbered(words)
         texts = len(length)
         text_of = np.repeat(np.arange(texts), length)
-        at = np.fromiter(map(own["ids"].get, kinds, repeat(-1)), np.int64, len(kinds))
-        new = np.flatnonzero(at < 0)
-        others = [kinds[k] for k in new.tolist()]
-        table, first = embedded(own, others)
+        found, others = _numbered(words, own["words"])
+        table, first = embedded(own, *_rows(own, others.cast(pa.binary()).to_pylist()))
         known = len(own["words"])
-        at[new] = known + np.arange(len(new))
-        found = at.take(number)
         common, unknown = found < known, np.flatnonzero(found >= known)
         weights = own["weights"]["embed"]
         rows = np.concatenate([own["first"], first, np.array([END, len(weights) - 1], first.dtype)])
@@ -678,7 +780,7 @@ def score_texts(docs: DataFrame, fitted: Fitted, text: str = "text", known_words
         # Words that aren't known by heart: once for each text, with their number.
         pairs, times = np.unique(text_of[unknown] * max(len(others), 1) + found[unknown] - known, return_counts=True)
         which, cuts = pairs % max(len(others), 1), np.searchsorted(pairs // max(len(others), 1), np.arange(texts + 1))
-        named = pa.array([w.decode() for w in others], pa.string()).take(pa.array(which))
+        named = others.take(pa.array(which))
         parts = pa.StructArray.from_arrays([named, pa.array(own["sizes"].take(first.take(which))), pa.array(times, pa.int32())], names=["word", "size", "times"])
         columns = [batch.column(f.name) for f in fields]
         columns += [pa.array(length + 1), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(score)]

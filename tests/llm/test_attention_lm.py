@@ -274,3 +274,37 @@ def test_long_words_are_read_whole_and_fast(spark):
     got = lm.score_texts(docs, lm.fit_model(docs, lm.fit_counts(docs, RANKS, PATTERN))).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got) == [(1, 2, 2), (2, 5, 5), (3, 3001, 3001)] and all(math.isfinite(r.score) for r in got)
     assert time.monotonic() - began < 60
+
+
+def test_runs_of_blocks_give_what_single_blocks_give(texts):
+    tokens, offsets = texts
+    inputs, real, targets, _ = lm.blocks_of(tokens, offsets)
+    w = lm.unpack(lm.initial(np.ones(lm.CLASSES)).astype(np.float64))
+    loss, slopes = lm.gradient(w, inputs, real, targets)
+    for together in (1, 3, 4):
+        runs, seen, wanted = lm.runs_of(inputs, real, targets, together)
+        # What two blocks share is held once.
+        assert runs.shape == (-(-len(inputs) // together), (together + 1) * lm.BLOCK)
+        found = lm.gradient(w, runs, seen.reshape(-1, lm.WINDOW), wanted)
+        assert math.isclose(found[0], loss, rel_tol=1e-9) and np.allclose(found[1], slopes, atol=1e-7)
+    logs, _ = lm.forward(w, inputs, real)
+    each = np.where(targets.reshape(-1) >= 0, logs[np.arange(targets.size), targets.reshape(-1)], 0).reshape(len(targets), -1).sum(axis=1)
+    text = lm.blocks_of(tokens, offsets)[3]
+    for at_once in (1, 3, 64):
+        assert np.allclose(lm.text_scores(w, tokens, offsets, at_once=at_once), np.bincount(text, weights=each) / math.log(10))
+
+
+def test_known_words_are_numbered_without_being_split_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "the same few words " * 3 + f"rare{k}") for k in range(5)], "doc_id bigint, text string")
+    fitted = lm.fit_counts(docs, RANKS, PATTERN)
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 4)
+    least, heart = fitted.by_heart(5)
+    assert least == 1 and sorted(heart["words"].to_pylist()) == ["few", "same", "the", "words"] and heart["n"].tolist() == [15.0] * 4
+    number, others = lm._numbered(lm.pa.array(["few", "x", "the", "y", "x"]), lm.pa.array(["the", "few"]))
+    assert number.tolist() == [1, 2, 0, 3, 2] and others.to_pylist() == ["x", "y"]
+    for known in (4, 5, 100):
+        monkeypatch.setattr(lm, "KNOWN_WORDS", known)
+        rows = lm._token_batches(docs, fitted, "text", "doc_id").collect()
+        wanted = sorted(lm._rows(fitted.held(), f"{'the same few words ' * 3}rare{k}".encode().split())[0].tolist() + [lm.END] for k in range(5))
+        assert sorted(np.frombuffer(r.pieces, fitted.row_of.dtype).tolist() for r in rows) == wanted
+        assert all(len(r.tokens) == 14 and sum(r.tokens) == len(r.pieces) // fitted.row_of.dtype.itemsize for r in rows)
