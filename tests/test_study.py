@@ -95,6 +95,29 @@ def test_records_name_sectors_classes_and_reach(finished):
         assert 1 <= record["shap"]["n_vars_for_80_percent"] <= 2 * len(record["variables"])
 
 
+def test_cells_are_gathered_once_for_all_combinations(spark, monkeypatch):
+    """A cell meets its column once, however many combinations use it; rows are those of each combination alone."""
+    table = [("m", f"s{s}", v, y, float(10 * s + i)) for s in range(6) for i, (v, y) in enumerate([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)]) if (s + i) % 3]
+    cells = spark.createDataFrame(table, "model string, scenario string, variable string, year int, value double")
+    columns = {k: [("a", 1), ("b", 1), ("b", 2), ("c", 1)][: 2 + k % 3] for k in range(1, 9)}
+    combinations = [{"combination": k, "variables": sorted({v for v, _ in c})} for k, c in columns.items()]
+    joined, whole = [], study.small_table
+    monkeypatch.setattr(study, "small_table", lambda spark, rows, schema: (joined.append((schema, rows)), whole(spark, rows, schema))[1])
+    options = es.StudyOptions(years=(1, 2), completeness=0.9)
+    found = study._complete_rows(cells, combinations, options, ["model", "scenario"], columns)
+    assert sum(len(rows) for schema, rows in joined if "variable string" in schema) == 4
+    expected = []
+    for k, listed in columns.items():
+        for s in range(6):
+            held = {(v, y): value for _, name, v, y, value in table if name == f"s{s}"}
+            x = [held.get(c) for c in listed]
+            if sum(v is not None for v in x) >= int(len(listed) * 0.9):
+                expected.append((k, "m", f"s{s}", x))
+    assert 0 < len(expected) < 48
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert found.columns == ["combination", "model", "scenario", "x"]
+
+
 def test_scratch_is_deleted(spark):
     from ensemblescope.session import materialise, scratch, shared_folder
 
